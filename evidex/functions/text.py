@@ -61,18 +61,18 @@ def strip_comments_simple(text: Column) -> Column:
 def match_lines(text: Column, pattern: str) -> Column:
     """1-based line of every match over the whole text, in order.
 
-    Matches may span lines: text is cut into matches and newlines by one scan, and only
-    the line counter and the hits are folded.
+    Matches may span lines. The text is cut before each match, so the fold has one step per
+    match, not one per line, and is skipped for texts without any.
     """
-    tokens = F.regexp_extract_all(text, F.lit(f"(?:{pattern})|\\n"), F.lit(0))
+    cut = F.split(F.regexp_replace(F.translate(text, "\u0001", " "), pattern, "\u0001$0"), "\u0001")
     zero = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, t: Column) -> Column:
-        return F.struct(
-            (s["line"] + newlines(t)).alias("line"),
-            F.when(t == "\n", s["out"]).otherwise(F.array_append(s["out"], s["line"])).alias("out"))
+        line = s["line"] + newlines(t)
+        return F.struct(line.alias("line"), F.array_append(s["out"], line).alias("out"))
 
-    found = F.aggregate(tokens, zero, step, lambda s: s["out"])
+    before = F.slice(cut, F.lit(1), F.size(cut) - 1)
+    found = F.aggregate(before, zero, step, lambda s: s["out"])
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<int>"))
 
 
@@ -93,7 +93,8 @@ def loop_ranges(text: Column, headers: str = "for|while") -> Column:
     inline = r"[^\n{]*;[ \t\r]*$)"
     marked = F.regexp_replace(text, header + inline, "\u0001")
     marked = F.regexp_replace(marked, header + rf"(?!{inline})", "\u0002")
-    tokens = F.regexp_extract_all(marked, F.lit("[\\n{}\u0001\u0002]"), F.lit(0))
+    bare = F.regexp_replace(marked, "[^\\n{}\u0001\u0002]+", "")
+    tokens = F.regexp_extract_all(bare, F.lit("\\n+|[{}\u0001\u0002]"), F.lit(0))
     span = "array<struct<lo:int,hi:int>>"
     zero = F.struct(
         F.lit(1).alias("line"), F.lit(0).alias("depth"), F.lit(False).alias("pending"),
@@ -109,7 +110,7 @@ def loop_ranges(text: Column, headers: str = "for|while") -> Column:
         closes = (t == "}") & (top == s["depth"])
         last = closes & (F.size(s["stack"]) == 1)
         return F.struct(
-            (s["line"] + F.when(t == "\n", 1).otherwise(0)).alias("line"),
+            F.when(t.startswith("\n"), s["line"] + F.length(t)).otherwise(s["line"]).alias("line"),
             F.when(t == "{", s["depth"] + 1)
             .when(t == "}", F.greatest(s["depth"] - 1, F.lit(0)))
             .otherwise(s["depth"]).alias("depth"),
@@ -130,7 +131,9 @@ def loop_ranges(text: Column, headers: str = "for|while") -> Column:
             (F.size(s["stack"]) > 0) & (s["line"] >= s["since"]),
             F.array_append(s["out"], piece(s["since"], s["line"]))).otherwise(s["out"])
 
-    return F.aggregate(tokens, zero, step, finish)
+    none = F.array().cast(span)
+    return F.when(text.rlike(rf"\b(?:{headers})\s*\("), F.aggregate(tokens, zero, step, finish)
+                  ).otherwise(none)
 
 
 def in_ranges(ranges: Column, line: Column) -> Column:

@@ -14,8 +14,10 @@ HEADER_LINES = 14
 
 def joined(rows: DataFrame, key: str, order: str, text: str, sep: str = "\n") -> DataFrame:
     """Concatenate the ordered lines of each bounded block."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.array_sort(F.collect_list(F.struct(order, text)))
-    return rows.groupBy(key).agg(
+    # A given partition count keeps AQE from folding the CPU-heavy scans into one task.
+    return rows.repartition(n, key).groupBy(key).agg(
         F.array_join(F.transform(parts, lambda x: x[text]), sep).alias("body"))
 
 
