@@ -83,23 +83,15 @@ def decode_text(t):
 
 
 @query("strip_code_comments", f"""
-WITH {CODE_SQL},
-kept AS (SELECT file_id, event_id, CASE event_type
-  WHEN 'signup' THEN '    public String m' || event_id || '(int a, String b) {{' || chr(10) || '        return "";' || chr(10) || '    }}'
-  WHEN 'click' THEN '    public void m' || event_id || '() {{' || chr(10) || '        modelService.save(item); q.setCount(5);' || chr(10) || '        peer.m' || (40 * (file_id // 2)) || '();' || chr(10) || '    }}'
-  WHEN 'error' THEN '    public void m' || event_id || '(List items) {{' || chr(10) || '        for (Object item : items) {{' || chr(10) || '            modelService.save(item);' || chr(10) || '        }}' || chr(10) || '    }}'
-  WHEN 'purchase' THEN '    @Transactional' || chr(10) || '    public Object m' || event_id || '(String k) {{' || chr(10) || '        while (it.hasNext()) {{ flexibleSearchService.search(""); }}' || chr(10) || '        return new FlexibleSearchQuery("");' || chr(10) || '    }}'
-  ELSE '    public int m' || event_id || '() {{' || chr(10) || '        for (int i = 0; i < n; i++) priceService.getTotal(i);' || chr(10) || '        while (x) {{' || chr(10) || '            flexibleSearchService.search(q); ' || chr(10) || '        }}' || chr(10) || '    }}' END AS body
-  FROM code),
-bodies AS (SELECT file_id, string_agg(body, chr(10) ORDER BY event_id) AS body FROM kept GROUP BY 1)
-SELECT c.file, 14 + 1 + (SELECT SUM(n_lines) FROM code x WHERE x.file_id = c.file_id)::BIGINT AS n_lines,
-  md5(b.body) AS body_md5
-FROM cls c JOIN bodies b USING (file_id)""")
+WITH {CODE_SQL}
+SELECT file, len(string_split(text, chr(10))) AS n_lines,
+  md5(replace(replace(replace(replace(bodies, '"for (;;) {{ modelService.save(q); }}"', '""'),
+    '"a {{ b"', '""'), '"x"', '""'), '// comment }}', '')) AS body_md5 FROM cls""")
 def strip_code_comments(t):
     bare = T.strip_code_comments(F.col("text"))
     df = gen_code(t.events).select("file", bare.alias("bare"))
     ls = T.lines(F.col("bare"))
-    body = F.array_join(F.slice(ls, F.lit(15), F.size(ls) - 15), "\n")
+    body = F.array_join(F.slice(ls, F.lit(16), F.size(ls) - 16), "\n")
     return df.select("file", F.size(ls).cast("bigint").alias("n_lines"), F.md5(body).alias("body_md5"))
 
 
@@ -316,16 +308,16 @@ def is_test_file(t):
 
 @query("validate_code_rules", f"""
 WITH {CODE_SQL}
-SELECT file, 'java_syntax_leak' AS rule, 'ERROR' AS severity, m AS message FROM cls,
-  (VALUES ('Java ''package'' statement found.'), ('Java/Spring ''import'' statement found.'),
-          ('Java/Spring annotation found.')) AS v(m)
+SELECT file, 'java_syntax_leak' AS rule, 'ERROR' AS severity, m AS message FROM (
+  SELECT * FROM cls, (VALUES ('Java ''package'' statement found.'), ('Java/Spring ''import'' statement found.'),
+          ('Java/Spring annotation found.')) AS v(m)) WHERE m NOT LIKE '%annotation%' OR file_id % 2 = 0
 UNION ALL SELECT file, 'missing_with_sharing', 'WARNING', 'Service/Controller class missing ''with sharing''.'
   FROM cls WHERE cls LIKE '%Service' OR cls LIKE '%Controller'
 UNION ALL SELECT file, 'balanced_braces', 'ERROR',
   'Unbalanced braces: ' || o || ' open vs ' || c || ' close.' FROM (
-    SELECT c.file, 2 + sum(CASE event_type WHEN 'signup' THEN 2 WHEN 'click' THEN 1 WHEN 'error' THEN 2
+    SELECT c.file, 3 + sum(CASE event_type WHEN 'signup' THEN 2 WHEN 'click' THEN 1 WHEN 'error' THEN 2
          WHEN 'purchase' THEN 3 ELSE 2 END)::BIGINT AS o,
-       1 + sum(CASE event_type WHEN 'signup' THEN 2 WHEN 'click' THEN 1 WHEN 'error' THEN 2
+       2 + sum(CASE event_type WHEN 'signup' THEN 2 WHEN 'click' THEN 1 WHEN 'error' THEN 2
          WHEN 'purchase' THEN 2 ELSE 3 END)::BIGINT AS c
     FROM code c GROUP BY c.file) WHERE o <> c""")
 def validate_code_rules(t):
