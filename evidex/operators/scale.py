@@ -80,6 +80,12 @@ def computed(df: DataFrame, **cols: Column) -> DataFrame:
     return made.select(*keep, *[F.col(f"_made.{n}").alias(n) for n in cols])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read to the reliable checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def digest_words(text_hash: Column, prefix: str = "_w") -> list[Column]:
     """Four order-free partial sums of an md5; state per group is constant."""
     return [
