@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions import names as N
+from evidex.operators.scale import computed
 
 
 def plan_targets(classes: DataFrame) -> DataFrame:
@@ -14,7 +15,8 @@ def plan_targets(classes: DataFrame) -> DataFrame:
     Every facade folds into the Service target of its domain, which exists by that very name
     whether or not the domain has a service; so no facade is lost and no pairs are formed.
     """
-    d, l, c = N.domain_key(F.col("class_name")), F.col("layer"), F.col("class_name")
+    classes = computed(classes, _domain=N.domain_key(F.col("class_name")))
+    d, l, c = F.col("_domain"), F.col("layer"), F.col("class_name")
     bundle = F.regexp_replace(c, "(?<=.)Component$", "")
     name = (F.when(l == "DAO", F.concat(d, F.lit("Selector")))
             .when(l.isin("Service", "Facade"), F.concat(d, F.lit("Service")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidex.functions import names as N
 from evidex.functions import text as T
 from evidex.operators import extract as X
+from evidex.operators.scale import computed
 from evidex.plans.corpora import CODE_SQL, gen_code, gen_components
 from evidex.plans.registry import query
 from evidex.plans.text import PAGE_SQL, page_files
@@ -28,7 +29,7 @@ def part_classes(t):
     lead = F.when(F.col("p_partkey") % 7 == 0, F.lit("Default")).otherwise(F.lit(""))
     name = F.concat(lead, F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")),
                     F.get(ends, F.col("p_size") % 12))
-    return t.part.select("p_partkey", "p_size", "p_brand", name.alias("class_name"))
+    return computed(t.part.select("p_partkey", "p_name", "p_size", "p_brand"), class_name=name)
 
 
 @query("infer_layer", f"""
