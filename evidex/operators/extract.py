@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidex.functions import names as N
 from evidex.functions import rules as R
 from evidex.functions import text as T
-from evidex.operators.scale import computed
+from evidex.operators.scale import computed, settled
 from evidex.operators.textscan import is_test_file
 
 _CLASS = r"\b(class|interface)\s+(\w+)"
@@ -295,13 +295,13 @@ def type_pairs(files: DataFrame) -> DataFrame:
 def infer_field_type(fields: DataFrame, files: DataFrame, field: str = "field") -> DataFrame:
     """Add ``type`` from the first getter, else the first declaration, else Text."""
     at = F.struct("file", "pos")
-    pairs = type_pairs(files)
-    decl = pairs.groupBy("ident").agg(F.min_by("type", at).alias("_decl"))
-    getter = pairs.filter("is_call").groupBy("ident").agg(F.min_by("type", at).alias("_get"))
+    call = F.col("is_call")
+    per = settled(type_pairs(files).groupBy("ident").agg(
+        F.min_by("type", at).alias("_decl"), F.min_by(F.when(call, F.col("type")), F.when(call, at)).alias("_get")))
     core = F.lower(F.regexp_replace(F.col(field), "__c$", ""))
     asked = fields.withColumn("_core", core).withColumn("_getter", F.concat(F.lit("get"), core))
-    out = (asked.join(decl.withColumnRenamed("ident", "_core"), "_core", "left")
-           .join(getter.withColumnRenamed("ident", "_getter"), "_getter", "left"))
+    out = (asked.join(per.select(F.col("ident").alias("_core"), "_decl"), "_core", "left")
+           .join(per.select(F.col("ident").alias("_getter"), "_get"), "_getter", "left"))
     got = N.lookup(F.coalesce("_get", "_decl"), R.DECLARED_TYPES)
     return out.select(*fields.columns, F.coalesce(got, F.lit("Text")).alias("type"))
 

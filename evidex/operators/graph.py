@@ -32,45 +32,49 @@ def _plain(edges: DataFrame) -> DataFrame:
 
 
 def _without_back_edges(edges: DataFrame) -> DataFrame:
-    """Cut cycles: peel what lies on none, then drop core edges to a smaller name."""
-    core = edges
+    """Cut cycles: peel what nothing depends on, then drop core edges to a smaller name."""
+    core, n = edges, -1
     while True:
-        n = core.count()
-        core = settled(core.join(core.select(F.col("dst").alias("_d")).distinct(),
-                                 F.col("src") == F.col("_d"), "left_semi"))
-        if core.count() == n:
+        users = core.select(F.col("dst").alias("src")).distinct()
+        core = settled(core.join(users, "src", "left_semi").select("src", "dst"))
+        last, n = n, core.count()
+        if n == last:
             break
-    back = core.filter("dst < src")
-    return settled(edges.join(back, ["src", "dst"], "left_anti"))
+    return settled(edges.join(core.filter("dst < src"), ["src", "dst"], "left_anti"))
 
 
 def wavefront_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(node, level): longest path to a leaf dependency; src depends on dst.
 
-    Leaves are peeled in rounds. Where only cycles are left, edges of the cyclic core that
-    point to a smaller name count as back edges and are skipped, so every node gets a level.
+    Round k removes the edges into the leaves of level k, so a node's level is one more than
+    the round that removed its last edge: one table is written per round. Where only cycles
+    are left, edges of the cyclic core that point to a smaller name count as back edges and
+    are skipped, so every node gets a level.
     """
-    left = settled(_plain(edges))
-    ends = left.select(F.col("src").alias("node")).union(left.select("dst"))
-    todo = settled((ends if nodes is None else ends.union(nodes.select("node"))).distinct())
-    out, remaining = None, todo.count()
-    for level in range(max_rounds):
-        if remaining == 0:
-            break
-        leaves = settled(todo.join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
-        n = leaves.count()
-        if n == 0:
+    plain = settled(_plain(edges))
+    left, removed, remaining = plain, [], plain.count()
+    while remaining:
+        if len(removed) > max_rounds:
+            raise RuntimeError("levels did not settle")
+        uses = left.select(F.explode(F.array(
+            F.struct(F.col("src").alias("dst"), F.lit(True).alias("u")),
+            F.struct(F.col("dst").alias("dst"), F.lit(False).alias("u")))).alias("x")).select("x.*")
+        leaves = uses.groupBy("dst").agg(F.max("u").alias("_u")).filter("not _u").select("dst", F.lit(True).alias("_gone"))
+        step = settled(left.join(leaves, "dst", "left").select("src", "dst", F.col("_gone").isNotNull().alias("_gone")))
+        gone = step.agg(F.count_if("_gone")).first()[0]
+        if gone == 0:
             left = _without_back_edges(left)
+            remaining = left.count()
             continue
-        part = leaves.withColumn("level", F.lit(level).cast("bigint"))
-        out = part if out is None else out.unionByName(part)
-        remaining -= n
-        if remaining:
-            todo = settled(todo.join(leaves, "node", "left_anti"))
-            left = settled(left.join(leaves.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    if out is None:
-        out = todo.withColumn("level", F.lit(0).cast("bigint"))
-    return out
+        removed.append(step.filter("_gone").select(
+            F.col("src").alias("node"), F.lit(len(removed) + 1).cast("bigint").alias("level")))
+        left, remaining = step.filter("not _gone").select("src", "dst"), remaining - gone
+    ends = plain.select(F.col("src").alias("node")).union(plain.select("dst"))
+    every = ends if nodes is None else ends.union(nodes.select("node"))
+    out = every.withColumn("level", F.lit(0).cast("bigint"))
+    for r in removed:
+        out = out.unionByName(r)
+    return out.groupBy("node").agg(F.max("level").alias("level"))
 
 
 def topological_schedule(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -14,11 +14,10 @@ def own_hazards(sources: DataFrame, hazards: DataFrame) -> DataFrame:
     ``sources(target, class_name, file)`` with file as a bare name, ``hazards(id, severity,
     rule, file, source_class)``.
     """
-    h = hazards.select(F.col("id").alias("hazard_id"), "severity", "rule", "file", "source_class")
-    by_file = sources.select("target", "file").distinct().join(h.drop("source_class"), "file").drop("file")
-    by_class = sources.select("target", F.col("class_name").alias("source_class")).distinct().join(
-        h.drop("file"), "source_class").drop("source_class")
-    return by_file.unionByName(by_class).dropDuplicates(["target", "hazard_id"])
+    keys = lambda f, c: F.explode(F.array_distinct(F.array(F.concat(F.lit("f:"), f), F.concat(F.lit("c:"), c)))).alias("_k")
+    h = hazards.select(F.col("id").alias("hazard_id"), "severity", "rule", keys(F.col("file"), F.col("source_class")))
+    s = sources.select("target", keys(F.col("file"), F.col("class_name"))).distinct()
+    return s.join(h, "_k").drop("_k").dropDuplicates(["target", "hazard_id"])
 
 
 def triage(artifacts: DataFrame, sources: DataFrame, hazards: DataFrame, findings: DataFrame,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
-from evidex.operators.scale import computed
+from evidex.operators.scale import computed, settled
 
 
 def chunk_by_heading(docs: DataFrame) -> DataFrame:
@@ -51,8 +51,9 @@ def idf_table(tf: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def tfidf_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings(chunk_id, term, tf, idf), norms(chunk_id, norm), idf table) of chunks(chunk_id, heading, body)."""
-    tf = term_counts(chunks, "chunk_id", F.concat_ws(" ", "heading", "body"))
-    idf = idf_table(tf, chunks)
+    # Texts are tokenised once: document frequencies, postings and norms read the counts.
+    tf = settled(term_counts(chunks, "chunk_id", F.concat_ws(" ", "heading", "body")), "counts")
+    idf = settled(idf_table(tf, chunks), "idf")
     postings = tf.join(idf.select("term", "idf"), "term").select("chunk_id", "term", "tf", "idf")
     w = F.col("tf") * F.col("idf")
     norms = postings.groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
@@ -67,10 +68,10 @@ def tfidf_topk(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """
     postings, norms, idf = tfidf_index(chunks)
     q = term_counts(queries, "query_id", F.col("text")).join(idf.select("term", "idf"), "term")
-    q = q.select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    q = q.select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"), F.col("idf").alias("qidf"))
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    dot = q.join(postings, "term").groupBy("query_id", "chunk_id").agg(
-        F.sum(F.col("w") * F.col("tf") * F.col("idf")).alias("dot"))
+    dot = q.join(postings.select("chunk_id", "term", "tf"), "term").groupBy("query_id", "chunk_id").agg(
+        F.sum(F.col("w") * F.col("tf") * F.col("qidf")).alias("dot"))
     scored = dot.join(norms, "chunk_id").join(qn, "query_id").select(
         "query_id", "chunk_id", F.round(F.col("dot") / (F.col("qn") * F.col("norm")), 9).alias("score")).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

@@ -13,26 +13,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.session import ensure_checkpoint_dir
+from evidex.session import scratch
+
+
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write an intermediate to the shared checkpoint folder and read it back.
+
+    It is computed once however many branches read it, its lineage is cut, and a lost
+    executor costs a re-read. Used for rounds of iterative jobs and for shared inputs.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Number all rows 1..n in ``order`` (which must be total).
 
-    The range sort is written to a reliable checkpoint, which fixes the partitions; the
-    rank is then the row's place in its partition plus the rows before that partition.
-    The offset table has one row per partition, so broadcasting it is bounded.
+    The range-sorted rows are written once, which fixes the partitions; the rank of a row is
+    its index in its file plus the rows of the files before. The offset table has one row per
+    file, so broadcasting it is bounded by the number of partitions, not by the data.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    cols = df.columns
-    place = F.monotonically_increasing_id()
-    ranged = df.orderBy(*order).withColumn("_place", place).checkpoint()
-    part, inside = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    spark, path = df.sparkSession, scratch(df.sparkSession, "rank")
+    df.orderBy(*order).write.parquet(path)
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    part = F.concat_ws("-", *[F.lpad(F.regexp_extract(file, p, 1), 10, "0")
+                              for p in (r"^part-(\d+)", r"-c(\d+)\.")])
+    rows = spark.read.schema(df.schema).parquet(path).select("*", part.alias("_part"), row.alias("_row"))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return out.select(*cols, (F.col("_off") + inside + 1).cast("bigint").alias(name))
+    out = rows.join(F.broadcast(offsets), "_part")
+    return out.select(*df.columns, (F.col("_off") + F.col("_row") + 1).cast("bigint").alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when the input has fewer splits than cores; large inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
@@ -80,24 +98,23 @@ def computed(df: DataFrame, **cols: Column) -> DataFrame:
     return made.select(*keep, *[F.col(f"_made.{n}").alias(n) for n in cols])
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several branches read to the reliable checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+DIGEST_WORDS = 5
 
 
 def digest_words(text_hash: Column, prefix: str = "_w") -> list[Column]:
-    """Four order-free partial sums of an md5; state per group is constant."""
+    """Order-free sums of five 24-bit words of an md5; state per group is constant.
+
+    A 64-bit sum of 24-bit words holds for half a trillion rows per group.
+    """
     return [
-        F.sum(F.conv(F.substring(text_hash, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)"))
-        .alias(f"{prefix}{i}")
-        for i in range(4)
+        F.sum(F.conv(F.substring(text_hash, 1 + 6 * i, 6), 16, 10).cast("bigint")).alias(f"{prefix}{i}")
+        for i in range(DIGEST_WORDS)
     ]
 
 
 def digest_of(count: Column, prefix: str = "_w") -> Column:
     """Fold the sums of ``digest_words`` and the row count into one md5."""
-    words = [F.coalesce(F.col(f"{prefix}{i}").cast("string"), F.lit("0")) for i in range(4)]
+    words = [F.coalesce(F.col(f"{prefix}{i}"), F.lit(0)).cast("string") for i in range(DIGEST_WORDS)]
     return F.md5(F.concat_ws(":", count.cast("string"), *words))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.operators.scale import computed
+from evidex.operators.scale import computed, settled
 
 _PROP = "struct<_name:string,_value:string,_ref:string,value:string,ref:struct<_bean:string,_VALUE:string>>"
 _BEANS = f"bean array<struct<_id:string,_class:string,_parent:string,property:array<{_PROP}>>>"
@@ -39,6 +39,7 @@ def spring_triggers(b: DataFrame) -> DataFrame:
 
     trigger -> cronJob -> job by two equi-joins on (file, id), else trigger -> job directly.
     """
+    b = settled(b, "beans")
     t = _props(b, {"cron": ("cronExpression", "value"), "cj": ("cronJob", "ref"),
                    "direct": ("job", "ref"), "act": ("active", "value")}).filter("cron <> ''")
     links = _props(b, {"job": ("job", "ref")}).select("file", F.col("id").alias("cj"), F.col("job").alias("via"))

@@ -8,7 +8,8 @@ from evidex.functions import names as N
 from evidex.operators import impex as I
 from evidex.operators import processes as W
 from evidex.operators import schedules as C
-from evidex.plans.corpora import CODE_SQL, _unit, gen_code, joined
+from evidex.operators.scale import settled
+from evidex.plans.corpora import CODE_SQL, _unit, joined
 from evidex.plans.registry import query
 from evidex.plans.schema import _cat
 
@@ -254,7 +255,7 @@ def even_classes(t):
 
 
 def resolved(t, p):
-    return W.resolve_bean(W.process_nodes(p), code_classes(t))
+    return settled(W.resolve_bean(W.process_nodes(p), code_classes(t)), "nodes")
 
 
 @query("process_tables", f"""

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidex.operators.scale import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+# Tables whose rows are texts: work per row outweighs reading them.
+TEXTS = ("documents", "pages", "conversations")
 
 
 class Tables:
@@ -17,7 +21,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in TEXTS else df
 
 
 def query(name: str, oracle: str | None = None):

@@ -11,6 +11,7 @@ from evidex.operators import usage as U
 
 from evidex.plans.registry import query
 from evidex.plans.schema import _cat
+from evidex.session import scratch
 from evidex.sources import sinks
 from evidex.streaming import live
 
@@ -306,7 +307,7 @@ def scorecard(t):
 # ── incremental re-runs and snapshots ─────────────────────────────────────────
 
 def digest_sql(n: str, item: str) -> str:
-    words = " || ':' || ".join(f"coalesce(sum(('0x' || substr(md5({item}), {1 + 8 * i}, 8))::BIGINT), 0)::VARCHAR" for i in range(4))
+    words = " || ':' || ".join(f"coalesce(sum(('0x' || substr(md5({item}), {1 + 6 * i}, 6))::BIGINT), 0)::VARCHAR" for i in range(5))
     return f"md5({n}::VARCHAR || ':' || {words})"
 
 
@@ -561,7 +562,7 @@ def event_stream(t):
 
 def drained(t, start):
     """Run a stream to the end of its input; give the folder it wrote."""
-    out = live.scratch(t.spark, "stream")
+    out = scratch(t.spark, "stream")
     q = start(f"{out}/data", f"{out}/checkpoint")
     q.awaitTermination()
     return f"{out}/data"
@@ -608,7 +609,7 @@ def spend_latch(t):
 
 @query("event_log_sink", "SELECT user_id AS run, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 40")
 def event_log_sink(t):
-    out = live.scratch(t.spark, "events")
+    out = scratch(t.spark, "events")
     sinks.append_events(events(t), out)
     return H.tail_events(t.spark.read.parquet(out), 40).select("run", "event_id")
 
@@ -617,7 +618,7 @@ def event_log_sink(t):
 SELECT '00000000000a' AS snapshot_id, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT '00000000000a-1', count(*), sum(n_chars)::BIGINT FROM documents WHERE doc_id % 2 = 1""")
 def snapshot_sink(t):
-    out = live.scratch(t.spark, "snapshots")
+    out = scratch(t.spark, "snapshots")
     for half in (0, 1):
         sinks.write_snapshot({"docs": t.documents.filter(F.col("doc_id") % 2 == half)}, out, 10)
     return t.spark.read.parquet(f"{out}/docs").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
@@ -629,7 +630,7 @@ def write_object_csv(t):
     from evidex.operators import impex as I
     from evidex.plans.loads import lines_of
 
-    out = live.scratch(t.spark, "csv")
+    out = scratch(t.spark, "csv")
     ls = lines_of(t)
     rec = I.load_records(ls).filter("mode = 'INSERT_UPDATE'").withColumn("row_no", F.concat_ws(":", "file", "line_no"))
     sinks.write_object_csv(rec, I.load_headers(ls), out)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,12 +9,6 @@ from pyspark.sql.types import StructType
 
 from evidex.functions import rules as R
 from evidex.operators.scale import running
-from evidex.session import ensure_checkpoint_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the session's reliable checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def event_source(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*",
