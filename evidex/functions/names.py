@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
+from evidex.functions import text as T
 
 
 def lookup(key: Column, table: dict[str, str], default: Column | None = None) -> Column:
@@ -50,7 +51,7 @@ def ui_domain_key(name: Column) -> Column:
 def readable(name: Column) -> Column:
     """Without a leading test/should, camel case split, first letter upper, _ as space."""
     s = F.regexp_replace(F.regexp_replace(name, "^(test|should)", ""), "([a-z0-9])([A-Z])", "$1 $2")
-    return F.trim(F.replace(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s))),
+    return T.strip(F.replace(F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s))),
                             F.lit("_"), F.lit(" ")))
 
 
@@ -94,7 +95,7 @@ def normal_name(name: Column) -> Column:
 def duration_minutes(text: Column) -> Column:
     """ISO-8601 PnDTnHnMnS as whole minutes; seconds count one only alone; else null."""
     p = r"^P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?$"
-    t = F.trim(text)
+    t = T.strip(text)
 
     def part(i: int) -> Column:
         return F.coalesce(F.regexp_extract(t, p, i).try_cast("int"), F.lit(0))
@@ -106,7 +107,7 @@ def duration_minutes(text: Column) -> Column:
 
 def rule_id(source_class: Column, rule: Column) -> Column:
     return F.concat(F.lit("R-"), F.substring(
-        F.md5(F.trim(F.concat_ws("|", source_class, rule))), 1, 8))
+        F.md5(T.strip(F.concat_ws("|", source_class, rule))), 1, 8))
 
 
 def behaviour_id(test_class: Column, method: Column, n: Column) -> Column:

@@ -17,6 +17,11 @@ CODE_TOKEN = (
 MARKUP_TOKEN = r"<!--[\s\S]*?(?:-->|\z)|[^<]++|<"
 
 
+def strip(c: Column | str) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
 def occurrences(c: Column, piece: str) -> Column:
     """How often a one-character piece occurs."""
     return F.length(c) - F.length(F.replace(c, F.lit(piece), F.lit("")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import names as N
 from evidex.functions import rules as R
+from evidex.functions import text as T
 from evidex.operators.scale import computed
 
 
@@ -81,7 +82,7 @@ def rule_ledger(rules: DataFrame, carriers: DataFrame, artifacts: DataFrame, ski
     ``carriers(class_name, target)``, ``artifacts(target, status, test_text)``,
     ``skips(class_name, reason)``; each at most one row per key.
     """
-    r = rules.select("class_name", F.trim("rule").alias("rule")).filter("rule <> ''")
+    r = rules.select("class_name", T.strip("rule").alias("rule")).filter("rule <> ''")
     r = computed(r, _kw=F.array_distinct(keywords(F.col("rule"))))
     a = test_words(artifacts.select("target", "status", "test_text")).select("target", "status", "words", "asserts")
     out = r.join(carriers, "class_name", "left").join(a, "target", "left").join(
@@ -219,7 +220,7 @@ _TEST = (r"@(?:\w+\.)*Test\b(?:\s*\(([^)]*)\))?\s*(?:@\w+[^\n]*\s*)*(?:public|pr
 
 def literal_value(raw: Column) -> Column:
     """struct(java, kind, value); value is null unless a plain literal expresses it."""
-    t = F.trim(raw)
+    t = T.strip(raw)
     box = rf"^new\s+({R.BOXES})\s*\(\s*([\s\S]*?)\s*\)$"
     val = r"^\w+\.valueOf\(\s*([\s\S]*?)\s*\)$"
     inner = F.when(t.rlike(box), F.regexp_extract(t, box, 2)).when(
@@ -248,14 +249,14 @@ def literal_value(raw: Column) -> Column:
 def argument_values(raw: Column) -> Column:
     """Top-level arguments of a call as array<struct<java,kind,value>>."""
     piece = r'(?:"(?:[^"\\]++|\\.)*+"|\([^()]*\)|[^,"(])+'
-    parts = F.filter(F.regexp_extract_all(raw, F.lit(piece), F.lit(0)), lambda p: F.trim(p) != "")
+    parts = F.filter(F.regexp_extract_all(raw, F.lit(piece), F.lit(0)), lambda p: T.strip(p) != "")
     return F.transform(parts, literal_value)
 
 
 def mine_assertions(tests: DataFrame) -> DataFrame:
     """behaviours(id, test_class, test_method, label, source_class, n, target_method, args, expected, expects_exception).
 
-    ``tests(class_name, source)``. A test method runs from its header to the next one; an
+    ``tests(class_name, source)``. A test method runs from its header to the next method; an
     assertion counts if its argument calls code. A method that only expects an exception
     gives one behaviour from its first call.
     """
@@ -264,7 +265,8 @@ def mine_assertions(tests: DataFrame) -> DataFrame:
     m = computed(tests.select(F.col("class_name").alias("test_class"), "source"), _p=parts)
     m = m.select("test_class", F.explode("_p").alias("body"))
     exc = F.nullif(F.regexp_extract(F.regexp_extract("body", _TEST, 1), r"(\w+Exception)", 1), F.lit(""))
-    m = m.select("test_class", F.regexp_extract("body", _TEST, 2).alias("test_method"), exc.alias("expects_exception"), "body")
+    inside = F.get(F.split(F.regexp_replace("body", f"^{_TEST}", ""), R.METHOD + r"\{", 2), F.lit(0))
+    m = computed(m, test_method=F.regexp_extract("body", _TEST, 2), expects_exception=exc, body=inside)
     call = rf"(?:[\w]+\s*\.\s*)*(\w+)\s*\({_ARGS}\)"
     eq = rf"\bassert(Equals|Same)\s*\(\s*({_EXPR})\s*,\s*{call}"
     one = rf"\bassert(True|False|Null)\s*\(\s*(?:\"(?:[^\"\\]++|\\.)*+\"\s*,\s*)?()!?\s*{call}"
@@ -281,10 +283,9 @@ def mine_assertions(tests: DataFrame) -> DataFrame:
         F.when(is_eq, F.col("h.m1")).otherwise(F.col("h.m2")).alias("target_method"),
         F.when(is_eq, F.col("h.a1")).otherwise(F.col("h.a2")).alias("_a"),
         F.when(is_eq, F.col("h.x")).otherwise(fixed).alias("_x"))
-    inside = F.regexp_replace("body", _TEST, "")
-    only = z.filter(F.col("expects_exception").isNotNull() & (F.size("_h") == 0) & inside.rlike(call)).select(
+    only = z.filter(F.col("expects_exception").isNotNull() & (F.size("_h") == 0) & F.col("body").rlike(call)).select(
         "test_class", "test_method", "expects_exception", F.lit(1).cast("bigint").alias("n"),
-        F.regexp_extract(inside, call, 1).alias("target_method"), F.regexp_extract(inside, call, 2).alias("_a"),
+        F.regexp_extract("body", call, 1).alias("target_method"), F.regexp_extract("body", call, 2).alias("_a"),
         F.lit(None).cast("string").alias("_x"))
     out = asserted.unionByName(only)
     return out.select(

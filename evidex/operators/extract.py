@@ -15,9 +15,9 @@ from evidex.operators.textscan import is_test_file
 
 _CLASS = r"\b(class|interface)\s+(\w+)"
 _FIELD = (r"(?m)^[ \t]*(?:private|protected|public)\s+(?:static\s+|final\s+|transient\s+|volatile\s+)*"
-          r"([\w<>\[\],.]+)\s+(\w+)\s*(?:=[^;]*)?;")
+          r"([\w.]+(?:\s*<[^;{}()=]*>)?(?:\[\])*)\s+(\w+)\s*(?:=[^;]*)?;")
 _PUBLIC = (r"\bpublic\s+(?:static\s+|final\s+|abstract\s+|synchronized\s+)*"
-           r"([\w<>\[\],.]+(?:\s*<[^>{}]*>)?)\s+(\w+)\s*\(([^)]*)\)")
+           r"([\w.]+(?:\s*<[^;{}()]*>)?(?:\[\])*)\s+(\w+)\s*\(([^)]*)\)")
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
@@ -26,10 +26,10 @@ def _all(text: Column, pattern: str, group: int) -> Column:
 
 def parameters(raw: Column) -> Column:
     """``Type name, Type name`` as array<struct<name,type>>."""
-    parts = F.filter(F.split(raw, ","), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(raw, ","), lambda p: T.strip(p) != "")
     return F.transform(parts, lambda p: F.struct(
         F.regexp_extract(p, r"(\w+)\s*$", 1).alias("name"),
-        F.regexp_extract(F.trim(p), r"^(?:final\s+)?(.*?)\s+\w+$", 1).alias("type")))
+        F.regexp_extract(T.strip(p), r"^(?:final\s+)?(.*?)\s+\w+$", 1).alias("type")))
 
 
 def class_table(files: DataFrame, suffix: str = ".java") -> DataFrame:
@@ -116,11 +116,11 @@ def component_table(files: DataFrame) -> DataFrame:
         _tpl=_resolved(F.col("file"), F.regexp_extract(s, r"templateUrl\s*:\s*" + quote, 1)),
         _css=_all(F.regexp_extract(s, r"styleUrls\s*:\s*\[([^\]]*)\]", 1), quote, 1))
     texts = files.select(F.col("file").alias("_path"), F.col("text").alias("_text"))
-    tpl = texts.select(F.col("_path").alias("_tpl"), F.trim("_text").alias("template"))
+    tpl = texts.select(F.col("_path").alias("_tpl"), T.strip("_text").alias("template"))
     css = comp.select("file", F.posexplode("_css").alias("_o", "_rel")).withColumn(
         "_path", _resolved(F.col("file"), F.col("_rel"))).join(texts, "_path")
     # At most the style files one component names, a list that stands in its own text.
-    css = css.groupBy("file").agg(F.trim(F.array_join(F.transform(
+    css = css.groupBy("file").agg(T.strip(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_o", "_text"))), lambda x: x["_text"]), "\n")).alias("styles"))
     out = comp.join(tpl, "_tpl", "left").join(css, "file", "left")
     return out.select("class_name", "file", "selector", "inputs", "outputs", "injected", "methods",
@@ -206,7 +206,7 @@ def public_signatures(code: DataFrame) -> DataFrame:
     z = F.arrays_zip(_all(t, _SIGNATURE, 1).alias("r"), _all(t, _SIGNATURE, 2).alias("m"),
                      _all(t, _SIGNATURE, 3).alias("p"))
     return code.select("file", "class_name", F.explode(z).alias("z")).select("file", F.concat(
-        F.col("class_name"), F.lit("."), F.col("z.m"), F.lit("("), F.trim("z.p"), F.lit(") : "),
+        F.col("class_name"), F.lit("."), F.col("z.m"), F.lit("("), T.strip("z.p"), F.lit(") : "),
         F.col("z.r")).alias("signature"))
 
 

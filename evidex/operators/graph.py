@@ -31,16 +31,15 @@ def _plain(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter("src <> dst").distinct()
 
 
-def _without_back_edges(edges: DataFrame) -> DataFrame:
-    """Cut cycles: peel what nothing depends on, then drop core edges to a smaller name."""
-    core, n = edges, -1
+def _back_edges(left: DataFrame) -> DataFrame:
+    """Edges to a smaller name in the cyclic core: what is left after peeling both ends."""
+    core, n = left, -1
     while True:
         users = core.select(F.col("dst").alias("src")).distinct()
         core = settled(core.join(users, "src", "left_semi").select("src", "dst"))
         last, n = n, core.count()
         if n == last:
-            break
-    return settled(edges.join(core.filter("dst < src"), ["src", "dst"], "left_anti"))
+            return core.filter("dst < src")
 
 
 def wavefront_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
@@ -48,10 +47,11 @@ def wavefront_levels(edges: DataFrame, nodes: DataFrame | None = None, max_round
 
     Round k removes the edges into the leaves of level k, so a node's level is one more than
     the round that removed its last edge: one table is written per round. Where only cycles
-    are left, edges of the cyclic core that point to a smaller name count as back edges and
-    are skipped, so every node gets a level.
+    are left, edges of the cyclic core that point to a smaller name count as back edges; the
+    levels are then those of the graph without them, so every node gets one.
     """
     plain = settled(_plain(edges))
+    ends = plain.select(F.col("src").alias("node")).union(plain.select("dst"))
     left, removed, remaining = plain, [], plain.count()
     while remaining:
         if len(removed) > max_rounds:
@@ -63,13 +63,12 @@ def wavefront_levels(edges: DataFrame, nodes: DataFrame | None = None, max_round
         step = settled(left.join(leaves, "dst", "left").select("src", "dst", F.col("_gone").isNotNull().alias("_gone")))
         gone = step.agg(F.count_if("_gone")).first()[0]
         if gone == 0:
-            left = _without_back_edges(left)
-            remaining = left.count()
+            plain = settled(plain.join(_back_edges(left), ["src", "dst"], "left_anti"))
+            left, removed, remaining = plain, [], plain.count()
             continue
         removed.append(step.filter("_gone").select(
             F.col("src").alias("node"), F.lit(len(removed) + 1).cast("bigint").alias("level")))
         left, remaining = step.filter("not _gone").select("src", "dst"), remaining - gone
-    ends = plain.select(F.col("src").alias("node")).union(plain.select("dst"))
     every = ends if nodes is None else ends.union(nodes.select("node"))
     out = every.withColumn("level", F.lit(0).cast("bigint"))
     for r in removed:
@@ -198,7 +197,7 @@ def blast_rollup(radius: DataFrame, carriers: DataFrame, artifacts: DataFrame) -
     per = hit.groupBy("target", "affected").agg(
         F.min("distance").alias("distance"), F.count(F.lit(1)).alias("n_via"))
     a = artifacts.select(F.col("target").alias("affected"), "rules", F.when(
-        F.trim(F.coalesce("test_text", F.lit(""))) != "", F.concat("target", F.lit("Test"))).alias("test_class"))
+        T.strip(F.coalesce("test_text", F.lit(""))) != "", F.concat("target", F.lit("Test"))).alias("test_class"))
     return per.join(a, "affected").select(
         "target", "affected", "distance", "n_via", "rules", "test_class", (F.col("distance") == 1).alias("direct"))
 
@@ -210,7 +209,7 @@ def blast_summary(affected: DataFrame, artifacts: DataFrame) -> DataFrame:
         F.count("test_class").alias("tests"),
         F.coalesce(F.sum(F.when(F.col("direct"), F.col("rules"))), F.lit(0)).alias("r"))
     a = artifacts.select("target", F.col("rules").alias("own"), (
-        F.trim(F.coalesce("test_text", F.lit(""))) != "").cast("int").alias("own_test"))
+        T.strip(F.coalesce("test_text", F.lit(""))) != "").cast("int").alias("own_test"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return a.join(per, "target", "left").select(
         "target", z("direct").alias("direct"), z("indirect").alias("indirect"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
+from evidex.functions import text as T
 from evidex.operators.schema import field_name, object_name
 from evidex.operators.scale import computed
 
@@ -17,7 +18,7 @@ def impex_lines(files: DataFrame) -> DataFrame:
     window runs per file, whose lines all came from one row.
     """
     lines = files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("n", "raw"))
-    s = F.trim("raw")
+    s = T.strip("raw")
     lines = lines.select("file", (F.col("n") + 1).cast("bigint").alias("line_no"), "raw", s.alias("s"))
     is_header = F.col("s").rlike(R.IMPEX_HEADER)
     lines = lines.filter((F.col("s") != "") & ~F.col("s").startswith("#"))
@@ -35,25 +36,25 @@ def impex_lines(files: DataFrame) -> DataFrame:
 def columns_of(header: Column) -> Column:
     """array<struct<pos, raw, attr, modifiers, is_ref, ref_key, composite, is_macro, is_unique>>."""
     def one(raw: Column, pos: Column) -> Column:
-        t = F.trim(raw)
+        t = T.strip(raw)
         inside = F.regexp_extract(t, r"\[([^\[\]]*)\]\s*$", 1)
-        core = F.trim(F.regexp_replace(t, r"\[[^\[\]]*\]\s*$", ""))
-        parts = F.filter(F.transform(F.split(inside, ","), lambda p: F.trim(p)), lambda p: p != "")
+        core = T.strip(F.regexp_replace(t, r"\[[^\[\]]*\]\s*$", ""))
+        parts = F.filter(F.transform(F.split(inside, ","), lambda p: T.strip(p)), lambda p: p != "")
         mods = F.aggregate(
             parts, F.create_map().cast("map<string,string>"),
             lambda m, p: F.map_concat(
-                F.map_filter(m, lambda k, v: k != F.trim(F.substring_index(p, "=", 1))),
-                F.create_map(F.trim(F.substring_index(p, "=", 1)), F.when(
-                    p.contains("="), F.regexp_replace(F.trim(F.regexp_replace(p, "^[^=]*=", "")),
+                F.map_filter(m, lambda k, v: k != T.strip(F.substring_index(p, "=", 1))),
+                F.create_map(T.strip(F.substring_index(p, "=", 1)), F.when(
+                    p.contains("="), F.regexp_replace(T.strip(F.regexp_replace(p, "^[^=]*=", "")),
                                                       "^['\"]+|['\"]+$", "")).otherwise("true"))))
         macro, ref = core.startswith("$"), core.contains("(")
         inner = F.regexp_extract(core, r"^[^(]*\((.*)\)[^)]*$", 1)
         composite = ref & (inner.contains("(") | inner.contains(","))
         return F.struct(
             pos.cast("bigint").alias("pos"), t.alias("raw"),
-            F.when(macro | ~ref, core).otherwise(F.trim(F.substring_index(core, "(", 1))).alias("attr"),
+            F.when(macro | ~ref, core).otherwise(T.strip(F.substring_index(core, "(", 1))).alias("attr"),
             mods.alias("modifiers"), (~macro & ref).alias("is_ref"),
-            F.when(~macro & ref & ~composite, F.trim(inner)).alias("ref_key"),
+            F.when(~macro & ref & ~composite, T.strip(inner)).alias("ref_key"),
             (~macro & composite).alias("composite"), macro.alias("is_macro"),
             F.coalesce(F.lower(F.try_element_at(mods, F.lit("unique"))) == "true", F.lit(False))
             .alias("is_unique"))
@@ -88,7 +89,7 @@ def cells(lines: DataFrame) -> DataFrame:
     out = rows.select("file", "block_no", "line_no", "type", "mode", F.explode(zipped).alias("z"))
     return out.select("file", "block_no", "line_no", "type", "mode", F.col("z.c.pos").alias("pos"),
                       F.when(F.col("z.c.is_macro"), F.col("z.c.raw")).otherwise(F.col("z.c.attr")).alias("attr"),
-                      F.trim("z.v").alias("value"))
+                      T.strip("z.v").alias("value"))
 
 
 def load_header(c: Column) -> Column:
@@ -129,7 +130,7 @@ def load_records(lines: DataFrame) -> DataFrame:
     out = rows.select(object_name(F.col("type")).alias("object"), "mode", "file", "line_no", "v",
                       F.posexplode("columns").alias("i", "c"))
     return out.select("object", "mode", "file", "line_no", load_header(F.col("c")).alias("header"),
-                      F.coalesce(F.trim(F.get("v", F.col("i"))), F.lit("")).alias("value")
+                      F.coalesce(T.strip(F.get("v", F.col("i"))), F.lit("")).alias("value")
                       ).filter("header is not null")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions import names as N
+from evidex.functions import text as T
 from evidex.operators.scale import computed
 
 _TR = "array<struct<_name:string,_to:string>>"
@@ -54,7 +55,7 @@ def process_nodes(procs: DataFrame) -> DataFrame:
         def one(x: Column) -> Column:
             outs = F.concat(F.array(edge(F.lit("then"), x["_then"]), edge(F.lit("timeout"), x["timeout"]["_then"])),
                             named(x))
-            return rec(tag, x, s(), some(outs), F.trim(x["event"]), x["timeout"]["_delay"], s())
+            return rec(tag, x, s(), some(outs), T.strip(x["event"]), x["timeout"]["_delay"], s())
         return F.transform(F.coalesce(F.col(f"_x.{tag}"), F.array()), one)
 
     ends = F.transform(F.coalesce(F.col("_x.end"), F.array()), lambda x: rec(

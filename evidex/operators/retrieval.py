@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
+from evidex.functions import text as T
 from evidex.operators.scale import computed, settled
 
 
@@ -20,9 +21,9 @@ def chunk_by_heading(docs: DataFrame) -> DataFrame:
     ls = F.split("part", "\n")
     own = F.col("part").startswith("## ")
     rest = F.when(own, F.slice(ls, F.lit(2), F.size(ls))).otherwise(ls)
-    rows = computed(rows, rest=rest, own=own, head=F.trim(F.substring(F.get(ls, F.lit(0)), F.lit(4), F.length("part"))))
+    rows = computed(rows, rest=rest, own=own, head=T.strip(F.substring(F.get(ls, F.lit(0)), F.lit(4), F.length("part"))))
     names = F.filter("rest", lambda x: x.startswith("# "))
-    last = F.trim(F.substring(F.try_element_at(names, F.lit(-1)), F.lit(3), F.length("part")))
+    last = T.strip(F.substring(F.try_element_at(names, F.lit(-1)), F.lit(3), F.length("part")))
     body = F.regexp_replace(F.array_join(F.filter("rest", lambda x: ~x.startswith("# ")), "\n"), r"^\s+|\s+\z", "")
     out = rows.select(
         F.struct("doc_id", "pos").alias("chunk_id"), "doc",

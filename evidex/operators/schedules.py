@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.functions import text as T
 from evidex.operators.scale import computed, settled
 
 _PROP = "struct<_name:string,_value:string,_ref:string,value:string,ref:struct<_bean:string,_VALUE:string>>"
@@ -18,7 +19,7 @@ def beans(files: DataFrame) -> DataFrame:
     b = x.select("file", F.explode("_x.bean").alias("b")).filter("b._id <> ''")
     named = F.filter(F.coalesce("b.property", F.array()), lambda p: p["_name"].isNotNull())
     inner = lambda p: p["_value"].isNull() & p["_ref"].isNull()
-    value = lambda p: F.when(inner(p), F.trim(p["value"])).otherwise(p["_value"])
+    value = lambda p: F.when(inner(p), T.strip(p["value"])).otherwise(p["_value"])
     ref = lambda p: F.when(inner(p), F.coalesce(p["ref"]["_bean"], p["ref"]["_VALUE"])).otherwise(p["_ref"])
     props = F.transform(named, lambda p: F.struct(
         p["_name"].alias("name"), value(p).alias("value"), ref(p).alias("ref")))
@@ -73,8 +74,8 @@ def impex_triggers(cells: DataFrame) -> DataFrame:
 
 def cron_warnings(expr: Column) -> Column:
     """array<string>: wrong field count, or both day fields concrete."""
-    f = F.split(F.trim(expr), r"\s+")
-    n = F.when(F.trim(expr) == "", 0).otherwise(F.size(f))
+    f = F.split(T.strip(expr), r"\s+")
+    n = F.when(T.strip(expr) == "", 0).otherwise(F.size(f))
     free = lambda i: F.get(f, F.lit(i)).isin("?", "*")
     bad = ~n.isin(6, 7)
     return F.array_compact(F.array(

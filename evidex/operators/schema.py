@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import names as N
 from evidex.functions import rules as R
+from evidex.functions import text as T
 from evidex.operators.extract import infer_field_type
 from evidex.operators.scale import computed, settled
 
@@ -33,7 +34,7 @@ def derive_schema(item_types: DataFrame, enums: DataFrame) -> DataFrame:
     """schema_fields of the last declaration of each type; enum-typed attributes are picklists."""
     last = _last(item_types.filter("name <> ''"), "name", "fields")
     rows = last.select(F.col("name").alias("code"), F.posexplode("fields").alias("pos", "f"))
-    rows = rows.filter("f.name <> ''").withColumn("_raw", F.trim("f.type")).withColumn(
+    rows = rows.filter("f.name <> ''").withColumn("_raw", T.strip("f.type")).withColumn(
         "_base", F.substring_index("_raw", ".", -1))
     values = _last(enums, "name", "values")
     full = values.select(F.col("name").alias("_raw"), F.col("values").alias("_v1"))
@@ -109,7 +110,7 @@ def unknown_fields(code: DataFrame, schema: DataFrame) -> DataFrame:
                      F.regexp_extract_all(t, F.lit(R.SELECT_FROM), F.lit(2)).alias("object"))
     q = _bare(code).select("file", F.explode(z).alias("z"))
     used = q.select("file", F.col("z.object").alias("object"), F.explode(F.split("z.fields", ",")).alias("_f"))
-    used = used.select("file", "object", F.trim(F.substring_index(F.trim("_f"), ".", -1)).alias("field"))
+    used = used.select("file", "object", T.strip(F.substring_index(T.strip("_f"), ".", -1)).alias("field"))
     used = used.filter(F.col("field").endswith("__c")).withColumn("_k", F.lower("field"))
     used = used.join(schema.select("object").distinct(), "object", "left_semi")
     have = schema.select("object", F.lower("field").alias("_k")).distinct()

@@ -27,7 +27,7 @@ def _hits(files: DataFrame, found: Sequence[tuple[str, str, Column]], keep: Sequ
     out = one.select(*keep, "_l", F.col("_x.rule").alias("rule"),
                      F.col("_x.severity").alias("severity"),
                      F.explode("_x.at").alias("_line"))
-    cut = F.substring(F.trim(F.get("_l", F.col("_line") - 1)), 1, 120)
+    cut = F.substring(T.strip(F.get("_l", F.col("_line") - 1)), 1, 120)
     return out.select("rule", "severity", *keep, F.col("_line").cast("bigint").alias("line"),
                       (F.coalesce(cut, F.lit("")) if snippet else F.lit("")).alias("snippet"))
 
@@ -260,7 +260,7 @@ def validate_code_rules(files: DataFrame, keep: Sequence[str] = ("file",)) -> Da
     text, name = F.col("text"), F.col("name")
     is_test = name.endswith("Test.cls") | name.contains("Test")
     opened, closed = T.occurrences(text, "{"), T.occurrences(text, "}")
-    clean = F.transform(T.lines(text), lambda x: F.trim(
+    clean = F.transform(T.lines(text), lambda x: T.strip(
         F.regexp_replace(x, r"//.*|/\*.*?\*/", "")))
     src = computed(files, _l=clean)
     # The fold is only worth running where a loop word and a query or DML occur at all.
@@ -326,7 +326,7 @@ def validate_markup_bindings(bundles: DataFrame, keep: Sequence[str] = ("file",)
     def flag(cond: Column, rule: str, severity: str) -> Column:
         return F.array_compact(F.array(F.when(cond, issue(rule, severity))))
 
-    exprs = F.transform(F.regexp_extract_all(html, F.lit(r"\{([^{}]+)\}"), F.lit(1)), lambda e: F.trim(e))
+    exprs = F.transform(F.regexp_extract_all(html, F.lit(r"\{([^{}]+)\}"), F.lit(1)), lambda e: T.strip(e))
     allowed = "|".join(ALLOWED_BINDINGS)
     bad = F.filter(exprs, lambda e: (e != "") & ~e.rlike(allowed) & ~e.rlike(PROPERTY_PATH))
     # A for:each without key= in its 400 characters; one warning per bundle.

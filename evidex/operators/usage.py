@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
+from evidex.functions import text as T
 from evidex.operators.scale import running
 
 TOKENS = ("prompt", "completion", "cache_read", "cache_write")
@@ -24,7 +25,7 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
 
 def model_key(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Add ``key``: vendor prefix cut, and a trailing snapshot number if the rest is priced."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim("model"), f"^({R.VENDOR_PREFIXES})/", ""), rf"^({R.VENDOR_PREFIXES})\.", "")
+    bare = F.regexp_replace(F.regexp_replace(T.strip("model"), f"^({R.VENDOR_PREFIXES})/", ""), rf"^({R.VENDOR_PREFIXES})\.", "")
     base = F.regexp_replace("_m", r"-\d+$", "")
     known = prices.select("model").distinct()
     one = known.select(F.col("model").alias("_m"), F.lit(True).alias("_k1"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.functions import text as T
 from evidex.functions.rules import MODIFIERS
 from evidex.operators.scale import computed
 
@@ -48,7 +49,7 @@ def item_types(files: DataFrame) -> DataFrame:
             F.coalesce(a["_type"], F.lit("")).alias("type"),
             F.coalesce(a["description"], F.lit("")).alias("description"),
             _modifiers(a["modifiers"]).alias("modifiers"),
-            F.coalesce(F.nullif(F.trim(a["defaultvalue"]), F.lit("")), a["_default"]).alias("default")))
+            F.coalesce(F.nullif(T.strip(a["defaultvalue"]), F.lit("")), a["_default"]).alias("default")))
     return e.select("file", F.col("ord").cast("bigint").alias("ord"),
                     F.coalesce("_x._code", F.lit("Unknown")).alias("name"),
                     F.coalesce("_x.description", F.lit("")).alias("description"), fields.alias("fields"))
