@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidex.functions import names as N
 from evidex.functions import rules as R
 from evidex.functions import text as T
-from evidex.operators.scale import computed
+from evidex.operators.scale import computed, side_by_side
 
 
 def keywords(text: Column) -> Column:
@@ -98,7 +98,8 @@ def rule_ledger(rules: DataFrame, carriers: DataFrame, artifacts: DataFrame, ski
         .when(bad, "the target failed to generate — migrate this rule by hand")
         .when(ok, "the generated test references this rule's terms")
         .when(~F.coalesce("asserts", F.lit(False)), "no assertions in the generated test")
-        .otherwise("tests exist but none clearly cover this rule").alias("evidence"))
+        .otherwise("tests exist but none clearly cover this rule").alias("evidence")).orderBy(
+        status_rank(F.col("status")), "source", "rule")
 
 
 def status_rank(status: Column) -> Column:
@@ -152,7 +153,7 @@ def provenance_summary(links: DataFrame, in_symbols: DataFrame) -> DataFrame:
                   F.count_if(~found).alias("without_origin"), F.count(F.lit(1)).alias("methods"),
                   F.bround(F.try_divide(F.lit(100.0) * F.count_if(found), F.count(F.lit(1))), 0).cast("bigint").alias("coverage"),
                   F.count_if(F.col("confidence") == "high").alias("high"))
-    return t.crossJoin(lost)
+    return side_by_side(t, lost)
 
 
 def best_method(rules: DataFrame, methods: DataFrame) -> DataFrame:
@@ -209,7 +210,8 @@ def alignment_rows(rules: DataFrame, carriers: DataFrame, best: DataFrame, links
         F.when(~carried, "none").when(replayed, "replayed").when(F.col("status").isNotNull(), F.col("status")).otherwise("none").alias("proof_kind"),
         F.when(~carried, "no artifact carries this class")
         .when(~tied, "could not tie this rule to a specific method — it is carried by the class as a whole")
-        .when(~linked, F.concat(F.lit("`"), "method", F.lit("` has no traceable counterpart in `"), "target", F.lit("`"))).alias("broken_at"))
+        .when(~linked, F.concat(F.lit("`"), "method", F.lit("` has no traceable counterpart in `"), "target", F.lit("`"))).alias("broken_at")
+    ).orderBy(F.col("target_method").isNotNull(), F.col("proof_kind") != "none", "class_name", "rule_id")
 
 
 _EXPR = (r'(?:"(?:[^"\\]++|\\.)*+"|\'(?:[^\'\\]++|\\.)*+\'|new\s+\w+\s*\([^()]*\)|[\w.\-]+(?:\([^()]*\))?)')

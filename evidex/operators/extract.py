@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidex.functions import names as N
 from evidex.functions import rules as R
 from evidex.functions import text as T
-from evidex.operators.scale import computed, settled
+from evidex.operators.scale import computed, settled, side_by_side
 from evidex.operators.textscan import is_test_file
 
 _CLASS = r"\b(class|interface)\s+(\w+)"
@@ -313,6 +313,16 @@ def discovery_counts(classes: DataFrame) -> DataFrame:
         F.sum((T.newlines(F.col("source")) + 1).cast("bigint")).alias("loc"))
 
 
+def discovery_summary(classes: DataFrame, objects: DataFrame, processes: DataFrame) -> DataFrame:
+    """One row for the first gate: classes, lines, objects, processes, domains."""
+    loc = (T.newlines(F.col("source")) + 1).cast("bigint")
+    return side_by_side(
+        classes.agg(F.count(F.lit(1)).alias("classes"), F.sum(loc).alias("loc"),
+                    F.countDistinct(N.domain_key(F.col("class_name"))).alias("domains")),
+        objects.agg(F.countDistinct("object").alias("objects")),
+        processes.agg(F.count(F.lit(1)).alias("processes")))
+
+
 def class_profile(classes: DataFrame) -> DataFrame:
     """The profile used without a model: purpose, inputs, outputs, dependencies, complexity."""
     m = F.col("methods")

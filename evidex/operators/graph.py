@@ -159,8 +159,8 @@ def method_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     dao = d.contains("Dao") | d.contains("DAO")
     pair = pair.filter((c.contains("Controller") & d.contains("Service")) | (c.contains("Service") & dao)).filter(
         "class_name <> named")
-    empty = links.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
-    spare = pair.crossJoin(empty).filter("_none").select(
+    none = links.limit(1).agg(F.count(F.lit(1)) == 0).scalar()
+    spare = pair.filter(none).select(
         F.concat_ws(".", "class_name", "first").alias("source"), F.concat_ws(".", "named", "first2").alias("target"))
     return nodes, links.unionByName(spare.distinct())
 

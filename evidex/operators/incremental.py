@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.operators.scale import digest_of, digest_words, set_digest
+from evidex.operators.scale import digest_of, digest_words, set_digest, side_by_side
 
 
 def class_hashes(classes: DataFrame) -> DataFrame:
@@ -66,11 +66,10 @@ def merged_state(state: DataFrame, fresh: DataFrame) -> DataFrame:
 def prefix_invalidation(domains: DataFrame) -> DataFrame:
     """Add ``reuse`` to domains(domain, pos, changed): unchanged, and nothing changed before.
 
-    The first changed position is one aggregate row, so no ordered pass over all domains.
+    The first changed position is one aggregate value, so no ordered pass over all domains.
     """
-    first = domains.agg(F.min(F.when(F.col("changed"), F.col("pos"))).alias("_first"))
-    return domains.crossJoin(F.broadcast(first)).withColumn(
-        "reuse", ~F.col("changed") & F.coalesce(F.col("pos") < F.col("_first"), F.lit(True))).drop("_first")
+    first = domains.agg(F.min(F.when(F.col("changed"), F.col("pos")))).scalar()
+    return domains.withColumn("reuse", ~F.col("changed") & F.coalesce(F.col("pos") < first, F.lit(True)))
 
 
 def source_fingerprint(classes: DataFrame) -> DataFrame:
@@ -89,7 +88,8 @@ def snapshot_list(manifest: DataFrame, plan: DataFrame, artifacts: DataFrame, cl
     c = classes.groupBy(k).agg(F.count(F.lit(1)).alias("classes"))
     out = manifest.join(p, k, "left").join(a, k, "left").join(c, k, "left")
     z = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n)
-    return out.select(*manifest.columns, *[z(n) for n in ("classes", "plan_items", "convert", "skip", "artifacts", "failed")])
+    counts = [z(n) for n in ("classes", "plan_items", "convert", "skip", "artifacts", "failed")]
+    return out.select(*manifest.columns, *counts).orderBy(F.desc("at"), F.desc(k))
 
 
 def snapshot_plan_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -123,9 +123,9 @@ def snapshot_summary(plan_a: DataFrame, plan_b: DataFrame, arts_a: DataFrame, ar
     """One row: changes of both kinds, and the deltas in converted and failed."""
     n = lambda d, cond, name: d.agg(F.count_if(cond).alias(name))
     conv, fail = F.col("target_kind") != "Skip", F.col("status") == "error"
-    one = (snapshot_plan_diff(plan_a, plan_b).agg(F.count(F.lit(1)).alias("plan_changed"))
-           .crossJoin(snapshot_artifact_diff(arts_a, arts_b).agg(F.count(F.lit(1)).alias("artifacts_changed")))
-           .crossJoin(n(plan_a, conv, "_ca")).crossJoin(n(plan_b, conv, "_cb"))
-           .crossJoin(n(arts_a, fail, "_fa")).crossJoin(n(arts_b, fail, "_fb")))
+    one = side_by_side(
+        snapshot_plan_diff(plan_a, plan_b).agg(F.count(F.lit(1)).alias("plan_changed")),
+        snapshot_artifact_diff(arts_a, arts_b).agg(F.count(F.lit(1)).alias("artifacts_changed")),
+        n(plan_a, conv, "_ca"), n(plan_b, conv, "_cb"), n(arts_a, fail, "_fa"), n(arts_b, fail, "_fb"))
     return one.select("plan_changed", "artifacts_changed", (F.col("_cb") - F.col("_ca")).alias("convert_delta"),
                       (F.col("_fb") - F.col("_fa")).alias("failed_delta"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import names as N
 from evidex.functions import text as T
-from evidex.operators.scale import computed
+from evidex.operators.scale import computed, side_by_side
 
 _TR = "array<struct<_name:string,_to:string>>"
 _ACT = f"array<struct<_id:string,_bean:string,_class:string,transition:{_TR}>>"
@@ -117,7 +117,7 @@ def process_summary(tables: DataFrame, cover: DataFrame) -> DataFrame:
     t = tables.agg(F.count(F.lit(1)).alias("processes"), F.sum("actions").alias("actions"),
                    F.count_if("unreadable").alias("unreadable"), F.sum("transitions").alias("transitions"),
                    F.count_if(~F.col("unreadable")).alias("scaffolded"))
-    return t.crossJoin(c)
+    return side_by_side(t, c)
 
 
 def covered_classes(nodes: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
+from evidex.operators.scale import side_by_side
 
 
 def own_hazards(sources: DataFrame, hazards: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def triage(artifacts: DataFrame, sources: DataFrame, hazards: DataFrame, finding
     clean = F.array(F.lit("mechanical layer, built clean, carries no business rules"))
     return a.select("target", "layer", "score", "band", "critical", "high", "medium", "errors", "warnings", "rules",
                     F.when(F.col("cx") == 2, "High").when(F.col("cx") == 1, "Medium").otherwise("—").alias("complexity"),
-                    F.when(plain, clean).otherwise(F.col("_r")).alias("reasons"))
+                    F.when(plain, clean).otherwise(F.col("_r")).alias("reasons")).orderBy(F.desc("score"), "target")
 
 
 def triage_summary(items: DataFrame) -> DataFrame:
@@ -118,9 +119,7 @@ def approval_rollup(approvals: DataFrame) -> DataFrame:
 
 def signoff_rollup(approvals: DataFrame, *summaries: DataFrame) -> DataFrame:
     """One row of one-row tables; ``contract_id`` hashes the facts, so equal facts agree."""
-    out = approval_rollup(approvals)
-    for s in summaries:
-        out = out.crossJoin(s)
+    out = side_by_side(approval_rollup(approvals), *summaries)
     return out.withColumn("contract_id", F.substring(F.sha2(F.to_json(F.struct(*out.columns)), 256), 1, 16))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
 from evidex.functions import text as T
-from evidex.operators.scale import computed, settled
+from evidex.operators.scale import computed, settled, side_by_side
 
 
 def chunk_by_heading(docs: DataFrame) -> DataFrame:
@@ -44,10 +44,9 @@ def term_counts(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 def idf_table(tf: DataFrame, chunks: DataFrame) -> DataFrame:
     """(term, df, idf) with idf = ln((n+1)/(df+1)) + 1 over all chunks."""
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    n = chunks.agg(F.count(F.lit(1))).scalar()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(n)).select(
-        "term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return df.select("term", "df", (F.ln((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def tfidf_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -123,7 +122,7 @@ def scorecard(issues: DataFrame, expected: DataFrame, produced: DataFrame) -> Da
     viol = issues.agg(F.count_if(F.col("rule").isin("unknown_field", "unknown_sobject")).alias("schema_violations"))
     want = expected.select("target").distinct().agg(F.count(F.lit(1)).alias("_want"))
     lost = missing_targets(expected, produced).agg(F.count(F.lit(1)).alias("missing"))
-    one = files.crossJoin(viol).crossJoin(want).crossJoin(lost)
+    one = side_by_side(files, viol, want, lost)
     rate = F.coalesce(F.bround(F.try_divide(F.col("_passed"), F.col("files_total")), 3), F.lit(0.0))
     cover = F.coalesce(F.bround(F.try_divide(F.col("_want") - F.col("missing"), F.col("_want")), 3), F.lit(1.0))
     return one.select("files_total", rate.alias("pass_rate"), "schema_violations", cover.alias("coverage"), "missing")

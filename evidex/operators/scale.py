@@ -98,6 +98,14 @@ def computed(df: DataFrame, **cols: Column) -> DataFrame:
     return made.select(*keep, *[F.col(f"_made.{n}").alias(n) for n in cols])
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row aggregates, without a join."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 DIGEST_WORDS = 5
 
 

@@ -9,7 +9,7 @@ from evidex.functions import names as N
 from evidex.functions import rules as R
 from evidex.functions import text as T
 from evidex.operators.extract import infer_field_type
-from evidex.operators.scale import computed, settled
+from evidex.operators.scale import computed, global_rank, settled
 
 FIELDS = ("object", "code", "field", "type", "picklist", "required", "unique", "default")
 SUFFIX_KEY = 64
@@ -73,67 +73,79 @@ def with_lookups(schema: DataFrame, lookups: DataFrame) -> DataFrame:
     return kept.unionByName(lookups)
 
 
-def schema_catalog(schema: DataFrame) -> DataFrame:
-    """One line per object: fields sorted. An object's fields come from one declaration."""
+CATALOG_WIDTH = 1000
+
+
+def schema_catalog(schema: DataFrame, width: int = CATALOG_WIDTH) -> DataFrame:
+    """(object, part, line): fields sorted, ``width`` to a line; most objects have one part.
+
+    Fields are ranked by a range sort, so an object with a third of all fields is no single
+    group: it gives as many lines as it needs.
+    """
     entry = F.concat(F.col("field"), F.lit(" ("), F.col("type"), F.lit(")"))
-    lines = schema.groupBy("object").agg(F.array_sort(F.collect_set(entry)).alias("e"))
-    return lines.select("object", F.concat(
-        F.lit("- "), "object", F.lit(": "), F.array_join("e", ", ")).alias("line"))
+    rows = global_rank(schema.select("object", entry.alias("e")).distinct(), [F.col("object"), F.col("e")], "n")
+    first = rows.groupBy("object").agg(F.min("n").alias("n0"))
+    part = F.floor((F.col("n") - F.col("n0")) / width).alias("part")
+    lines = rows.join(first, "object").select("object", part, "e").groupBy("object", "part").agg(
+        F.array_sort(F.collect_list("e")).alias("e"))
+    return lines.select("object", "part", F.concat(F.lit("- "), "object", F.lit(": "), F.array_join("e", ", ")).alias("line"))
+
 
+def code_references(code: DataFrame) -> DataFrame:
+    """refs(file, place, object, field) of code(file, text) without comments, in one pass.
 
-def _bare(code: DataFrame) -> DataFrame:
-    t = F.regexp_replace("text", r"(?s)/\*.*?\*/", "")
-    return computed(code.select("file", "text"), _t=F.regexp_replace(t, r"//[^\n]*", ""))
+    Places: ``object`` positions, ``select`` lists with their FROM object, ``dotted`` access.
+    """
+    bare = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+    src = computed(code.select("file", "text"), _t=bare)
+    t, none = F.col("_t"), F.lit(None).cast("string")
+
+    def ref(place: str, obj: Column, field: Column) -> Column:
+        return F.struct(F.lit(place).alias("place"), obj.alias("object"), field.alias("field"))
+
+    find = lambda p, g: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    objects = F.transform(F.concat(*[find(p, 1) for p in R.OBJECT_POSITIONS]), lambda o: ref("object", o, none))
+    last = lambda f: T.strip(F.substring_index(T.strip(f), ".", -1))
+    selects = F.flatten(F.zip_with(find(R.SELECT_FROM, 1), find(R.SELECT_FROM, 2), lambda fs, o: F.transform(
+        F.split(fs, ","), lambda f: ref("select", o, last(f)))))
+    dotted = F.transform(find(R.DOTTED_FIELD, 1), lambda f: ref("dotted", none, f))
+    return src.select("file", F.explode(F.array_distinct(F.concat(objects, selects, dotted))).alias("r")).select("file", "r.*")
 
 
-def _issue(df: DataFrame, rule: str, obj: Column, field: Column, message: Column) -> DataFrame:
-    return df.select("file", F.lit(rule).alias("rule"), message.alias("message"),
-                     F.lit("WARNING").alias("severity"), obj.alias("object"), field.alias("field"))
+def _issue(df: DataFrame, rule: str, message: Column) -> DataFrame:
+    return df.select("file", F.lit(rule).alias("rule"), message.alias("message"), F.lit("WARNING").alias("severity"),
+                     "object", "field")
 
 
-def unknown_objects(code: DataFrame, schema: DataFrame) -> DataFrame:
+def unknown_objects(refs: DataFrame, schema: DataFrame) -> DataFrame:
     """Objects in object positions that the schema lacks, once per file."""
-    t = F.col("_t")
-    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in R.OBJECT_POSITIONS])
-    used = _bare(code).select("file", F.explode(F.array_distinct(found)).alias("object"))
-    lost = used.join(schema.select("object").distinct(), "object", "left_anti")
-    none = F.lit(None).cast("string")
-    return _issue(lost, "unknown_sobject", F.col("object"), none, F.concat(
-        F.lit("References custom object '"), F.col("object"),
-        F.lit("' which is not defined in items.xml schema.")))
+    lost = refs.filter("place = 'object'").join(schema.select("object").distinct(), "object", "left_anti")
+    return _issue(lost, "unknown_sobject", F.concat(
+        F.lit("References custom object '"), F.col("object"), F.lit("' which is not defined in items.xml schema.")))
 
 
-def unknown_fields(code: DataFrame, schema: DataFrame) -> DataFrame:
+def unknown_fields(refs: DataFrame, schema: DataFrame) -> DataFrame:
     """Custom fields of ``[SELECT ... FROM X]`` that X lacks; skipped where X is unknown."""
-    t = F.col("_t")
-    z = F.arrays_zip(F.regexp_extract_all(t, F.lit(R.SELECT_FROM), F.lit(1)).alias("fields"),
-                     F.regexp_extract_all(t, F.lit(R.SELECT_FROM), F.lit(2)).alias("object"))
-    q = _bare(code).select("file", F.explode(z).alias("z"))
-    used = q.select("file", F.col("z.object").alias("object"), F.explode(F.split("z.fields", ",")).alias("_f"))
-    used = used.select("file", "object", T.strip(F.substring_index(T.strip("_f"), ".", -1)).alias("field"))
-    used = used.filter(F.col("field").endswith("__c")).withColumn("_k", F.lower("field"))
+    used = refs.filter((F.col("place") == "select") & F.col("field").endswith("__c")).withColumn("_k", F.lower("field"))
     used = used.join(schema.select("object").distinct(), "object", "left_semi")
     have = schema.select("object", F.lower("field").alias("_k")).distinct()
-    lost = used.join(have, ["object", "_k"], "left_anti")
-    return _issue(lost, "unknown_field", F.col("object"), F.col("field"), F.concat(
+    return _issue(used.join(have, ["object", "_k"], "left_anti"), "unknown_field", F.concat(
         F.lit("SOQL selects '"), F.col("field"), F.lit("' from "), F.col("object"),
-        F.lit(", but that field is not in the schema."))).distinct()
+        F.lit(", but that field is not in the schema.")))
 
 
-def unknown_dotted_fields(code: DataFrame, schema: DataFrame) -> DataFrame:
+def unknown_dotted_fields(refs: DataFrame, schema: DataFrame) -> DataFrame:
     """``x.Y__c`` where no object has Y__c."""
-    found = F.array_distinct(F.regexp_extract_all(F.col("_t"), F.lit(R.DOTTED_FIELD), F.lit(1)))
-    used = _bare(code).select("file", F.explode(found).alias("field")).withColumn("_k", F.lower("field"))
-    used = used.filter(~F.col("_k").isin(*R.STANDARD_FIELDS))
+    used = refs.filter("place = 'dotted'").withColumn("_k", F.lower("field")).filter(~F.col("_k").isin(*R.STANDARD_FIELDS))
     lost = used.join(schema.select(F.lower("field").alias("_k")).distinct(), "_k", "left_anti")
-    return _issue(lost, "unknown_field", F.lit(None).cast("string"), F.col("field"), F.concat(
-        F.lit("References custom field '"), F.col("field"),
-        F.lit("' which exists on no object in the schema.")))
+    return _issue(lost, "unknown_field", F.concat(
+        F.lit("References custom field '"), F.col("field"), F.lit("' which exists on no object in the schema.")))
 
 
 def field_references(code: DataFrame, schema: DataFrame) -> DataFrame:
-    """All three checks, one issue per message and file."""
-    parts = [f(code, schema) for f in (unknown_objects, unknown_fields, unknown_dotted_fields)]
+    """All three checks over one scan of the code, one issue per message and file."""
+    refs = settled(code_references(code), "refs")
+    parts = [f(refs, schema) for f in (unknown_objects, unknown_fields, unknown_dotted_fields)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["file", "message"])
 
 
@@ -173,15 +185,18 @@ def reconcile_schema(issues: DataFrame, schema: DataFrame, corpus: DataFrame) ->
 
     objs = asked.filter("rule = 'unknown_sobject' and object is not null").select("object").join(
         known, "object", "left_anti").distinct()
-    obj_yes = settled(evidenced(objs, corpus, "object"))
-    obj_no = objs.join(obj_yes, "object", "left_anti")
     fields = asked.filter("rule = 'unknown_field' and field is not null")
     have = schema.select("object", "field").distinct()
     placed = fields.filter("object is not null").join(known, "object", "left_semi").join(
         have, ["object", "field"], "left_anti").select("object", "field")
     loose = fields.join(known, "object", "left_anti").select("field").distinct()
-    yes = settled(evidenced(placed, corpus, "field"))
-    no = placed.join(yes, ["object", "field"], "left_anti")
+    # One pass over the corpus answers for objects and fields alike.
+    names = objs.select(F.col("object").alias("name")).unionByName(placed.select(F.col("field").alias("name"))).distinct()
+    found = settled(evidenced(names, corpus, "name"), "evidence")
+    obj_yes = objs.join(found.select(F.col("name").alias("object")), "object", "left_semi")
+    obj_no = objs.join(found.select(F.col("name").alias("object")), "object", "left_anti")
+    yes = placed.join(found.select(F.col("name").alias("field")), "field", "left_semi").select("object", "field")
+    no = placed.join(found.select(F.col("name").alias("field")), "field", "left_anti").select("object", "field")
     typed = infer_field_type(yes, corpus)
     o, f = F.col("object"), F.col("field")
     parts = [
@@ -259,7 +274,7 @@ def target_fit(planned: DataFrame, inventory: DataFrame, limits: DataFrame) -> D
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.orderBy(F.when(F.col("severity") == "critical", 0).otherwise(1), "object")
 
 
 def missing_from_errors(errors: DataFrame, text: str = "problem") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
 from evidex.functions import text as T
-from evidex.operators.scale import computed, global_rank
+from evidex.operators.scale import computed, global_rank, side_by_side
 
 
 def _hits(files: DataFrame, found: Sequence[tuple[str, str, Column]], keep: Sequence[str],
@@ -42,9 +42,9 @@ def regex_scan(files: DataFrame, rules: Sequence[tuple[str, str, str]],
 def block_lines(files: DataFrame, keep: Sequence[str] = ("file",)) -> DataFrame:
     """(file, line) for every line inside a loop body."""
     spans = computed(files.select(*keep, "text"), _r=T.loop_ranges(F.col("text")))
-    ranges = spans.select(*keep, F.explode("_r").alias("r"))
-    each = ranges.select(*keep, F.explode(F.sequence("r.lo", "r.hi")).alias("line"))
-    return each.select(*keep, F.col("line").cast("bigint").alias("line")).distinct()
+    inside = F.array_distinct(F.flatten(F.transform("_r", lambda r: F.sequence(r["lo"], r["hi"]))))
+    each = spans.select(*keep, F.explode(inside).alias("line"))
+    return each.select(*keep, F.col("line").cast("bigint").alias("line"))
 
 
 def hazard_scan(files: DataFrame, rules=R.HAZARD_RULES, suffix: str | None = ".java") -> DataFrame:
@@ -193,12 +193,19 @@ def inventory(files: DataFrame, component_end: str = ".component.ts",
                      ext.alias("extensions"))
 
 
+def extension_names(files: DataFrame, descriptor: str = "extensioninfo.xml") -> DataFrame:
+    """Distinct extensions: the name in each descriptor, else its folder."""
+    named = F.nullif(F.regexp_extract("text", r'<extension\b[^>]*\bname\s*=\s*"([^"]+)"', 1), F.lit(""))
+    parent = F.nullif(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1), F.lit(""))
+    return files.filter(F.col("name") == descriptor).select(F.coalesce(named, parent).alias("extension")).filter(
+        "extension is not null").distinct()
+
+
 def corpus_verdict(counts: DataFrame, signals: DataFrame, secrets: DataFrame,
                    type_files: DataFrame) -> DataFrame:
     """reject / warn / ok from four one-row aggregates."""
-    one = (counts.crossJoin(corpus_score(signals))
-           .crossJoin(secrets.agg(F.count(F.lit(1)).alias("secrets")))
-           .crossJoin(type_files.agg(F.count(F.lit(1)).alias("type_files"))))
+    one = side_by_side(counts, corpus_score(signals), secrets.agg(F.count(F.lit(1)).alias("secrets")),
+                       type_files.agg(F.count(F.lit(1)).alias("type_files")))
     code, parts = F.col("java_files"), F.col("components")
     reject = ((code == 0) & (parts == 0)) | (F.col("score") < 25)
     warn = ((code > 0) & (F.col("type_files") == 0)) | (code > 800) | (F.col("secrets") > 0)

@@ -166,7 +166,8 @@ def call_replay_summary(calls: DataFrame) -> DataFrame:
     """By stage family: calls, cached, sorted distinct models (few), prompt characters."""
     return calls.groupBy(F.substring_index("stage", "_", 1).alias("stage")).agg(
         F.count(F.lit(1)).alias("calls"), F.count_if("cached").alias("cached"),
-        F.array_sort(F.collect_set("model")).alias("models"), F.sum("prompt_chars").alias("chars"))
+        F.array_sort(F.collect_set("model")).alias("models"), F.sum("prompt_chars").alias("chars")).orderBy(
+        F.desc("calls"), "stage")
 
 
 def replay_totals(calls: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from evidex.functions import text as T
 from evidex.operators import assurance as A
 from evidex.operators import ranking as K
 from evidex.operators import textscan as S
-from evidex.operators.scale import computed
+from evidex.operators.scale import computed, side_by_side
 from evidex.plans.corpora import CODE_SQL, HAZARD_SQL, gen_code, joined
 from evidex.plans.graph import LEDGER_SQL, ledger
 from evidex.plans.registry import query
@@ -434,7 +434,7 @@ def caveat_rows(t):
     prov = A.provenance_summary(A.provenance_links(out, ins), ins).select("without_origin", "without_target")
     rep = replay_summary(t).select(F.col("total").alias("behaviours"), "runnable")
     hz = t.events.agg(F.count_if(F.col("event_type") == "error").alias("critical"), F.lit(0).cast("bigint").alias("high"))
-    return K.caveat_rows(contract(t).crossJoin(prov).crossJoin(rep).crossJoin(hz).withColumn("org_verified", F.lit(False)))
+    return K.caveat_rows(side_by_side(contract(t), prov, rep, hz).withColumn("org_verified", F.lit(False)))
 
 
 @query("decision_log", """
@@ -442,3 +442,18 @@ SELECT role AS agent, count(*) AS entries, count(*) FILTER (contains(text, 'ou')
 def decision_log(t):
     d = t.conversations.select(F.col("role").alias("agent"), F.when(F.col("text").contains("ou"), "question").otherwise("note").alias("action"), F.col("text").alias("detail"))
     return K.decision_log(d)
+
+
+@query("rule_id", """
+SELECT conv_id, turn, 'R-' || substr(md5(trim('C' || conv_id || '|' || trim(text))), 1, 8) AS rule_id,
+  'B-' || substr(md5('C' || conv_id || '#' || role || '#' || turn), 1, 8) AS behaviour_id FROM conversations""")
+def rule_id(t):
+    return t.conversations.select("conv_id", "turn", N.rule_id(conv("C"), T.strip("text")).alias("rule_id"),
+                                  N.behaviour_id(conv("C"), F.col("role"), F.col("turn")).alias("behaviour_id"))
+
+
+@query("contract_id", f"""
+WITH {SIGN_SQL} SELECT substr(sha256('{{"supervised":' || supervised || ',"reviewers":' || reviewers || ',"gates_reviewed":["' || array_to_string(gates_reviewed, '","') || '"],"gates_auto":["' || array_to_string(gates_auto, '","')
+  || '"],"unaccounted":' || unaccounted || ',"overwritten":' || overwritten || ',"unreadable":' || unreadable || ',"rules":' || rules || ',"asserted":' || asserted || ',"at_risk":' || at_risk || ',"dropped":' || dropped || '}}'), 1, 16) AS contract_id FROM f""")
+def contract_id(t):
+    return contract(t).select("contract_id")

@@ -256,3 +256,11 @@ def class_profile(t):
     return p.select("class_name", "purpose", n("inputs").alias("n_inputs"), n("outputs").alias("n_outputs"),
                     F.array_join("dependencies", "|").alias("dependencies"), "complexity", "loc",
                     n("methods").alias("n_methods"))
+
+
+@query("discovery_summary", f"""
+WITH {CODE_SQL} SELECT count(*) AS classes, sum(len(string_split(text, chr(10))))::BIGINT AS loc, count(DISTINCT file_id) AS domains,
+  (SELECT count(DISTINCT p_brand) FROM part) AS objects, (SELECT count(*) FROM orders) AS processes FROM cls""")
+def discovery_summary(t):
+    c = X.class_table(gen_code(t.events))
+    return X.discovery_summary(c, t.part.select(F.col("p_brand").alias("object")), t.orders)

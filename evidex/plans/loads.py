@@ -103,6 +103,14 @@ def load_plan(t):
     return I.load_records(lines_of(t))
 
 
+@query("load_objects", f"""
+WITH {IMPEX_SQL} SELECT DISTINCT type || '__c' AS object, type, CASE type WHEN 'Customer' THEN 'INSERT_UPDATE|UPDATE' WHEN 'Segment' THEN 'REMOVE' ELSE 'INSERT_UPDATE' END AS modes,
+  CASE WHEN type = 'Customer' THEN 'addr → addr(street,town(code))' ELSE '' END AS manual_relationships FROM ln""")
+def load_objects(t):
+    o = I.load_objects(lines_of(t))
+    return o.withColumn("modes", F.array_join("modes", "|")).withColumn("manual_relationships", F.array_join("manual_relationships", "|"))
+
+
 @query("load_headers", """
 SELECT * FROM (VALUES ('Customer__c', 'Uid__c', 1), ('Customer__c', 'Name__c', 2), ('Customer__c', 'Nation__r.Code__c', 3),
  ('Customer__c', 'Balance__c', 4), ('Segment__c', 'Code__c', 1), ('Trigger__c', 'CronJob__r.Code__c', 1),

@@ -118,7 +118,7 @@ def forecast_stages(t):
                     F.round("usd_low", 6).alias("usd_low"), F.round("usd_high", 6).alias("usd_high"))
 
 
-@query("forecast_totals", f"""
+FORECAST_SQL = f"""
 WITH {SIZE_SQL},
 a AS (SELECT source, sum(calls)::BIGINT AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum((tokens_in * pi + lo * po) / 1e6)::DOUBLE AS ul, sum((tokens_in * pi + hi * po) / 1e6)::DOUBLE AS uh, sum(calls * sl)::DOUBLE AS sl, sum(calls * sh)::DOUBLE AS sh FROM st GROUP BY 1),
 r AS (SELECT pl.*, trunc(t * 0.10::DOUBLE)::BIGINT AS rl, trunc(t * 0.35::DOUBLE)::BIGINT AS rh FROM pl),
@@ -127,12 +127,20 @@ m AS (SELECT source, coalesce(calls, 0) AS calls, coalesce(tokens_in, 0) AS toke
   round_even(coalesce(sl, 0) / 8 / 60, 1) AS minutes_low, round_even((coalesce(sh, 0) + rh * 25) / 8 / 60, 1) AS minutes_high, round_even(involved_all * (n_classes / all_classes), 0) AS inv,
   greatest(0, round_even(all_classes * (n_classes / all_classes), 0) - round_even(involved_all * (n_classes / all_classes), 0)) AS rou FROM r3 LEFT JOIN a USING (source))
 SELECT source, calls, tokens_in, cost_low, cost_high, minutes_low, minutes_high, round_even((rou * 1 + inv * 8) / 60, 1) AS review_low, round_even((rou * 3 + inv * 20) / 60, 1) AS review_high,
-  cost_high > 2.0 AS will_exceed, cost_low <= 2.0 AND 2.0 < cost_high AS may_exceed, CASE WHEN cost_high > 2.0 THEN CASE WHEN cost_low <= 2.0 THEN 'may exceed, high estimate exceeds' ELSE 'will exceed' END ELSE 'within' END AS budget FROM m""")
+  cost_high > 2.0 AS will_exceed, cost_low <= 2.0 AND 2.0 < cost_high AS may_exceed, CASE WHEN cost_high > 2.0 THEN CASE WHEN cost_low <= 2.0 THEN 'may exceed, high estimate exceeds' ELSE 'will exceed' END ELSE 'within' END AS budget FROM m"""
+
+
+@query("forecast_totals", FORECAST_SQL)
 def forecast_totals(t):
     s = sizes(t)
     return U.forecast_totals(s, U.forecast_stages(s, ["source"], RATES), ["source"], RATES, cap=2.0)
 
 
+@query("budget_verdict", f"SELECT source, will_exceed, may_exceed, budget FROM ({FORECAST_SQL})")
+def budget_verdict(t):
+    return forecast_totals(t).select("source", "will_exceed", "may_exceed", "budget")
+
+
 def spend_calls(t):
     return t.events.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.when(
         F.col("event_type") != "error", F.col("value")).alias("usd"))

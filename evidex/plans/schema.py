@@ -138,7 +138,7 @@ def relation_lookups(t):
 
 @query("schema_catalog", f"""
 WITH {TYPES_SQL}
-SELECT object, '- ' || object || ': ' || string_agg(field || ' (' || type || ')', ', ' ORDER BY field || ' (' || type || ')') AS line
+SELECT object, 0 AS part, '- ' || object || ': ' || string_agg(field || ' (' || type || ')', ', ' ORDER BY field || ' (' || type || ')') AS line
 FROM full_schema GROUP BY object""")
 def schema_catalog(t):
     return S.schema_catalog(full_schema(t))
@@ -185,21 +185,21 @@ WITH {ISSUES_SQL}
 SELECT file, 'unknown_sobject' AS rule, 'References custom object ''' || object || ''' which is not defined in items.xml schema.' AS message,
   'WARNING' AS severity, object FROM uo""")
 def unknown_objects(t):
-    return S.unknown_objects(gen_refs(t.part), full_schema(t)).drop("field")
+    return S.unknown_objects(S.code_references(gen_refs(t.part)), full_schema(t)).drop("field")
 
 
 @query("unknown_fields", f"""
 WITH {ISSUES_SQL}
 SELECT file, object, field, 'SOQL selects ''' || field || ''' from ' || object || ', but that field is not in the schema.' AS message FROM uf""")
 def unknown_fields(t):
-    return S.unknown_fields(gen_refs(t.part), full_schema(t)).select("file", "object", "field", "message")
+    return S.unknown_fields(S.code_references(gen_refs(t.part)), full_schema(t)).select("file", "object", "field", "message")
 
 
 @query("unknown_dotted_fields", f"""
 WITH {ISSUES_SQL}
 SELECT file, field, 'References custom field ''' || field || ''' which exists on no object in the schema.' AS message FROM ud""")
 def unknown_dotted_fields(t):
-    return S.unknown_dotted_fields(gen_refs(t.part), full_schema(t)).select("file", "field", "message")
+    return S.unknown_dotted_fields(S.code_references(gen_refs(t.part)), full_schema(t)).select("file", "field", "message")
 
 
 @query("field_references", f"""

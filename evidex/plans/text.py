@@ -339,3 +339,15 @@ def validate_markup_bindings(t):
     df = t.pages.select("page_id", "html", F.concat(even, third).alias("meta"),
                         F.when(F.col("html").contains("track("), "export default x").alias("js"))
     return S.validate_markup_bindings(df, ("page_id",))
+
+
+@query("extension_names", f"""
+WITH {PAGE_SQL}
+SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, 'lang="([a-z]+)"', 1) ELSE split_part(path, '/', -2) END AS extension FROM p
+WHERE suffix = '.html'""")
+def extension_names(t):
+    """Every .html page as a descriptor; each third one states its own name."""
+    f = page_files(t).filter("suffix = '.html'")
+    named = F.concat(F.lit('<extension name="'), F.regexp_extract("text", 'lang="([a-z]+)"', 1), F.lit('"/>'))
+    f = f.withColumn("text", F.when(F.col("page_id") % 3 == 0, named).otherwise("<x/>"))
+    return S.extension_names(f.withColumn("name", F.lit("extensioninfo.xml")))

@@ -40,6 +40,11 @@ def snapshot_id(millis: Column, clash: Column | None = None) -> Column:
     return F.when(clash > 0, F.concat(base, F.lit("-"), clash.cast("string"))).otherwise(base)
 
 
+def read_snapshots(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """All snapshots of a table; a corrupt file does not hide the intact ones."""
+    return spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(f"{path}/{table}")
+
+
 def write_snapshot(tables: dict[str, DataFrame], path: str, millis: int, name: str = "",
                    phase: str = "", note: str = "") -> str:
     """Append one immutable snapshot of the tables under a fresh id; never overwrites."""

@@ -142,6 +142,7 @@ def test_schema(spark):
                    "Customer__c": ("Lookup", None, False, False, None)}
     assert [tuple(r)[2:] for r in types_xml.relations(f).orderBy("ord").collect()] == [("Customer", "one", "Order", "many"), ("A", "many", "B", "many")]
     assert S.schema_catalog(schema).first()["line"].startswith("- Order__c: Code__c (Text), Customer__c (Lookup), Odd__c")
+    assert [(r["part"], r["line"].count("(")) for r in S.schema_catalog(schema, 2).orderBy("part").collect()] == [(0, 2), (1, 2), (2, 1)]
     meta = {r["field"]: r for r in S.field_metadata_rows(schema).collect()}
     assert meta["Status__c"]["values"][0]["is_default"] and meta["Total__c"]["precision"] == 18 and meta["Customer__c"]["reference_to"] == "Customer__c"
 

@@ -1,7 +1,5 @@
 """Graphs, targets, ledgers on literal rows."""
 
-from pyspark.sql import functions as F
-
 from evidex.operators import graph as G
 from evidex.operators import planning as L
 
