@@ -33,7 +33,7 @@ def keywords(t):
 RULE_SQL = f"""
 r AS (SELECT 'C' || conv_id AS class_name, 'T' || conv_id AS target, turn, trim(text) AS rule, conv_id FROM conversations WHERE role = 'user'),
 art AS (SELECT 'T' || conv_id AS target, conv_id, CASE WHEN conv_id % 11 = 0 THEN 'error' ELSE 'accepted' END AS status,
-   CASE WHEN conv_id % 3 <> 0 THEN 'System.assert(' ELSE '' END || substr(text, 1, (length(text) // 2)::INT) AS test_text, text AS full_text
+   CASE WHEN conv_id % 3 <> 0 THEN 'System.assert(' ELSE '' END || regexp_replace(text, '(\\S+)\\s+\\S+', '\\1', 'g') AS test_text, text AS full_text
    FROM conversations WHERE turn = 0 AND conv_id % 13 <> 0),
 cv AS (SELECT r.*, art.status, art.test_text, {kw_sql('rule')} AS kw, regexp_matches(coalesce(test_text, ''), '(?i)System\\.assert|Assert\\.') AS asserts FROM r LEFT JOIN art USING (target)),
 cov AS (SELECT *, asserts AND len(list_distinct(kw)) > 0 AND
@@ -51,13 +51,14 @@ def rules(t):
         F.trim("text").alias("rule"))
 
 
-def artifacts(t, share=2):
+def artifacts(t, whole=False):
+    """One artifact per conversation; its test holds every other word of the first turn, or all."""
     k = F.col("conv_id")
     lead = F.when(k % 3 != 0, F.lit("System.assert(")).otherwise("")
-    half = F.substring("text", F.lit(1), F.floor(F.length("text") / share).cast("int"))
+    said = F.col("text") if whole else F.regexp_replace("text", r"(\S+)\s+\S+", "$1")
     return t.conversations.filter("turn = 0 and conv_id % 13 <> 0").select(
         conv("T").alias("target"), F.when(k % 11 == 0, "error").otherwise("accepted").alias("status"),
-        F.concat(lead, half).alias("test_text"))
+        F.concat(lead, said).alias("test_text"))
 
 
 def carriers(t):
@@ -100,7 +101,7 @@ WITH {RULE_SQL}, cov2 AS (SELECT *, art.test_text <> '' AND regexp_matches(art.t
 g AS (SELECT target, count(*) FILTER (covered) AS was, count(*) FILTER (c2) AS now FROM cov2 GROUP BY 1)
 SELECT target, now - was AS gained FROM g WHERE now > was""")
 def coverage_gained(t):
-    return A.coverage_gained(rules(t), artifacts(t), artifacts(t, 1))
+    return A.coverage_gained(rules(t), artifacts(t), artifacts(t, True))
 
 
 RLEDGER_SQL = f"""
@@ -199,7 +200,7 @@ def provenance_summary(t):
 
 BEST_SQL = f"""
 rr AS (SELECT 'R-' || substr(md5(trim('C' || conv_id || '|' || trim(text))), 1, 8) AS rule_id, conv_id, turn, trim(text) AS rule, list_distinct({kw_sql('trim(text)')}) AS want FROM conversations WHERE role = 'user'),
-mm AS (SELECT conv_id, turn, 'turn' || conv_id || 'x' || turn AS method, list_distinct({kw_sql("substr(text, 1, (length(text) * 2 // 3)::INT)")}) AS have FROM conversations),
+mm AS (SELECT conv_id, turn, 'turn' || conv_id || 'x' || turn AS method, list_distinct({kw_sql("regexp_replace(text, '(\\S+\\s+\\S+)\\s+\\S+', '\\1', 'g')")}) AS have FROM conversations),
 sc AS (SELECT rule_id, method, mm.turn, len(list_intersect(want, have)) / len(want) AS score FROM rr JOIN mm USING (conv_id) WHERE len(want) > 0 AND len(have) > 0),
 bm AS (SELECT rule_id, arg_max(method, score * 1000000 - turn) AS method, max(score) AS score FROM sc WHERE score >= 0.34 GROUP BY 1)
 """
@@ -211,7 +212,7 @@ def ruled(t):
 
 
 def best(t):
-    body = F.substring("text", F.lit(1), F.floor(F.length("text") * 2 / 3).cast("int"))
+    body = F.regexp_replace("text", r"(\S+\s+\S+)\s+\S+", "$1")
     m = t.conversations.select(conv("C").alias("class_name"), _cat(conv("turn"), "x", F.col("turn").cast("string")).alias("name"),
                                F.col("turn").alias("ord"), body.alias("body"))
     return A.best_method(ruled(t), m)
@@ -307,20 +308,19 @@ def replay_summary(t):
 TRIAGE_SQL = f"""
 {CODE_SQL}, {HAZARD_SQL},
 hz AS (SELECT c.file_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium,
-   array_to_string(list_sort(list_distinct(list(rule) FILTER (severity = 'critical'))), ', ') AS crit_rules FROM haz JOIN cls c USING (file) WHERE c.file_id % 4 <> 0 GROUP BY 1),
-fd AS (SELECT event_id // 40 AS file_id, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS warnings FROM events WHERE value > 30 AND event_id // 40 % 3 = 0 GROUP BY 1),
+   array_to_string(list_sort(list_distinct(list(rule) FILTER (severity = 'critical'))), ', ') AS crit_rules FROM haz JOIN cls c USING (file) GROUP BY 1),
+fd AS (SELECT event_id // 40 AS file_id, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS warnings FROM events WHERE value > 30 GROUP BY 1),
 ar AS (SELECT file_id, cls, file_id % 23 = 0 AS failed, CASE WHEN file_id % 6 = 1 THEN 1 WHEN file_id % 6 = 2 THEN 2 ELSE 0 END AS flags,
    CASE WHEN file_id % 8 = 0 THEN 0 ELSE file_id % 8 - 1 END AS rules, CASE file_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS cx, CASE file_id % 5 WHEN 1 THEN 'DAO' ELSE 'Service' END AS layer FROM cls),
 sc AS (SELECT ar.*, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, crit_rules,
    CASE WHEN failed THEN 100 ELSE 0 END + 30 * coalesce(critical, 0) + 14 * coalesce(high, 0) + 4 * coalesce(medium, 0) + 25 * coalesce(errors, 0) + 6 * coalesce(warnings, 0)
-   + 12 * flags + 3 * rules + CASE cx WHEN 2 THEN 10 WHEN 1 THEN 3 ELSE 0 END AS score FROM ar LEFT JOIN hz USING (file_id) LEFT JOIN fd USING (file_id)),
+   + 12 * flags + 3 * rules + CASE cx WHEN 2 THEN 10 WHEN 1 THEN 3 ELSE 0 END AS score FROM ar LEFT JOIN hz ON hz.file_id = ar.file_id AND ar.file_id % 4 <> 0 LEFT JOIN fd ON fd.file_id = ar.file_id AND ar.file_id % 3 = 0),
 tr AS (SELECT *, CASE WHEN failed OR critical > 0 OR errors > 0 OR score >= 40 THEN 'must' WHEN score >= 12 THEN 'review' ELSE 'routine' END AS band FROM sc)
 """
 
 
 def triaged(t):
-    files = gen_code(t.events).filter(F.col("file_id") % 4 != 0)
-    hz = S.hazard_scan(files)
+    hz = S.hazard_scan(gen_code(t.events))
     hz = hz.select(F.concat_ws(":", "rule", "file", "line").alias("id"), "severity", "rule",
                    T.file_name(F.col("file")).alias("file"), "source_class")
     f = F.floor(F.col("event_id") / 40)
@@ -334,10 +334,13 @@ def triaged(t):
                       F.when(n % 23 == 0, "error").otherwise("ok").alias("status"),
                       F.when(n % 6 == 1, some(1)).when(n % 6 == 2, some(2)).otherwise(some(0)).alias("review_flags"),
                       F.when(n % 8 == 0, 0).otherwise(n % 8 - 1).cast("bigint").alias("rules"))
-    sources = cls.select(target.alias("target"), name.alias("class_name"), F.concat(name, F.lit(".java")).alias("file"))
-    findings = t.events.filter((F.col("value") > 30) & (f % 3 == 0)).select(
-        _cat("T", f.cast("string")).alias("target"), F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARNING").otherwise("INFO").alias("severity"))
-    profiles = cls.select(name.alias("class_name"), F.when(n % 5 == 0, "High").when(n % 5 == 1, "Medium").otherwise("Low").alias("complexity"))
+    # Each fourth artifact comes from a class without hazards, each third has a critic.
+    built = F.when(n % 4 == 0, F.concat(name, F.lit("Clean"))).otherwise(name)
+    sources = cls.select(target.alias("target"), built.alias("class_name"), F.concat(built, F.lit(".java")).alias("file"))
+    typ, big = F.col("event_type"), (F.col("value") > 30) & (f % 3 == 0)
+    findings = t.events.select(_cat("T", f.cast("string")).alias("target"), F.when(big & (typ == "error"), "ERROR").when(
+        big & (typ == "view"), "WARNING").otherwise("INFO").alias("severity"))
+    profiles = cls.select(built.alias("class_name"), F.when(n % 5 == 0, "High").when(n % 5 == 1, "Medium").otherwise("Low").alias("complexity"))
     return K.triage(arts, sources, hz, findings, profiles)
 
 

@@ -140,10 +140,10 @@ def blast_summary(t):
 
 
 @query("shared_objects", """
-WITH r AS (SELECT DISTINCT l_suppkey AS target, l_partkey AS object FROM lineitem WHERE l_quantity > 45)
-SELECT target, object FROM r WHERE EXISTS (SELECT 1 FROM r x WHERE x.object = r.object AND x.target <> r.target)""")
+WITH r AS (SELECT DISTINCT l_suppkey AS target, l_partkey AS object FROM lineitem)
+SELECT target, object FROM r WHERE object IN (SELECT object FROM r GROUP BY object HAVING count(*) > 1)""")
 def shared_objects(t):
-    r = t.lineitem.filter("l_quantity > 45").select(F.col("l_suppkey").alias("target"), F.col("l_partkey").alias("object"))
+    r = t.lineitem.select(F.col("l_suppkey").alias("target"), F.col("l_partkey").alias("object"))
     return G.shared_objects(r)
 
 

@@ -216,7 +216,7 @@ WITH {DOC_SQL}, s AS (SELECT file, line, CASE
     WHEN regexp_matches(line_text, 'token = "[0-9a-f]{{20,}}') THEN 1
     WHEN regexp_matches(line_text, '[A-Za-z0-9.]+@[A-Za-z0-9]+\\.[a-z]+') THEN 2
     WHEN regexp_matches(line_text, '\\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}') THEN 3 END AS k,
-    line_text FROM dl JOIN (SELECT doc_id FROM documents WHERE strlen(text) <= 20000) USING (doc_id)),
+    line_text FROM dl JOIN (SELECT doc_id FROM documents WHERE strlen(text) <= 400000) USING (doc_id)),
 a AS (SELECT file, 1 AS k, min(line) AS line FROM s WHERE regexp_matches(line_text, 'token = "[0-9a-f]{{20,}}') GROUP BY 1
   UNION ALL SELECT file, 2, min(line) FROM s WHERE regexp_matches(line_text, '[A-Za-z0-9.]+@[A-Za-z0-9]+\\.[a-z]+') GROUP BY 1
   UNION ALL SELECT file, 3, min(line) FROM s WHERE regexp_matches(line_text, '\\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}') GROUP BY 1)
@@ -226,7 +226,7 @@ def secret_scan(t):
     patterns = ((r'token = "[0-9a-f]{20,}', "a token"),
                 (r"[A-Za-z0-9.]+@[A-Za-z0-9]+\.[a-z]+", "a mail address"),
                 (r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", "a phone number"))
-    return S.secret_scan(doc_files(t), patterns, (".txt",), 20_000)
+    return S.secret_scan(doc_files(t), patterns, (".txt",))
 
 
 SIGNALS = {

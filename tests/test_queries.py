@@ -39,3 +39,24 @@ def test_every_query_has_a_twin():
 
 def test_entry_is_lazy_and_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ("regex_scan", "hazard_scan", "class_table", "blast_rollup", "rule_ledger", "best_method",
+                                  "cap_cutoff", "content_key_cache", "event_sequence", "target_fingerprint", "corpus_verdict"))
+def test_plans_stay_in_the_jvm_without_pairwise_joins(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
+        assert bad not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = entry.queries()["tenant_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+    from evidex.operators.history import tenant_filter
+    runs = spark.read.parquet(f"{SF}/orders.parquet").withColumnRenamed("o_custkey", "owner")
+    assert "EqualTo(o_custkey,7)" in tenant_filter(runs, 7)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_limit_is_applied_before_the_shuffle(spark):
+    plan = entry.queries()["tfidf_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
