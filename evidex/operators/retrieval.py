@@ -69,11 +69,13 @@ def tfidf_topk(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     postings, norms, idf = tfidf_index(chunks)
     q = term_counts(queries, "query_id", F.col("text")).join(idf.select("term", "idf"), "term")
     q = q.select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"), F.col("idf").alias("qidf"))
+    # Query weights are normalised up front: no join by query stands between score and rank.
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
+    q = q.join(qn, "query_id").select("query_id", "term", (F.col("w") / F.col("qn") * F.col("qidf")).alias("w"))
     dot = q.join(postings.select("chunk_id", "term", "tf"), "term").groupBy("query_id", "chunk_id").agg(
-        F.sum(F.col("w") * F.col("tf") * F.col("qidf")).alias("dot"))
-    scored = dot.join(norms, "chunk_id").join(qn, "query_id").select(
-        "query_id", "chunk_id", F.round(F.col("dot") / (F.col("qn") * F.col("norm")), 9).alias("score")).filter("score > 0")
+        F.sum(F.col("w") * F.col("tf")).alias("dot"))
+    scored = dot.join(norms, "chunk_id").select(
+        "query_id", "chunk_id", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
