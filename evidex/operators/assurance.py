@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidex.functions import names as N
 from evidex.functions import rules as R
 from evidex.functions import text as T
-from evidex.operators.scale import computed, side_by_side
+from evidex.operators.scale import computed, side_by_side, split_join
 
 
 def keywords(text: Column) -> Column:
@@ -42,7 +42,7 @@ def rule_covered(rules: DataFrame, artifacts: DataFrame, text: str = "test_text"
     """rules(target, rule, ...) with ``covered`` by the test of their artifact(target)."""
     tests = test_words(artifacts.select("target", text), text).select("target", "words", "asserts")
     r = computed(rules, _kw=F.array_distinct(keywords(F.col("rule"))))
-    out = r.join(tests, "target", "left")
+    out = split_join(r, tests, "target", keys=rules)
     ok = covered(F.col("_kw"), F.coalesce("words", F.array().cast("array<string>")),
                  F.coalesce("asserts", F.lit(False)))
     return out.select(*rules.columns, ok.alias("covered"))
@@ -85,8 +85,9 @@ def rule_ledger(rules: DataFrame, carriers: DataFrame, artifacts: DataFrame, ski
     r = rules.select("class_name", T.strip("rule").alias("rule")).filter("rule <> ''")
     r = computed(r, _kw=F.array_distinct(keywords(F.col("rule"))))
     a = test_words(artifacts.select("target", "status", "test_text")).select("target", "status", "words", "asserts")
-    out = r.join(carriers, "class_name", "left").join(a, "target", "left").join(
-        skips.select("class_name", "reason"), "class_name", "left")
+    home = carriers.select("class_name", "target")
+    carried = r.join(home, "class_name", "left").join(skips.select("class_name", "reason"), "class_name", "left")
+    out = split_join(carried, a, "target", keys=rules.select("class_name").join(home, "class_name"))
     none = F.col("status").isNull()
     bad = F.col("status") == "error"
     ok = covered(F.col("_kw"), F.coalesce("words", F.array().cast("array<string>")), F.coalesce("asserts", F.lit(False)))

@@ -86,6 +86,34 @@ def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return out.drop("_bucket", "_pos", "_sum", "_cnt0", "_amt0")
 
 
+HOT_SHARE, SALTS = 10_000, 32
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _hot) of keys with more than 1/10,000 of the rows: at most 10,000 of them."""
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter((F.col("_n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(
+        key, F.lit(True).alias("_hot"))
+
+
+def split_join(big: DataFrame, small: DataFrame, key: str, how: str = "left",
+               keys: DataFrame | None = None) -> DataFrame:
+    """Join where a key of ``big`` may hold a third of the rows and an aggregate by it follows.
+
+    Rows of hot keys are dealt over 32 salts by a hash of their content and meet 32 copies of
+    the matching row of ``small``; other keys join as they are. The table of hot keys has at
+    most 10,000 rows, so it is broadcast. ``keys`` gives the key column alone where that is
+    cheaper to count than ``big``. ``how`` is left or inner.
+    """
+    hot = F.broadcast(hot_keys((big if keys is None else keys).select(key), key))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS))).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    right = small.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def computed(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns that are evaluated exactly once per row.
 

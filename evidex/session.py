@@ -21,6 +21,8 @@ def local_session(app: str = "evidex", cpus: str | None = None, memory: str = "1
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # Split skewed joins also where an aggregate by the same key follows.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )

@@ -73,3 +73,15 @@ def test_no_single_partition_window_on_data(spark, skewed):
     _, df = skewed
     plan = scale.running(df, ["k"], F.floor(F.col("i") / 100), [F.col("i")])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_split_join_equals_a_plain_join(spark, skewed):
+    rows, df = skewed
+    small = spark.createDataFrame([(k, f"s{k}") for k in range(0, 45, 2)], "k int, s string")
+    for how in ("left", "inner"):
+        got = sorted((r["i"], r["s"] or "") for r in scale.split_join(df, small, "k", how).collect())
+        want = sorted((r["i"], r["s"] or "") for r in df.join(small, "k", how).collect())
+        assert got == want
+    null = df.withColumn("k", F.when(F.col("i") % 2 == 0, F.col("k")))
+    assert scale.split_join(null, small, "k").count() == len(rows)
+    assert scale.hot_keys(df, "k").count() <= scale.HOT_SHARE
