@@ -34,7 +34,8 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    from evidex.plans.registry import ORACLES, QUERIES
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry_is_lazy_and_has_rows(spark):
