@@ -192,16 +192,21 @@ def alignment_rows(rules: DataFrame, carriers: DataFrame, best: DataFrame, links
                    replays: DataFrame, ledger: DataFrame) -> DataFrame:
     """Per rule(rule_id, class_name, rule): target, source method, generated method, proof, break.
 
-    Verdicts are looked up by rule id, not by rule text.
+    ``links(target, name, origin, confidence, ord)``: the first link by ``ord`` counts.
+    ``replays(id, label, source_class, target_method, mode, bridge, ord)``: the first behaviour of the
+    rule's class and method that is replayed directly or over a bridge proves it. Verdicts are
+    looked up by rule id, not by rule text.
     """
     link = links.filter("origin is not null").groupBy("target", F.col("origin").alias("method")).agg(
-        F.min(F.struct("name", "confidence")).alias("l"))
-    proof = replays.filter("mode = 'direct'").groupBy(F.col("target_method").alias("method")).agg(
-        F.min("id").alias("proof_id"))
+        F.min_by(F.struct("name", "confidence"), F.struct("ord", "name")).alias("l"))
+    proven = (F.col("mode") == "direct") | (F.coalesce("bridge", F.lit("")) != "")
+    said = F.concat_ws(" — ", "id", F.nullif("label", F.lit("")))
+    proof = replays.filter(proven).groupBy(F.col("source_class").alias("class_name"), F.col("target_method").alias("method")).agg(
+        F.min_by(said, F.struct("ord", "id")).alias("proof_id"))
     verdict = ledger.select(F.col("id").alias("rule_id"), "status").dropDuplicates(["rule_id"])
     j = (rules.select("rule_id", "class_name", "rule").join(carriers, "class_name", "left")
          .join(best, "rule_id", "left").withColumn("method", F.when(F.col("target").isNotNull(), F.col("method")))
-         .join(link, ["target", "method"], "left").join(proof, "method", "left").join(verdict, "rule_id", "left"))
+         .join(link, ["target", "method"], "left").join(proof, ["class_name", "method"], "left").join(verdict, "rule_id", "left"))
     carried, tied, linked = F.col("target").isNotNull(), F.col("method").isNotNull(), F.col("l").isNotNull()
     replayed = carried & F.col("proof_id").isNotNull()
     return j.select(

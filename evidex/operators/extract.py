@@ -85,11 +85,14 @@ def type_reference_edges(classes: DataFrame) -> DataFrame:
 
 
 def _resolved(base: Column, rel: Column) -> Column:
-    folder = F.regexp_replace(base, r"[^/]*$", "")
-    p = F.concat(folder, F.regexp_replace(rel, r"^\./", ""))
-    for _ in range(4):
-        p = F.regexp_replace(p, r"[^/]+/\.\./", "")
-    return p
+    """The path that ``rel`` names from the folder of ``base``; any number of ``.`` and ``..`` steps."""
+    parts = F.split(F.concat(F.regexp_replace(base, r"[^/]*$", ""), rel), "/")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(kept) > 0) & (F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("..")) != "..")
+        return F.when(part == ".", kept).when(up, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.array_append(kept, part))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
 def component_table(files: DataFrame) -> DataFrame:
@@ -157,31 +160,27 @@ def symbols_of(text: Column) -> Column:
     """array<struct<name,line_start,line_end>> of method declarations, by matching braces."""
     marked = F.regexp_replace(F.translate(text, "\u0001", " "), f"({R.METHOD})\\{{", "$1\u0001{")
     bare = F.regexp_replace(marked, "[^\\n{}\u0001]+", "")
-    tokens = F.regexp_extract_all(bare, F.lit("\\n+|[{}\u0001]"), F.lit(0))
-    slot = "array<struct<i:int,depth:int>>"
+    tokens = lambda piece: F.regexp_extract_all(piece, F.lit("\\n+|[{}\u0001]"), F.lit(0))
     done = "array<struct<i:int,hi:int>>"
-    zero = F.struct(F.lit(1).alias("line"), F.lit(0).alias("depth"), F.lit(0).alias("n"),
-                    F.array().cast(slot).alias("open"), F.array().cast(done).alias("out"))
+    zero = {"line": F.lit(1), "depth": F.lit(0), "n": F.lit(0), "open": F.array().cast("array<struct<i:int,depth:int>>")}
 
     def entry(a: Column, b: Column, name: str) -> Column:
         return F.struct(a.cast("int").alias("i"), b.cast("int").alias(name))
 
-    def step(s: Column, t: Column) -> Column:
+    def step(s: Column, t: Column) -> dict[str, Column]:
         top = F.when(F.size(s["open"]) > 0, F.element_at(s["open"], -1)["depth"]).otherwise(F.lit(-1))
-        closes = (t == "}") & (top == s["depth"])
-        return F.struct(
-            F.when(t.startswith("\n"), s["line"] + F.length(t)).otherwise(s["line"]).alias("line"),
-            F.when(t == "{", s["depth"] + 1).when(t == "}", s["depth"] - 1)
-            .otherwise(s["depth"]).alias("depth"),
-            F.when(t == "\u0001", s["n"] + 1).otherwise(s["n"]).alias("n"),
-            F.when(t == "\u0001", F.array_append(s["open"], entry(s["n"], s["depth"] + 1, "depth")))
-            .when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1))
-            .otherwise(s["open"]).alias("open"),
-            F.when(closes, F.array_append(s["out"], entry(
-                F.element_at(s["open"], -1)["i"], s["line"], "hi"))).otherwise(s["out"]).alias("out"))
-
-    ends = F.array_sort(F.aggregate(tokens, zero, step, lambda s: F.concat(
-        s["out"], F.transform(s["open"], lambda o: entry(o["i"], s["line"], "hi")))))
+        closes = (t == "}") & (top == s["depth"]) & (F.size(s["open"]) > 0)
+        return {
+            "line": F.when(t.startswith("\n"), s["line"] + F.length(t)).otherwise(s["line"]),
+            "depth": F.when(t == "{", s["depth"] + 1).when(t == "}", s["depth"] - 1).otherwise(s["depth"]),
+            "n": F.when(t == "\u0001", s["n"] + 1).otherwise(s["n"]),
+            "open": F.when(t == "\u0001", F.array_append(s["open"], entry(s["n"], s["depth"] + 1, "depth")))
+            .when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"]),
+            "out": F.when(closes, F.array(entry(F.element_at(s["open"], -1)["i"], s["line"], "hi")))
+            .otherwise(F.array().cast(done))}
+
+    ends = F.array_sort(T.fold(T.pieces(bare), tokens, zero, step, "out", done, lambda s: F.transform(
+        s["open"], lambda o: entry(o["i"], s["line"], "hi"))))
     names = _all(text, R.METHOD + r"\{", 1)
     starts = T.match_lines(text, R.METHOD + r"\{")
     zipped = F.arrays_zip(names.alias("name"), starts.alias("lo"), ends.alias("end"))
@@ -216,19 +215,18 @@ def import_summary(text: Column) -> Column:
     short = F.transform(kept, lambda p: F.when(
         F.size(F.split(p, r"\.")) > 3, F.substring_index(p, ".", 3)).otherwise(
         F.regexp_replace(p, r"\.[^.]*$", "")))
-    return F.array_join(F.slice(F.array_distinct(short), 1, 8), ", ")
+    return F.array_join(F.array_distinct(short), ", ")
 
 
 def ts_import_summary(text: Column) -> Column:
-    return F.array_join(F.slice(F.array_distinct(
-        _all(text, r"""from\s+['"]([^'"]+)['"]""", 1)), 1, 12), ", ")
+    return F.array_join(F.array_distinct(_all(text, r"""from\s+['"]([^'"]+)['"]""", 1)), ", ")
 
 
-def slim_text(df: DataFrame, text: str = "text") -> DataFrame:
+def slim_text(df: DataFrame, text: str = "text", min_chars: int = 0, min_gain: float = R.SLIM_MIN_GAIN) -> DataFrame:
     """Add slim(text, original, slimmed, saved_pct, imports_removed, accessors_removed, applied).
 
-    Falls back to the original below 900 characters, on a changed brace balance, and for a
-    saving under five percent.
+    Falls back to the original on a changed brace balance and for a saving under five percent
+    (``min_gain``), for texts of any size unless ``min_chars`` asks for a least one.
     """
     t = F.col(text)
     ts = t.contains("@Component") | t.contains("from '@angular") | t.contains('from "@angular')
@@ -243,8 +241,7 @@ def slim_text(df: DataFrame, text: str = "text") -> DataFrame:
     step = computed(
         step, _acc=F.when(F.col("_ts"), 0).otherwise(F.regexp_count(bare, F.lit(R.ACCESSOR))),
         _body=F.when(F.col("_ts"), bare).otherwise(F.regexp_replace(bare, R.ACCESSOR, "")))
-    clean = F.concat(F.regexp_replace(F.regexp_replace(
-        F.col("_body"), R.BLANK_RUN, "\n\n"), r"^\s+|\s+\z", ""), F.lit("\n"))
+    clean = F.concat(T.strip(F.regexp_replace(F.col("_body"), R.BLANK_RUN, "\n\n"), T.ASCII_SPACE), F.lit("\n"))
     acc = F.col("_acc")
     whole = F.concat(
         F.when(F.col("_kept") != "", F.concat(F.lit("// imports: "), F.col("_kept"), F.lit("\n")))
@@ -256,7 +253,7 @@ def slim_text(df: DataFrame, text: str = "text") -> DataFrame:
     balance = (T.occurrences(new, "{") - T.occurrences(new, "}")) == (
         T.occurrences(t, "{") - T.occurrences(t, "}"))
     saved = F.lit(1.0) - F.length(new) / F.nullif(n, F.lit(0))
-    ok = (n >= R.SLIM_MIN_CHARS) & balance & (saved >= R.SLIM_MIN_GAIN)
+    ok = (n >= min_chars) & balance & (saved >= min_gain)
     step = step.withColumn("_ok", F.coalesce(ok, F.lit(False)))
 
     def when_ok(c: Column, other: Column) -> Column:
@@ -335,6 +332,5 @@ def class_profile(classes: DataFrame) -> DataFrame:
         F.col("referenced_types").alias("dependencies"),
         F.when(F.size(m) > 8, "High").otherwise("Medium").alias("complexity"),
         (T.newlines(F.col("source")) + 1).cast("bigint").alias("loc"),
-        F.slice(m["name"], 1, 25).alias("methods"),
-        F.slice(F.col("fields")["name"], 1, 25).alias("fields"),
-        F.slice("referenced_types", 1, 20).alias("refs"))
+        m["name"].alias("methods"), F.col("fields")["name"].alias("fields"),
+        F.col("referenced_types").alias("refs"))

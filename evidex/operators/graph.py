@@ -7,10 +7,11 @@ of the graph; nothing but a row count returns to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions import text as T
+from evidex.operators.extract import symbols_of
 from evidex.operators.scale import computed, global_rank, settled
 
 
@@ -109,7 +110,7 @@ _DECL = r"\bpublic\s+(?:[a-zA-Z0-9_<>]+\s+)?([a-zA-Z0-9_]+)\s*\(([^)]*)\)"
 _VAR = r"\b(?:private|protected|public)?\s+(\w+)\s+(\w+)\s*;"
 # Words that look like a declared method.
 _NOT_METHODS = ("if", "for", "while", "switch", "return", "catch", "synchronized")
-BODY_WINDOW = 2500
+_CALL = r"\b(\w+)\.(\w+)\s*\("
 
 
 def _layer(name):
@@ -130,24 +131,26 @@ def declared_methods(files: DataFrame) -> DataFrame:
 def method_calls(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes(id, class_name, layer), links(source, target)).
 
-    Calls ``x.y(`` in the 2,500 characters from a method's first hit; x is resolved by field
+    Calls ``x.y(`` in a method's own lines (see ``symbol_table``); x is resolved by field
     type, else by itself; kept if that class declares y. Without any link, classes that name
-    a class of the next layer are linked by their first methods.
+    a class of the next layer are linked by their first methods. Bodies are read inside the row
+    of their file; only calls become rows.
     """
     src = declared_methods(files)
     methods = src.select("class_name", F.posexplode("names").alias("ord", "method"))
     nodes = methods.select(F.concat_ws(".", "class_name", "method").alias("id"), "class_name",
                            _layer(F.col("class_name")).alias("layer")).distinct()
-    t, m = F.col("text"), F.col("method")
-    hit = lambda lead: F.instr(t, F.concat(F.lit(lead), m, F.lit("(")))
-    at = F.coalesce(F.nullif(hit(" "), F.lit(0)), hit("\t"))
-    call = r"\b(\w+)\.(\w+)\s*\("
-    one = src.select("class_name", "text", F.explode(F.array_distinct("names")).alias("method"))
-    body = computed(one.withColumn("_at", at).filter("_at > 0"), _b=F.substring(t, F.col("_at"), F.lit(BODY_WINDOW)))
-    z = F.arrays_zip(F.regexp_extract_all("_b", F.lit(call), F.lit(1)).alias("who"),
-                     F.regexp_extract_all("_b", F.lit(call), F.lit(2)).alias("what"))
-    calls = body.select("class_name", "method", F.explode(F.array_distinct(z)).alias("c")).select(
-        "class_name", "method", F.col("c.who").alias("who"), F.col("c.what").alias("callee"))
+    t = F.col("text")
+    own = computed(src, _s=F.filter(symbols_of(T.strip_code_comments(t)), lambda s: F.array_contains("names", s["name"])), _l=T.lines(t))
+
+    def said(s: Column) -> Column:
+        body = F.array_join(F.slice("_l", s["line_start"].cast("int"), (s["line_end"] - s["line_start"] + 1).cast("int")), "\n")
+        found = F.regexp_extract_all(body, F.lit(_CALL), F.lit(0))
+        return F.transform(F.array_distinct(found), lambda c: F.struct(
+            s["name"].alias("method"), F.regexp_extract(c, _CALL, 1).alias("who"), F.regexp_extract(c, _CALL, 2).alias("callee")))
+
+    calls = computed(own, _c=F.flatten(F.transform("_s", said))).select("class_name", F.explode("_c").alias("c")).select(
+        "class_name", "c.method", "c.who", "c.callee").distinct()
     v = F.arrays_zip(F.regexp_extract_all(t, F.lit(_VAR), F.lit(1)).alias("type"),
                      F.regexp_extract_all(t, F.lit(_VAR), F.lit(2)).alias("who"))
     fields = src.select("class_name", F.posexplode(v).alias("_o", "f")).groupBy(

@@ -11,26 +11,33 @@ from evidex.operators.schema import field_name, object_name
 from evidex.operators.scale import computed
 
 
-def impex_lines(files: DataFrame) -> DataFrame:
-    """impex_lines(file, block_no, mode, type, header, line_no, raw): the ``;``-led rows.
+def impex_blocks(files: DataFrame) -> DataFrame:
+    """impex_blocks(file, block_no, mode, type, header, columns, rows array<struct<line_no, raw>>).
 
-    Comments, blanks and macro lines are dropped, and rows before the first header. The
-    window runs per file, whose lines all came from one row.
+    Comments, blanks and macro lines are dropped, and rows before the first header. A block
+    without rows is a block all the same. Lines are cut into blocks inside the row of their
+    file, so nothing is shuffled.
     """
-    lines = files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("n", "raw"))
-    s = T.strip("raw")
-    lines = lines.select("file", (F.col("n") + 1).cast("bigint").alias("line_no"), "raw", s.alias("s"))
-    is_header = F.col("s").rlike(R.IMPEX_HEADER)
-    lines = lines.filter((F.col("s") != "") & ~F.col("s").startswith("#"))
-    lines = lines.filter(is_header | F.col("s").startswith(";"))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("header", F.when(is_header, F.col("s")))
-    marked = marked.withColumn("block_no", F.count("header").over(w)).withColumn(
-        "_h", F.last("header", ignorenulls=True).over(w))
-    rows = marked.filter("header is null and block_no > 0")
-    part = lambda i: F.regexp_extract("_h", R.IMPEX_HEADER, i)
-    return rows.select("file", "block_no", part(1).alias("mode"), part(2).alias("type"),
-                       part(3).alias("header"), "line_no", "raw")
+    every = F.transform(F.split("text", "\r?\n"), lambda raw, n: F.struct(
+        (n + 1).cast("bigint").alias("line_no"), raw.alias("raw"), T.strip(raw).alias("s")))
+    every = F.transform(every, lambda x: F.struct(x["line_no"], x["raw"], x["s"], x["s"].rlike(R.IMPEX_HEADER).alias("head")))
+    kept = computed(files.select("file", "text"), lines=F.filter(every, lambda x: x["head"] | x["s"].startswith(";")))
+    heads = F.transform(F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("at"), x["s"].alias("s"), x["head"].alias("head"))),
+                                 lambda x: x["head"]), lambda x: F.struct(x["at"].alias("at"), x["s"].alias("s")))
+    kept = computed(kept, heads=heads)
+    one = kept.select("file", "lines", "heads", F.posexplode("heads").alias("i", "h"))
+    after = F.coalesce(F.get("heads", F.col("i") + 1)["at"], F.size("lines") + 1)
+    rows = F.transform(F.slice("lines", F.col("h.at") + 1, after - F.col("h.at") - 1), lambda x: F.struct(x["line_no"].alias("line_no"), x["raw"].alias("raw")))
+    part = lambda k: F.regexp_extract("h.s", R.IMPEX_HEADER, k)
+    out = one.select("file", (F.col("i") + 1).cast("bigint").alias("block_no"), part(1).alias("mode"), part(2).alias("type"),
+                     part(3).alias("header"), rows.alias("rows"))
+    return computed(out, columns=columns_of(F.col("header"))).select("file", "block_no", "mode", "type", "header", "columns", "rows")
+
+
+def impex_lines(blocks: DataFrame) -> DataFrame:
+    """impex_lines(file, block_no, mode, type, header, line_no, raw): the ``;``-led rows."""
+    return blocks.select("file", "block_no", "mode", "type", "header", F.explode("rows").alias("r")).select(
+        "file", "block_no", "mode", "type", "header", "r.line_no", "r.raw")
 
 
 def columns_of(header: Column) -> Column:
@@ -62,28 +69,23 @@ def columns_of(header: Column) -> Column:
     return F.transform(F.split(header, ";"), one)
 
 
-def impex_blocks(lines: DataFrame) -> DataFrame:
-    """Blocks with rows: (file, block_no, mode, type, columns)."""
-    heads = lines.groupBy("file", "block_no").agg(
-        F.first("mode").alias("mode"), F.first("type").alias("type"), F.first("header").alias("header"))
-    return computed(heads, columns=columns_of(F.col("header"))).drop("header")
-
-
-def header_columns(lines: DataFrame) -> DataFrame:
+def header_columns(blocks: DataFrame) -> DataFrame:
     """impex_columns(file, block_no, type, pos, raw, attr, modifiers, is_ref, ...)."""
-    return impex_blocks(lines).select("file", "block_no", "mode", "type", F.explode("columns").alias("c")).select(
+    return blocks.select("file", "block_no", "mode", "type", F.explode("columns").alias("c")).select(
         "file", "block_no", "mode", "type", "c.*")
 
 
-def cells(lines: DataFrame) -> DataFrame:
-    """impex_cells(file, block_no, line_no, type, pos, attr, value) by positional zip.
+def _values(raw: Column) -> Column:
+    return F.slice(F.split(raw, ";"), F.lit(2), F.size(F.split(raw, ";")))
+
+
+def cells(blocks: DataFrame) -> DataFrame:
+    """impex_cells(file, block_no, line_no, type, mode, pos, attr, value) by positional zip.
 
-    Short rows leave trailing cells unset, extra cells are dropped. Header and row meet in
-    the row, so there is no join on positions.
+    Short rows leave trailing cells unset, extra cells are dropped.
     """
-    values = F.slice(F.split("raw", ";"), F.lit(2), F.size(F.split("raw", ";")))
-    rows = lines.select("file", "block_no", "line_no", "type", "mode", values.alias("v"))
-    rows = rows.join(impex_blocks(lines).select("file", "block_no", "columns"), ["file", "block_no"])
+    rows = blocks.select("file", "block_no", "type", "mode", "columns", F.explode("rows").alias("r"))
+    rows = rows.select("file", "block_no", "r.line_no", "type", "mode", "columns", _values(F.col("r.raw")).alias("v"))
     n = F.least(F.size("columns"), F.size("v"))
     zipped = F.arrays_zip(F.slice("columns", F.lit(1), n).alias("c"), F.slice("v", F.lit(1), n).alias("v"))
     out = rows.select("file", "block_no", "line_no", "type", "mode", F.explode(zipped).alias("z"))
@@ -100,9 +102,9 @@ def load_header(c: Column) -> Column:
         c["is_ref"], F.when(c["ref_key"] != "", ref).otherwise(api)).otherwise(api)
 
 
-def load_headers(lines: DataFrame) -> DataFrame:
+def load_headers(blocks: DataFrame) -> DataFrame:
     """(object, header, ord): first-seen order of the headers per object."""
-    b = impex_blocks(lines).select("file", "block_no", "type", F.explode("columns").alias("c"))
+    b = blocks.select("file", "block_no", "type", F.explode("columns").alias("c"))
     h = b.select(object_name(F.col("type")).alias("object"), load_header(F.col("c")).alias("header"),
                  F.struct("file", "block_no", "c.pos").alias("at")).filter("header is not null")
     first = h.groupBy("object", "header").agg(F.min("at").alias("at"))
@@ -111,9 +113,9 @@ def load_headers(lines: DataFrame) -> DataFrame:
     return first.select("object", "header", F.row_number().over(w).cast("bigint").alias("ord"))
 
 
-def load_objects(lines: DataFrame) -> DataFrame:
+def load_objects(blocks: DataFrame) -> DataFrame:
     """load_objects(object, type, modes, manual_relationships)."""
-    b = impex_blocks(lines)
+    b = blocks
     spec = F.transform(F.filter("columns", lambda c: c["composite"]),
                        lambda c: F.concat(c["attr"], F.lit(" → "), c["raw"]))
     return b.select("type", "mode", F.explode_outer(spec).alias("spec")).groupBy("type").agg(
@@ -122,21 +124,33 @@ def load_objects(lines: DataFrame) -> DataFrame:
         object_name(F.col("type")).alias("object"), "type", "modes", "manual_relationships")
 
 
-def load_records(lines: DataFrame) -> DataFrame:
-    """load_records(object, mode, file, line_no, header, value), long form; unset cells are ''."""
-    values = F.slice(F.split("raw", ";"), F.lit(2), F.size(F.split("raw", ";")))
-    rows = lines.select("file", "block_no", "line_no", "type", "mode", values.alias("v"))
-    rows = rows.join(impex_blocks(lines).select("file", "block_no", "columns"), ["file", "block_no"])
-    out = rows.select(object_name(F.col("type")).alias("object"), "mode", "file", "line_no", "v",
-                      F.posexplode("columns").alias("i", "c"))
-    return out.select("object", "mode", "file", "line_no", load_header(F.col("c")).alias("header"),
-                      F.coalesce(T.strip(F.get("v", F.col("i"))), F.lit("")).alias("value")
-                      ).filter("header is not null")
+def load_records(blocks: DataFrame) -> DataFrame:
+    """load_records(object, mode, file, line_no, header, value), long form; unset cells are ''.
+
+    One row per line and header. Where several columns name one attribute, the last cell that
+    the line has counts.
+    """
+    named = F.filter(F.transform("columns", lambda c: F.struct(load_header(c).alias("header"), c["attr"].alias("attr"), c["pos"].cast("int").alias("pos"))),
+                     lambda c: c["header"].isNotNull())
+    b = computed(blocks, _n=named)
+
+    def spots(header: Column) -> Column:
+        attr = F.element_at(F.filter("_n", lambda c: c["header"] == header), -1)["attr"]
+        same = F.filter("_n", lambda c: c["attr"] == attr)
+        return F.reverse(F.transform(same, lambda c: c["pos"]))
+
+    heads = F.transform(F.array_distinct(F.transform("_n", lambda c: c["header"])), lambda h: F.struct(h.alias("header"), spots(h).alias("spots")))
+    b = computed(b, _h=heads)
+    rows = b.select(object_name(F.col("type")).alias("object"), "mode", "file", "_h", F.explode("rows").alias("r"))
+    rows = rows.select("object", "mode", "file", "r.line_no", "_h", _values(F.col("r.raw")).alias("v"))
+    value = lambda h: F.get("v", F.get(F.filter(h["spots"], lambda p: p < F.size("v")), F.lit(0)))
+    cells_ = F.transform("_h", lambda h: F.struct(h["header"].alias("header"), F.coalesce(T.strip(value(h)), F.lit("")).alias("value")))
+    return rows.select("object", "mode", "file", "line_no", F.explode(cells_).alias("c")).select("object", "mode", "file", "line_no", "c.header", "c.value")
 
 
-def external_keys(lines: DataFrame) -> DataFrame:
+def external_keys(blocks: DataFrame) -> DataFrame:
     """(object, external_id, note): the first unique plain column, never a reference."""
-    b = impex_blocks(lines).select("file", "block_no", "type", F.explode("columns").alias("c"))
+    b = blocks.select("file", "block_no", "type", F.explode("columns").alias("c"))
     at = F.struct("file", "block_no", "c.pos")
     key = F.col("c.is_unique") & ~F.col("c.is_ref") & ~F.col("c.is_macro")
     out = b.groupBy(object_name(F.col("type")).alias("object")).agg(
@@ -153,8 +167,8 @@ def mark_keys(schema: DataFrame, keys: DataFrame) -> DataFrame:
     return out.withColumn("external_id", hit).withColumn("unique", F.col("unique") | hit).drop("_k")
 
 
-def load_summary(lines: DataFrame) -> DataFrame:
-    """Per object with rows: records, key, sorted modes."""
-    n = lines.groupBy(object_name(F.col("type")).alias("object")).agg(F.count(F.lit(1)).alias("records"))
-    return (n.join(external_keys(lines).select("object", "external_id"), "object", "left")
-            .join(load_objects(lines).select("object", "modes"), "object", "left"))
+def load_summary(blocks: DataFrame) -> DataFrame:
+    """Per object: records, key, sorted modes."""
+    n = blocks.groupBy(object_name(F.col("type")).alias("object")).agg(F.sum(F.size("rows")).cast("bigint").alias("records"))
+    return (n.join(external_keys(blocks).select("object", "external_id"), "object", "left")
+            .join(load_objects(blocks).select("object", "modes"), "object", "left"))

@@ -118,11 +118,12 @@ def outcome_counts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def comprehension_rollup(sources: DataFrame, profiles: DataFrame, keep: int = 6) -> DataFrame:
-    """Per target: first purpose, first ``keep`` rules and risks in order, highest complexity.
+def comprehension_rollup(sources: DataFrame, profiles: DataFrame, keep: int | None = None) -> DataFrame:
+    """Per target: first purpose, rules and risks in order, highest complexity.
 
     ``sources(target, class_name, ord)``, ``profiles(class_name, purpose, business_rules,
-    risks, complexity)``. Only the first ``keep`` entries per target reach a group.
+    risks, complexity)``. All entries of a target are kept, or the first ``keep``, which then
+    are all that reaches a group.
     """
     p = sources.join(profiles, "class_name")
     rank = F.when(F.col("complexity") == "High", 3).when(F.col("complexity") == "Medium", 2).when(
@@ -134,9 +135,10 @@ def comprehension_rollup(sources: DataFrame, profiles: DataFrame, keep: int = 6)
 
     def first(col: str) -> DataFrame:
         one = p.select("target", "ord", F.posexplode(col).alias("pos", "x"))
-        w = Window.partitionBy("target").orderBy("ord", "pos")
-        top = one.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
-        return top.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "x"))),
+        if keep is not None:
+            w = Window.partitionBy("target").orderBy("ord", "pos")
+            one = one.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
+        return one.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", "x"))),
                                                      lambda e: e["x"]).alias(col))
 
     none = F.array().cast("array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import names as N
 from evidex.functions import text as T
-from evidex.operators.scale import computed, side_by_side
+from evidex.operators.scale import computed, dealt_key, side_by_side
 
 _TR = "array<struct<_name:string,_to:string>>"
 _ACT = f"array<struct<_id:string,_bean:string,_class:string,transition:{_TR}>>"
@@ -20,8 +20,9 @@ _PROC = (f"_name string, _start string, _processClass string, _onError string, a
 
 def process_files(files: DataFrame) -> DataFrame:
     """Process definitions by root element; malformed ones stay, marked unreadable."""
-    head = F.substring("text", 1, 4000)
-    src = files.filter(F.col("file").endswith(".xml") & head.rlike(r"<\s*(?:\w+:)?process\b"))
+    # The first tag that is no declaration, doctype or comment.
+    root = r"(?s)^(?>(?:[^<]|<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>)*+)<\s*(?:\w+:)?process\b"
+    src = files.filter(F.col("file").endswith(".xml") & F.col("text").rlike(root))
     x = computed(src.select("file", "text"), _x=F.from_xml("text", _PROC, {
         "columnNameOfCorruptRecord": "_corrupt_record", "ignoreNamespace": "true"}))
     stem = F.regexp_replace(F.regexp_extract("file", "([^/]*)$", 1), r"\.[^.]*$", "")
@@ -77,8 +78,8 @@ def resolve_bean(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     known = classes.select("class_name").distinct()
     whole = known.select(F.col("class_name").alias("_c1"), F.col("class_name").alias("_hit1"))
     tail = known.select(F.col("class_name").alias("_c2"), F.col("class_name").alias("_hit2"))
-    n = nodes.withColumn("_c1", _first_upper(F.col("bean"))).withColumn(
-        "_c2", _first_upper(F.substring_index("bean", ".", -1)))
+    n = nodes.withColumns({"_c1": dealt_key(nodes, _first_upper(F.col("bean"))),
+                           "_c2": dealt_key(nodes, _first_upper(F.substring_index("bean", ".", -1)))})
     out = n.join(whole, "_c1", "left").join(tail, "_c2", "left")
     return out.withColumn("implemented_by", F.coalesce("_hit1", "_hit2", F.lit(""))).drop(
         "_c1", "_c2", "_hit1", "_hit2")
@@ -96,10 +97,15 @@ def process_tables(procs: DataFrame, nodes: DataFrame) -> DataFrame:
                       zero("ends"), zero("transitions"))
 
 
+def _with_class(nodes: DataFrame, converted: DataFrame, flag: str) -> DataFrame:
+    """Nodes with ``flag`` true where their class is among ``converted``; unresolved ones are dealt out, not one key."""
+    done = converted.select(F.col("class_name").alias("_key"), F.lit(True).alias(flag)).distinct()
+    return nodes.withColumn("_key", dealt_key(nodes, "implemented_by")).join(done, "_key", "left").drop("_key")
+
+
 def coverage(nodes: DataFrame, converted: DataFrame) -> DataFrame:
     """Per process of resolved nodes: actions, resolved, wired (class converted), waits."""
-    done = converted.select(F.col("class_name").alias("implemented_by"), F.lit(True).alias("_w")).distinct()
-    n = nodes.join(done, "implemented_by", "left")
+    n = _with_class(nodes, converted, "_w")
     act = F.col("kind") == "action"
     return n.groupBy("file", "process").agg(
         F.count_if(act).alias("actions"), F.count_if(act & (F.col("implemented_by") != "")).alias("resolved"),
@@ -144,7 +150,6 @@ def flow_topology(nodes: DataFrame, procs: DataFrame, converted: DataFrame) -> D
     transition name. The start of a process is its declared start, else its first action.
     """
     named = nodes.select("file", F.col("node").alias("target"), N.safe_name(F.col("node")).alias("target_el")).distinct()
-    done = converted.select(F.col("class_name").alias("implemented_by"), F.lit(True).alias("wired")).distinct()
     act = F.col("kind") == "action"
     first = nodes.filter(act).groupBy("file").agg(F.min_by("node", "ord").alias("_first"))
     start = procs.select("file", F.col("_x._start").alias("_declared"))
@@ -152,7 +157,7 @@ def flow_topology(nodes: DataFrame, procs: DataFrame, converted: DataFrame) -> D
     start = start.join(known, ["file", "_declared"], "left").join(first, "file", "left").select(
         "file", F.when(F.col("_ok"), F.col("_declared")).otherwise(F.col("_first")).alias("_start"))
     live = F.filter("edges", lambda e: e["to"] != "")
-    n = nodes.join(done, "implemented_by", "left").join(start, "file", "left")
+    n = _with_class(nodes, converted, "wired").join(start, "file", "left")
     n = n.select("file", "process", "node", "kind", N.safe_name(F.col("node")).alias("element"),
                  F.coalesce("wired", F.lit(False)).alias("wired"), (F.col("node") == F.col("_start")).alias("is_start"),
                  F.when(~act & (F.col("kind") != "end"), N.duration_minutes(F.col("delay"))).alias("minutes"),
@@ -168,8 +173,7 @@ def flow_topology(nodes: DataFrame, procs: DataFrame, converted: DataFrame) -> D
 
 def review_notes(nodes: DataFrame, converted: DataFrame) -> DataFrame:
     """One note per unwired action, per branching action and per wait."""
-    done = converted.select(F.col("class_name").alias("implemented_by"), F.lit(True).alias("_w")).distinct()
-    n = nodes.join(done, "implemented_by", "left")
+    n = _with_class(nodes, converted, "_w")
     act = F.col("kind") == "action"
     n_out = F.size(F.filter("edges", lambda e: e["to"] != ""))
     note = lambda cond, what: F.when(cond, F.lit(what))

@@ -60,7 +60,7 @@ def triage(artifacts: DataFrame, sources: DataFrame, hazards: DataFrame, finding
             F.array_join("crit_rules", ", "), ")"),
         say(F.col("high") > 0, text("high"), " high-severity hazard(s) in its source"),
         say(F.col("errors") > 0, "the Critic raised ", text("errors"), " unresolved error(s)"),
-        say(flags > 0, "flagged for review: ", F.substring(F.array_join("review_flags", "; "), 1, 120)),
+        say(flags > 0, "flagged for review: ", F.array_join("review_flags", "; ")),
         say(F.col("rules") > 0, "carries ", text("rules"), " business rule(s)"),
         say(F.col("cx") == 2, "the source was assessed as high complexity")))
     a = a.withColumn("band", band).withColumn("_r", reasons)

@@ -24,7 +24,7 @@ def chunk_by_heading(docs: DataFrame) -> DataFrame:
     rows = computed(rows, rest=rest, own=own, head=T.strip(F.substring(F.get(ls, F.lit(0)), F.lit(4), F.length("part"))))
     names = F.filter("rest", lambda x: x.startswith("# "))
     last = T.strip(F.substring(F.try_element_at(names, F.lit(-1)), F.lit(3), F.length("part")))
-    body = F.regexp_replace(F.array_join(F.filter("rest", lambda x: ~x.startswith("# ")), "\n"), r"^\s+|\s+\z", "")
+    body = T.strip(F.array_join(F.filter("rest", lambda x: ~x.startswith("# ")), "\n"), T.ASCII_SPACE)
     out = rows.select(
         F.struct("doc_id", "pos").alias("chunk_id"), "doc",
         F.coalesce(last, F.when(F.col("own"), F.col("head")).otherwise(F.col("stem"))).alias("heading"), body.alias("body"))

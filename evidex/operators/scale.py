@@ -114,6 +114,13 @@ def split_join(big: DataFrame, small: DataFrame, key: str, how: str = "left",
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def dealt_key(df: DataFrame, key: str | Column) -> Column:
+    """``key`` for a left join that blank keys cannot match: null and '' are dealt over 1,024 values."""
+    c = F.col(key) if isinstance(key, str) else key
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(1024)).cast("string")
+    return F.when(c.isNull() | (c == ""), F.concat(F.lit("\u0000"), salt)).otherwise(c)
+
+
 def computed(df: DataFrame, **cols: Column) -> DataFrame:
     """Add columns that are evaluated exactly once per row.
 

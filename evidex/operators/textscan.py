@@ -16,27 +16,41 @@ from evidex.functions import text as T
 from evidex.operators.scale import computed, global_rank, side_by_side
 
 
-def _hits(files: DataFrame, found: Sequence[tuple[str, str, Column]], keep: Sequence[str],
-          snippet: bool = True) -> DataFrame:
-    """Explode (rule, severity, lines) arrays into one row per hit, with its snippet."""
-    parts = [F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), c.alias("at"))
-             for r, s, c in found]
+def _hits(files: DataFrame, found: Sequence[tuple], keep: Sequence[str],
+          snippet: bool = True, width: int | None = None, notes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Explode (rule, severity, lines[, count]) into one row per hit, with its snippet.
+
+    Snippets are whole lines, or their first ``width`` characters, and are taken from the lines
+    before the rows are made, so no hit carries the text. ``notes`` gives hazard and fix of a rule.
+    """
+    parts = [F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), c.alias("at"),
+                      (n[0] if n else F.lit(0)).cast("bigint").alias("n")) for r, s, c, *n in found]
     some = computed(files, _f=F.filter(F.array(*parts), lambda x: F.size(x["at"]) > 0))
     some = computed(some.filter(F.size("_f") > 0), _l=T.lines(F.col("text")))
-    one = some.select(*keep, "_l", F.explode("_f").alias("_x"))
-    out = one.select(*keep, "_l", F.col("_x.rule").alias("rule"),
-                     F.col("_x.severity").alias("severity"),
-                     F.explode("_x.at").alias("_line"))
-    cut = F.substring(T.strip(F.get("_l", F.col("_line") - 1)), 1, 120)
-    return out.select("rule", "severity", *keep, F.col("_line").cast("bigint").alias("line"),
-                      (F.coalesce(cut, F.lit("")) if snippet else F.lit("")).alias("snippet"))
+
+    def said(n: Column) -> Column:
+        if not snippet:
+            return F.lit("")
+        line = F.coalesce(T.strip(F.get("_l", n - 1)), F.lit(""))
+        return line if width is None else F.substring(line, 1, width)
+
+    each = F.flatten(F.transform("_f", lambda x: F.transform(x["at"], lambda n: F.struct(
+        x["rule"].alias("rule"), x["severity"].alias("severity"), n.cast("bigint").alias("line"), said(n).alias("snippet"), x["n"].alias("n")))))
+    out = computed(some, _h=each).select(*keep, F.explode("_h").alias("_h"))
+    more = []
+    if notes is not None:
+        for i, name in enumerate(("hazard", "fix")):
+            table = {r: n[i] for r, n in notes.items()}
+            text = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])[F.col("_h.rule")] if table else F.lit(None)
+            more.append(F.coalesce(F.replace(text, F.lit("{n}"), F.col("_h.n").cast("string")), F.lit("")).alias(name))
+    return out.select("_h.rule", "_h.severity", *keep, "_h.line", "_h.snippet", *more)
 
 
 def regex_scan(files: DataFrame, rules: Sequence[tuple[str, str, str]],
-               keep: Sequence[str] = ("file",)) -> DataFrame:
+               keep: Sequence[str] = ("file",), width: int | None = None) -> DataFrame:
     """One row per match of each (rule, severity, pattern) over the whole text."""
     text = F.col("text")
-    return _hits(files, [(r, s, T.match_lines(text, p)) for r, s, p in rules], keep)
+    return _hits(files, [(r, s, T.match_lines(text, p)) for r, s, p in rules], keep, width=width)
 
 
 def block_lines(files: DataFrame, keep: Sequence[str] = ("file",)) -> DataFrame:
@@ -47,18 +61,19 @@ def block_lines(files: DataFrame, keep: Sequence[str] = ("file",)) -> DataFrame:
     return each.select(*keep, F.col("line").cast("bigint").alias("line"))
 
 
-def hazard_scan(files: DataFrame, rules=R.HAZARD_RULES, suffix: str | None = ".java") -> DataFrame:
+def hazard_scan(files: DataFrame, rules=R.HAZARD_RULES, suffix: str | None = ".java", notes=R.HAZARD_NOTES) -> DataFrame:
     """Line rules on stripped code, the loop rules only on lines inside loops."""
     src = files.filter(F.col("suffix") == suffix) if suffix else files
     src = computed(src, text=T.strip_code_comments(F.col("text")))
     src = computed(src, source_class=T.class_of(F.col("text"), T.file_stem(F.col("name"))),
                    _loops=T.loop_ranges(F.col("text")))
+    src = computed(src, _loops=T.range_flags(F.col("_loops")))
     found = []
     for rule, severity, pattern, in_loop in rules:
         at = T.match_lines(F.col("text"), pattern)
         found.append((rule, severity,
-                      F.filter(at, lambda n: T.in_ranges(F.col("_loops"), n)) if in_loop else at))
-    return _hits(src, found, ("file", "source_class"))
+                      F.filter(at, lambda n: F.coalesce(F.get("_loops", n - 1), F.lit(False))) if in_loop else at))
+    return _hits(src, found, ("file", "source_class"), notes=notes)
 
 
 def unbounded_window(files: DataFrame, opens: str = R.QUERY_OPEN, bound: str = R.QUERY_BOUND,
@@ -73,10 +88,10 @@ def unbounded_window(files: DataFrame, opens: str = R.QUERY_OPEN, bound: str = R
     ls = F.col("_ls")
     at = F.filter(T.match_lines(F.col("text"), opens), lambda n: ~F.array_join(
         F.slice(ls, n, F.lit(window)), "\n").rlike(bound))
-    return _hits(src, [(rule, "medium", at)], ("file", "source_class"))
+    return _hits(src, [(rule, "medium", at)], ("file", "source_class"), notes=R.HAZARD_NOTES)
 
 
-def file_hazards(files: DataFrame, rules=R.FILE_RULES) -> DataFrame:
+def file_hazards(files: DataFrame, rules=R.FILE_RULES, notes=R.HAZARD_NOTES) -> DataFrame:
     """File rules: first hit, every hit, or more than n matching lines."""
     prepared = {"raw": F.col("text"), "markup": F.col("_markup"), "code": F.col("_code")}
     text, suffix = F.col("text"), F.col("suffix")
@@ -86,18 +101,19 @@ def file_hazards(files: DataFrame, rules=R.FILE_RULES) -> DataFrame:
     src = src.withColumn("source_class", T.file_stem(F.col("name")))
     found = []
     for rule, severity, suffix, pattern, mode, form in rules:
-        t = prepared[form]
+        t, n = prepared[form], F.lit(0)
         if mode == "every":
             at = T.match_lines(t, pattern)
         elif mode == "first":
             at = F.array_compact(F.array(T.first_match_line(t, pattern)))
         else:
             limit = int(mode.rsplit(" ", 1)[1])
-            at = F.when(F.regexp_count(t, F.lit(pattern)) > limit, F.array(F.lit(1)))
+            n = F.coalesce(F.regexp_count(t, F.lit(pattern)), F.lit(0))
+            at = F.when(n > limit, F.array(F.lit(1)))
             at = F.coalesce(at, F.array().cast("array<int>"))
         fits = F.col("suffix") == suffix
-        found.append((rule, severity, F.when(fits, at).otherwise(F.array().cast("array<int>"))))
-    return _hits(src, found, ("file", "source_class"), snippet=False)
+        found.append((rule, severity, F.when(fits, at).otherwise(F.array().cast("array<int>")), n))
+    return _hits(src, found, ("file", "source_class"), snippet=False, notes=notes)
 
 
 def severity_rank(severity: Column) -> Column:
@@ -130,10 +146,11 @@ def hazard_by_rule(hazards: DataFrame) -> DataFrame:
 
 def secret_scan(files: DataFrame, patterns=R.SECRET_PATTERNS,
                 suffixes: Sequence[str] | None = R.SECRET_SUFFIXES,
-                max_bytes: int | None = R.SECRET_MAX_BYTES) -> DataFrame:
+                max_bytes: int | None = None) -> DataFrame:
     """One finding per file: the first pattern in list order that matches. Never the value.
 
-    Suffix and size are tested before any pattern, on columns the scan can push down.
+    The suffix is tested before any pattern. Files of any size are read whole, unless a
+    ``max_bytes`` is asked for.
     """
     src = files
     if suffixes is not None:
@@ -239,12 +256,13 @@ _DML = (r"(?i)\b(insert|update|delete|undelete|upsert)\b\s+[^;]+;"
         r"|Database\.(insert|update|delete|upsert|undelete)\(")
 
 
-def _loop_flags(ls: Column) -> Column:
-    """Per line whether it lies in, or starts, a loop: a fold over lines and their braces."""
-    zero = F.struct(F.array().cast("array<boolean>").alias("stack"),
-                    F.array().cast("array<boolean>").alias("out"))
+def _clean_line(x: Column) -> Column:
+    return T.strip(F.regexp_replace(x, r"//.*|/\*.*?\*/", ""))
+
 
-    def one(s: Column, line: Column) -> Column:
+def _loop_flags(text: Column) -> Column:
+    """Per line whether it lies in, or starts, a loop: a fold over lines and their braces."""
+    def one(s: Column, line: Column) -> dict[str, Column]:
         starts = line.rlike(_LOOP_WORD) & (line.contains("(") | line.contains("{"))
         braces = F.regexp_extract_all(line, F.lit("[{}]"), F.lit(0))
         inner = F.aggregate(
@@ -255,11 +273,10 @@ def _loop_flags(ls: Column) -> Column:
                       F.slice(a["stack"], F.lit(1), F.size(a["stack"]) - 1))
                 .otherwise(a["stack"]).alias("stack"),
                 (a["start"] & (b != "{")).alias("start")))
-        inside = F.array_contains(inner["stack"], True) | inner["start"]
-        return F.struct(inner["stack"].alias("stack"),
-                        F.array_append(s["out"], inside).alias("out"))
+        return {"stack": inner["stack"], "out": F.array(F.array_contains(inner["stack"], True) | inner["start"])}
 
-    return F.aggregate(ls, zero, one, lambda s: s["out"])
+    return T.fold(T.line_blocks(text), lambda b: F.transform(T.block_lines(b), _clean_line),
+                  {"stack": F.array().cast("array<boolean>")}, one, "out", "array<boolean>")
 
 
 def validate_code_rules(files: DataFrame, keep: Sequence[str] = ("file",)) -> DataFrame:
@@ -267,12 +284,10 @@ def validate_code_rules(files: DataFrame, keep: Sequence[str] = ("file",)) -> Da
     text, name = F.col("text"), F.col("name")
     is_test = name.endswith("Test.cls") | name.contains("Test")
     opened, closed = T.occurrences(text, "{"), T.occurrences(text, "}")
-    clean = F.transform(T.lines(text), lambda x: T.strip(
-        F.regexp_replace(x, r"//.*|/\*.*?\*/", "")))
-    src = computed(files, _l=clean)
+    src = computed(files, _l=F.transform(T.lines(text), _clean_line))
     # The fold is only worth running where a loop word and a query or DML occur at all.
     busy = text.rlike(_LOOP_WORD) & (text.rlike(_QUERY) | text.rlike(_DML))
-    src = computed(src, _in=F.when(busy, _loop_flags(F.col("_l"))))
+    src = computed(src, _in=F.when(busy, _loop_flags(text)))
 
     def issue(rule: str, severity: str, message: Column) -> Column:
         return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
@@ -326,9 +341,11 @@ def validate_markup_bindings(bundles: DataFrame, keep: Sequence[str] = ("file",)
     """issues for bundles(html, js, meta): module shape, template root, bindings, keys, meta."""
     html, js, meta = (F.coalesce(F.col(c), F.lit("")) for c in ("html", "js", "meta"))
 
-    def issue(rule: str, severity: str, message: Column | None = None) -> Column:
-        return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
-                        (message if message is not None else F.lit("")).alias("message"))
+    def issue(rule: str, severity: str, expression: Column | None = None) -> Column:
+        said = F.lit(R.MARKUP_MESSAGES[rule])
+        if expression is not None:
+            said = F.replace(said, F.lit("{x}"), expression)
+        return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), said.alias("message"))
 
     def flag(cond: Column, rule: str, severity: str) -> Column:
         return F.array_compact(F.array(F.when(cond, issue(rule, severity))))
@@ -336,8 +353,9 @@ def validate_markup_bindings(bundles: DataFrame, keep: Sequence[str] = ("file",)
     exprs = F.transform(F.regexp_extract_all(html, F.lit(r"\{([^{}]+)\}"), F.lit(1)), lambda e: T.strip(e))
     allowed = "|".join(ALLOWED_BINDINGS)
     bad = F.filter(exprs, lambda e: (e != "") & ~e.rlike(allowed) & ~e.rlike(PROPERTY_PATH))
-    # A for:each without key= in its 400 characters; one warning per bundle.
-    keyless = html.rlike(r"(?s)(?=<template[^>]*for:each=)(?!.{0,396}key=)")
+    # A for:each with no key= up to the next one; one warning per bundle.
+    loops = F.split(html, r"(?=<template[^>]*for:each=)")
+    keyless = F.exists(loops, lambda x: x.rlike("^<template[^>]*for:each=") & ~x.contains("key="))
     found = F.concat(
         flag(~js.contains("extends LightningElement"), "lwc_class", "ERROR"),
         flag(~js.contains("export default"), "lwc_export", "ERROR"),

@@ -31,10 +31,10 @@ def keywords(t):
 
 
 RULE_SQL = f"""
-r AS (SELECT 'C' || conv_id AS class_name, 'T' || conv_id AS target, turn, trim(text) AS rule, conv_id FROM conversations WHERE role = 'user'),
+r AS (SELECT 'C' || conv_id AS class_name, 'T' || conv_id AS target, turn, trim(text) AS rule, conv_id FROM conversations),
 art AS (SELECT 'T' || conv_id AS target, conv_id, CASE WHEN conv_id % 11 = 0 THEN 'error' ELSE 'accepted' END AS status,
-   CASE WHEN conv_id % 3 <> 0 THEN 'System.assert(' ELSE '' END || regexp_replace(text, '(\\S+)\\s+\\S+', '\\1', 'g') AS test_text, text AS full_text
-   FROM conversations WHERE turn = 0 AND conv_id % 13 <> 0),
+   CASE WHEN conv_id % 3 <> 0 THEN 'System.assert(' ELSE '' END || CASE WHEN conv_id % 4 = 1 THEN md5(full_text) ELSE full_text END AS test_text, full_text
+   FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS full_text FROM conversations WHERE conv_id % 13 <> 0 GROUP BY 1)),
 cv AS (SELECT r.*, art.status, art.test_text, {kw_sql('rule')} AS kw, regexp_matches(coalesce(test_text, ''), '(?i)System\\.assert|Assert\\.') AS asserts FROM r LEFT JOIN art USING (target)),
 cov AS (SELECT *, asserts AND len(list_distinct(kw)) > 0 AND
    len(list_intersect(list_distinct(kw), regexp_extract_all(lower(coalesce(test_text, '')), '[\\p{{L}}\\p{{N}}_]+'))) / len(list_distinct(kw)) >= 0.4 AS covered FROM cv)
@@ -46,17 +46,20 @@ def conv(c):
 
 
 def rules(t):
-    return t.conversations.filter("role = 'user'").select(
+    return t.conversations.select(
         conv("C").alias("class_name"), conv("T").alias("target"), F.col("turn").cast("bigint").alias("turn"),
         F.trim("text").alias("rule"))
 
 
 def artifacts(t, whole=False):
-    """One artifact per conversation; its test holds every other word of the first turn, or all."""
+    """One artifact per conversation; its test holds the words of all turns, each fourth one a digest unless ``whole``."""
     k = F.col("conv_id")
     lead = F.when(k % 3 != 0, F.lit("System.assert(")).otherwise("")
-    said = F.col("text") if whole else F.regexp_replace("text", r"(\S+)\s+\S+", "$1")
-    return t.conversations.filter("turn = 0 and conv_id % 13 <> 0").select(
+    every = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    turns = t.conversations.filter("conv_id % 13 <> 0").groupBy("conv_id").agg(
+        F.array_join(F.transform(every, lambda x: x["text"]), " ").alias("text"))
+    said = F.col("text") if whole else F.when(k % 4 == 1, F.md5("text")).otherwise(F.col("text"))
+    return turns.select(
         conv("T").alias("target"), F.when(k % 11 == 0, "error").otherwise("accepted").alias("status"),
         F.concat(lead, said).alias("test_text"))
 
@@ -199,7 +202,7 @@ def provenance_summary(t):
 
 
 BEST_SQL = f"""
-rr AS (SELECT 'R-' || substr(md5(trim('C' || conv_id || '|' || trim(text))), 1, 8) AS rule_id, conv_id, turn, trim(text) AS rule, list_distinct({kw_sql('trim(text)')}) AS want FROM conversations WHERE role = 'user'),
+rr AS (SELECT 'R-' || substr(md5(trim('C' || conv_id || '|' || trim(text))), 1, 8) AS rule_id, conv_id, turn, trim(text) AS rule, list_distinct({kw_sql('trim(text)')}) AS want FROM conversations),
 mm AS (SELECT conv_id, turn, 'turn' || conv_id || 'x' || turn AS method, list_distinct({kw_sql("regexp_replace(text, '(\\S+\\s+\\S+)\\s+\\S+', '\\1', 'g')")}) AS have FROM conversations),
 sc AS (SELECT rule_id, method, mm.turn, len(list_intersect(want, have)) / len(want) AS score FROM rr JOIN mm USING (conv_id) WHERE len(want) > 0 AND len(have) > 0),
 bm AS (SELECT rule_id, arg_max(method, score * 1000000 - turn) AS method, max(score) AS score FROM sc WHERE score >= 0.34 GROUP BY 1)
@@ -227,10 +230,10 @@ def best_method(t):
 WITH {RLEDGER_SQL}, {BEST_SQL},
 al AS (SELECT rr.rule_id, 'C' || rr.conv_id AS class_name, art.target, CASE WHEN art.target IS NOT NULL THEN bm.method END AS source_method, bm.score, rr.conv_id, rl.status,
    try_cast(split_part(bm.method, 'x', 2) AS INT) AS mt FROM rr LEFT JOIN art ON art.conv_id = rr.conv_id LEFT JOIN bm USING (rule_id) LEFT JOIN rl ON rl.id = rr.rule_id)
-SELECT rule_id, class_name, target, source_method, round_even(score, 2) AS match_score,
+SELECT rule_id, class_name, target, source_method, round_even(round(score * 1000000) / 10000, 0) / 100 AS match_score,
   CASE WHEN source_method IS NOT NULL AND mt % 3 <> 0 THEN 'out' || mt END AS target_method,
   CASE WHEN source_method IS NOT NULL AND mt % 3 <> 0 THEN CASE WHEN mt % 2 = 0 THEN 'high' ELSE 'medium' END END AS confidence,
-  CASE WHEN source_method IS NOT NULL AND conv_id % 5 = 0 THEN 'B' || source_method WHEN target IS NOT NULL AND status = 'asserted' THEN 'a generated test references this rule''s terms' END AS proof,
+  CASE WHEN source_method IS NOT NULL AND conv_id % 5 = 0 THEN 'B' || source_method || ' — ' || (SELECT role FROM conversations c WHERE c.conv_id = al.conv_id AND c.turn = mt) WHEN target IS NOT NULL AND status = 'asserted' THEN 'a generated test references this rule''s terms' END AS proof,
   CASE WHEN target IS NULL THEN 'none' WHEN source_method IS NOT NULL AND conv_id % 5 = 0 THEN 'replayed' ELSE coalesce(status, 'none') END AS proof_kind,
   CASE WHEN target IS NULL THEN 'no artifact carries this class' WHEN source_method IS NULL THEN 'could not tie this rule to a specific method — it is carried by the class as a whole'
     WHEN mt % 3 = 0 THEN '`' || source_method || '` has no traceable counterpart in `' || target || '`' END AS broken_at FROM al""")
@@ -239,9 +242,13 @@ def alignment_rows(t):
     tn = F.col("turn")
     links = t.conversations.filter(tn % 3 != 0).select(
         conv("T").alias("target"), _cat("out", tn.cast("string")).alias("name"), method.alias("origin"),
-        F.when(tn % 2 == 0, "high").otherwise("medium").alias("confidence"))
+        F.when(tn % 2 == 0, "high").otherwise("medium").alias("confidence"), tn.alias("ord"))
+    again = links.select("target", _cat("a", F.col("name")).alias("name"), "origin", F.lit("low").alias("confidence"), (F.col("ord") + 1).alias("ord"))
+    c5 = F.col("conv_id") % 10 == 0
     replays = t.conversations.filter("conv_id % 5 = 0").select(
-        _cat("B", method).alias("id"), method.alias("target_method"), F.lit("direct").alias("mode"))
+        _cat("B", method).alias("id"), F.col("role").alias("label"), conv("C").alias("source_class"), method.alias("target_method"),
+        F.when(c5, "direct").otherwise("adapter").alias("mode"), F.when(~c5, "b").alias("bridge"), tn.alias("ord"))
+    links = links.unionByName(again)
     return A.alignment_rows(ruled(t), carriers(t), best(t), links, replays, rule_ledger_of(t))
 
 
@@ -366,7 +373,7 @@ def triage_summary(t):
 
 
 @query("confidence", """
-WITH i AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'A') AS e, count(*) FILTER (l_returnflag <> 'A') AS w FROM lineitem WHERE l_quantity > 40 GROUP BY 1),
+WITH i AS (SELECT l_orderkey AS k, count(*) FILTER (l_returnflag = 'A') AS e, count(*) FILTER (l_returnflag <> 'A') AS w FROM lineitem GROUP BY 1),
 o AS (SELECT o_orderkey AS k, o_orderstatus <> 'P' AS ran, o_orderstatus = 'O' AS ok, o_orderkey % 7 = 0 AS failed, o_orderkey % 11 = 0 AS healed, o_orderkey % 2 = 0 AS verified,
    coalesce(e, 0) AS e, coalesce(w, 0) AS w, 100 - 22 * coalesce(e, 0) - 7 * coalesce(w, 0) AS base FROM orders LEFT JOIN i ON i.k = o_orderkey),
 s AS (SELECT *, greatest(5, least(99, CASE WHEN ran AND failed THEN least(base, 45) WHEN ran AND ok AND e = 0 THEN greatest(base, 88) WHEN ran THEN base ELSE least(base, 75) END)) AS score FROM o)
@@ -378,7 +385,7 @@ def confidence(t):
     k = F.col("o_orderkey")
     arts = t.orders.select(k.alias("target"), (F.col("o_orderstatus") != "P").alias("ran"), (F.col("o_orderstatus") == "O").alias("deploy_ok"),
                            (k % 7 == 0).alias("failed"), (k % 11 == 0).alias("healed"), (k % 2 == 0).alias("verified"))
-    issues = t.lineitem.filter("l_quantity > 40").select(F.col("l_orderkey").alias("target"), F.when(F.col("l_returnflag") == "A", "ERROR").otherwise("WARNING").alias("severity"))
+    issues = t.lineitem.select(F.col("l_orderkey").alias("target"), F.when(F.col("l_returnflag") == "A", "ERROR").otherwise("WARNING").alias("severity"))
     return K.confidence(arts, issues)
 
 

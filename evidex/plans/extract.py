@@ -185,8 +185,8 @@ slim0 AS (SELECT file, file_id, text, '// imports: de.hybris.platform, org.sprin
     (file_id % 3) || '.ModelService;' || chr(10) || 'import org.springframework.stereotype.Service;' || chr(10) || chr(10), ''),
     '    public String getLabel() {{ return label; }}', '') || chr(10) || chr(10) || '// (1 trivial getter/setter(s) omitted — no logic)' || chr(10) AS cut
   FROM cls),
-slim AS (SELECT file, file_id, length(text) AS original, length(text) >= 900 AND 1 - length(cut) / length(text) >= 0.05 AS applied,
-  CASE WHEN length(text) >= 900 AND 1 - length(cut) / length(text) >= 0.05 THEN cut ELSE text END AS slimmed_text FROM slim0)
+slim AS (SELECT file, file_id, length(text) AS original, 1 - length(cut) / length(text) >= 0.05 AS applied,
+  CASE WHEN 1 - length(cut) / length(text) >= 0.05 THEN cut ELSE text END AS slimmed_text FROM slim0)
 """
 
 
@@ -248,7 +248,7 @@ SELECT cls AS class_name, layer || ' class: ' || cls AS purpose, n + 1 AS n_inpu
   array_to_string(list_sort(list_distinct([x FOR x IN [base, CASE WHEN peer <> cls THEN peer END,
      CASE WHEN buys THEN 'FlexibleSearchQuery' END] IF x IS NOT NULL])), '|') AS dependencies,
   CASE WHEN n + 1 > 8 THEN 'High' ELSE 'Medium' END AS complexity, len(string_split(text, chr(10))) AS loc,
-  least(25, n + 1) AS n_methods
+  n + 1 AS n_methods
 FROM layers JOIN ms USING (file_id)""")
 def class_profile(t):
     p = X.class_profile(X.class_table(gen_code(t.events)))

@@ -75,7 +75,7 @@ WITH {CODE_SQL},
 ms AS (SELECT cls.file_id, cls, 'm' || event_id AS m, text, peer FROM code JOIN cls USING (file_id, cls, peer)
   UNION ALL SELECT file_id, cls, 'getLabel', text, peer FROM cls)
 SELECT DISTINCT cls || '.' || m AS source, peer || '.m' || (40 * (file_id // 2)) AS target FROM ms
-WHERE contains(substr(text, strpos(text, ' ' || m || '('), 2500), 'peer.m' || (40 * (file_id // 2)) || '(')""")
+WHERE contains(text, 'peer.m' || (40 * (file_id // 2)) || '(') AND m IN (SELECT 'm' || event_id FROM events WHERE event_type = 'click')""")
 def method_calls(t):
     return G.method_calls(gen_code(t.events))[1]
 
@@ -215,7 +215,7 @@ def output_collisions(t):
 
 LEDGER_SQL = f"""
 {ART_SQL},
-src AS (SELECT l_partkey, arg_max(l_suppkey, l_orderkey * 1000000000 + l_suppkey) AS artifact_id FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 40 GROUP BY 1),
+src AS (SELECT l_partkey, arg_max(l_suppkey, l_orderkey * 1000000000 + l_suppkey) AS artifact_id FROM lineitem GROUP BY 1),
 led AS (
  SELECT 'P' || p_partkey AS source, CASE WHEN p_size % 9 = 0 THEN 'Model' ELSE p_type END AS layer,
   CASE WHEN p_size % 9 = 0 THEN 'converted' WHEN path IS NOT NULL AND path IN (SELECT path FROM hit) THEN 'overwritten'
@@ -226,7 +226,7 @@ led AS (
     WHEN path IS NOT NULL THEN flags WHEN p_size % 5 = 0 THEN p_name ELSE 'NOT represented in output — investigate' END AS note
  FROM part LEFT JOIN src ON l_partkey = p_partkey LEFT JOIN ap USING (artifact_id)
  UNION ALL SELECT 'U' || page_id, '—', 'unreadable', '—', 'not a text file (' || url || ') — migrate this file by hand' FROM pages WHERE page_id % 7 = 0
- UNION ALL SELECT 'G' || page_id, 'Module', 'skipped', '—', 'glue' FROM pages WHERE page_id % 7 = 1)
+ UNION ALL SELECT 'G' || page_id, 'Module', 'skipped', '—', 'glue' FROM pages WHERE page_id % 7 <> 0)
 """
 
 
@@ -234,14 +234,14 @@ def ledger(t):
     k = F.col("p_partkey")
     classes = t.part.select(_cat("P", k.cast("string")).alias("class_name"),
                             F.when(F.col("p_size") % 9 == 0, "Model").otherwise(F.col("p_type")).alias("layer"))
-    sources = t.lineitem.filter("l_linenumber = 1 and l_quantity > 40").select(
+    sources = t.lineitem.select(
         F.col("l_suppkey").alias("artifact_id"), _cat("P", F.col("l_partkey").cast("string")).alias("class_name"),
         F.col("l_orderkey").alias("ord"))
     skips = t.part.filter("p_size % 5 = 0").select(_cat("P", k.cast("string")).alias("class_name"),
                                                    F.col("p_name").alias("rationale"), k.alias("ord"))
     p = F.col("page_id")
     bad = t.pages.filter(p % 7 == 0).select(_cat("U", p.cast("string")).alias("class_name"), F.lit("not a text file").alias("reason"), F.col("url").alias("file"))
-    glue = t.pages.filter(p % 7 == 1).select(_cat("G", p.cast("string")).alias("class_name"), F.lit("Module").alias("layer"), F.lit("glue").alias("reason"))
+    glue = t.pages.filter(p % 7 != 0).select(_cat("G", p.cast("string")).alias("class_name"), F.lit("Module").alias("layer"), F.lit("glue").alias("reason"))
     return L.completeness_ledger(classes, supplier_artifacts(t), sources, skips, bad, None, glue)
 
 
@@ -258,8 +258,8 @@ def outcome_counts(t):
 @query("comprehension_rollup", """
 WITH c AS (SELECT conv_id, turn, role, text, string_split(text, chr(10)) AS ls FROM conversations),
 f AS (SELECT conv_id, turn, UNNEST(ls) AS l, UNNEST(generate_series(1, len(ls))) AS pos FROM c),
-r AS (SELECT conv_id, string_agg(md5(l), '|' ORDER BY turn, pos) AS rules FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS rn FROM f) WHERE rn <= 6 GROUP BY 1),
-k AS (SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS risks FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM c WHERE turn % 2 = 0) WHERE rn <= 6 GROUP BY 1),
+r AS (SELECT conv_id, string_agg(md5(l), '|' ORDER BY turn, pos) AS rules FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS rn FROM f) GROUP BY 1),
+k AS (SELECT conv_id, string_agg(role, '|' ORDER BY turn) AS risks FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM c WHERE turn % 2 = 0) GROUP BY 1),
 h AS (SELECT conv_id, coalesce(arg_min(md5(text), turn) FILTER (role <> 'system'), '') AS purpose,
   CASE WHEN bool_or(length(text) > 800) THEN 'High' WHEN bool_or(length(text) > 300) THEN 'Medium' ELSE 'Low' END AS complexity FROM c GROUP BY 1)
 SELECT 'T' || conv_id AS target, purpose, coalesce(rules, '') AS rules, coalesce(risks, '') AS risks, complexity FROM h LEFT JOIN r USING (conv_id) LEFT JOIN k USING (conv_id)""")

@@ -31,7 +31,7 @@ def gen_impex(customer):
         "; 12.5 \nREMOVE Segment; code\n;S", (F.col("file_id") % 3).cast("string"),
         "\nINSERT_UPDATE Trigger; cronJob(code)[unique=true]; cronExpression; active\n;job", fs,
         F.when(F.col("file_id") % 4 == 1, ";").otherwise(";0 0 2 * * ?"),
-        F.when(F.col("file_id") % 3 == 0, ";FALSE").otherwise(";"), "\n")
+        F.when(F.col("file_id") % 3 == 0, ";FALSE").otherwise(";"), "\nINSERT Empty; code[unique=true]; label[lang=en]; label[lang=de]\n")
     return f.select("file_id", _cat("data/f", F.lpad(fs, 9, "0"), ".impex").alias("file"), text.alias("text"))
 
 
@@ -58,26 +58,29 @@ col(type, block_no, pos, attr, is_ref, ref_key, composite, is_macro, is_unique,
   ('Segment', 3, 0, 'code', false, NULL, false, false, false, ''),
   ('Trigger', 4, 0, 'cronJob', true, 'code', false, false, true, 'unique=true'),
   ('Trigger', 4, 1, 'cronExpression', false, NULL, false, false, false, ''),
-  ('Trigger', 4, 2, 'active', false, NULL, false, false, false, '')),
+  ('Trigger', 4, 2, 'active', false, NULL, false, false, false, ''),
+  ('Empty', 5, 0, 'code', false, NULL, false, false, true, 'unique=true'),
+  ('Empty', 5, 1, 'label', false, NULL, false, false, false, 'lang=en'),
+  ('Empty', 5, 2, 'label', false, NULL, false, false, false, 'lang=de')),
 cell AS (SELECT ln.file, ln.block_no, ln.line_no, ln.type, col.pos, CASE WHEN is_macro THEN '$catalog[default=x]' ELSE attr END AS attr,
    trim(string_split(raw, ';')[pos + 2]) AS value FROM ln JOIN col USING (type, block_no) WHERE pos + 2 <= len(string_split(raw, ';')))
 """
 
 
-def lines_of(t):
-    return I.impex_lines(gen_impex(t.customer))
+def blocks_of(t):
+    return I.impex_blocks(gen_impex(t.customer))
 
 
 @query("blocks_from_lines", f"WITH {IMPEX_SQL} SELECT file, block_no, mode, type, line_no, raw FROM ln")
 def blocks_from_lines(t):
-    return lines_of(t).drop("header")
+    return I.impex_lines(blocks_of(t)).drop("header")
 
 
 @query("header_columns", f"""
 WITH {IMPEX_SQL} SELECT file, block_no, type, pos, attr, is_ref, ref_key, composite, is_macro, is_unique, mods AS modifiers
 FROM n, col""")
 def header_columns(t):
-    c = I.header_columns(lines_of(t))
+    c = I.header_columns(blocks_of(t))
     mods = F.array_join(F.array_sort(F.transform(F.map_entries("modifiers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
     return c.select("file", "block_no", "type", "pos", "attr", "is_ref", "ref_key", "composite", "is_macro", "is_unique",
                     mods.alias("modifiers"))
@@ -85,7 +88,7 @@ def header_columns(t):
 
 @query("cells", f"WITH {IMPEX_SQL} SELECT * FROM cell")
 def cells(t):
-    return I.cells(lines_of(t)).drop("mode")
+    return I.cells(blocks_of(t)).drop("mode")
 
 
 RECORD_SQL = f"""
@@ -100,37 +103,40 @@ rec AS (SELECT ln.type || '__c' AS object, mode, ln.file, ln.line_no, header, co
 
 @query("load_plan", f"WITH {RECORD_SQL} SELECT * FROM rec")
 def load_plan(t):
-    return I.load_records(lines_of(t))
+    return I.load_records(blocks_of(t))
 
 
 @query("load_objects", f"""
 WITH {IMPEX_SQL} SELECT DISTINCT type || '__c' AS object, type, CASE type WHEN 'Customer' THEN 'INSERT_UPDATE|UPDATE' WHEN 'Segment' THEN 'REMOVE' ELSE 'INSERT_UPDATE' END AS modes,
-  CASE WHEN type = 'Customer' THEN 'addr → addr(street,town(code))' ELSE '' END AS manual_relationships FROM ln""")
+  CASE WHEN type = 'Customer' THEN 'addr → addr(street,town(code))' ELSE '' END AS manual_relationships FROM ln
+UNION ALL SELECT 'Empty__c', 'Empty', 'INSERT', ''""")
 def load_objects(t):
-    o = I.load_objects(lines_of(t))
+    o = I.load_objects(blocks_of(t))
     return o.withColumn("modes", F.array_join("modes", "|")).withColumn("manual_relationships", F.array_join("manual_relationships", "|"))
 
 
 @query("load_headers", """
 SELECT * FROM (VALUES ('Customer__c', 'Uid__c', 1), ('Customer__c', 'Name__c', 2), ('Customer__c', 'Nation__r.Code__c', 3),
  ('Customer__c', 'Balance__c', 4), ('Segment__c', 'Code__c', 1), ('Trigger__c', 'CronJob__r.Code__c', 1),
- ('Trigger__c', 'CronExpression__c', 2), ('Trigger__c', 'Active__c', 3)) AS v(object, header, ord)""")
+ ('Trigger__c', 'CronExpression__c', 2), ('Trigger__c', 'Active__c', 3), ('Empty__c', 'Code__c', 1), ('Empty__c', 'Label__c', 2)) AS v(object, header, ord)""")
 def load_headers(t):
-    return I.load_headers(lines_of(t))
+    return I.load_headers(blocks_of(t))
 
 
 @query("external_key", f"""
 WITH {IMPEX_SQL} SELECT DISTINCT type || '__c' AS object, CASE WHEN type = 'Customer' THEN 'Uid__c' END AS external_id,
- CASE WHEN type = 'Customer' THEN '' ELSE 'no [unique=true] attribute found — pick an External ID manually before upserting' END AS note FROM ln""")
+ CASE WHEN type = 'Customer' THEN '' ELSE 'no [unique=true] attribute found — pick an External ID manually before upserting' END AS note FROM ln
+UNION ALL SELECT 'Empty__c', 'Code__c', ''""")
 def external_key(t):
-    return I.external_keys(lines_of(t))
+    return I.external_keys(blocks_of(t))
 
 
 @query("mark_keys", f"""
 WITH {RECORD_SQL} SELECT DISTINCT object, header AS field, header = 'Uid__c' AS uniq, header = 'Uid__c' AS external_id
-FROM rec WHERE header NOT LIKE '%.%'""")
+FROM rec WHERE header NOT LIKE '%.%'
+UNION ALL SELECT 'Empty__c', 'Code__c', true, true UNION ALL SELECT 'Empty__c', 'Label__c', false, false""")
 def mark_keys(t):
-    ls = lines_of(t)
+    ls = blocks_of(t)
     schema = I.load_headers(ls).filter(~F.col("header").contains(".")).select(
         "object", F.col("header").alias("field"), F.lit(False).alias("unique"))
     return I.mark_keys(schema, I.external_keys(ls)).withColumnRenamed("unique", "uniq")
@@ -138,16 +144,17 @@ def mark_keys(t):
 
 @query("load_summary", f"""
 WITH {IMPEX_SQL} SELECT type || '__c' AS object, count(*) AS records, CASE WHEN type = 'Customer' THEN 'Uid__c' END AS external_id,
- CASE type WHEN 'Customer' THEN 'INSERT_UPDATE,UPDATE' WHEN 'Segment' THEN 'REMOVE' ELSE 'INSERT_UPDATE' END AS modes FROM ln GROUP BY type""")
+ CASE type WHEN 'Customer' THEN 'INSERT_UPDATE,UPDATE' WHEN 'Segment' THEN 'REMOVE' ELSE 'INSERT_UPDATE' END AS modes FROM ln GROUP BY type
+UNION ALL SELECT 'Empty__c', 0, 'Code__c', 'INSERT'""")
 def load_summary(t):
-    return I.load_summary(lines_of(t)).withColumn("modes", F.array_join("modes", ","))
+    return I.load_summary(blocks_of(t)).withColumn("modes", F.array_join("modes", ","))
 
 
 @query("impex_triggers", f"""
 WITH {IMPEX_SQL} SELECT file, n + 12 AS line_no, 'job' || f AS job_class, '0 0 2 * * ?' AS cron_expression, f % 3 <> 0 AS active, true AS resolved
 FROM n WHERE f % 4 <> 1""")
 def impex_triggers(t):
-    return C.impex_triggers(I.cells(lines_of(t)))
+    return C.impex_triggers(I.cells(blocks_of(t)))
 
 
 def gen_beans(orders):

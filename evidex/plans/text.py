@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidex.functions import rules as R
 from evidex.functions import text as T
 from evidex.operators import textscan as S
 from evidex.plans.corpora import CODE_SQL, HAZARD_SQL, gen_code
@@ -52,7 +53,7 @@ def scan_corpus(t):
 @query("file_tree", f"""
 WITH {PAGE_SQL}
 SELECT path, strlen(html) AS bytes FROM p WHERE NOT list_contains(string_split(path, '/'), 'de')
-ORDER BY path, bytes LIMIT 1200""")
+ORDER BY path, bytes""")
 def file_tree(t):
     df = files_.drop_skipped(page_files(t), PAGE_SKIP)
     return files_.file_tree(df.withColumn("length", F.col("length").cast("bigint")))
@@ -121,7 +122,7 @@ DOC_HITS_SQL = f"""
 r(rule, severity, pat) AS (VALUES ('EMAIL','critical','[A-Za-z0-9.]+@[A-Za-z0-9]+\\.[a-z]+'),
   ('PHONE','high','\\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}'), ('LICENSE','medium','[Ll]icen[cs]e'),
   ('REPEATED_MARK','info','#{{3}}|\\*{{3}}')),
-hit AS (SELECT rule, severity, file, line, substr(trim(line_text, ' '), 1, 120) AS snippet,
+hit AS (SELECT rule, severity, file, line, trim(line_text, ' ') AS snippet,
    UNNEST(generate_series(1, len(regexp_extract_all(line_text, pat)))) AS k FROM dl, r
    WHERE regexp_matches(line_text, pat)),
 hits AS (SELECT rule, severity, file, line, snippet FROM hit)
@@ -149,16 +150,20 @@ def block_lines(t):
     return S.block_lines(files)
 
 
-@query("hazard_scan", f"WITH {CODE_SQL}, {HAZARD_SQL} SELECT * FROM haz")
+_said = lambda text: "'" + text.replace("'", "''") + "'"
+NOTES_SQL = "notes(rule, hazard, fix) AS (VALUES " + ", ".join(f"('{r}', {_said(h)}, {_said(f)})" for r, (h, f) in R.HAZARD_NOTES.items()) + ")"
+
+
+@query("hazard_scan", f"WITH {CODE_SQL}, {HAZARD_SQL}, {NOTES_SQL} SELECT * FROM haz JOIN notes USING (rule)")
 def hazard_scan(t):
     return S.hazard_scan(gen_code(t.events))
 
 
 @query("unbounded_window_rule", f"""
-WITH {CODE_SQL}
-SELECT 'QUERY_NO_LIMIT' AS rule, 'medium' AS severity, c.file, c.cls AS source_class, c.line0 + 3 AS line,
+WITH {CODE_SQL}, {NOTES_SQL}
+SELECT notes.*, 'medium' AS severity, c.file, c.cls AS source_class, c.line0 + 3 AS line,
   'return new FlexibleSearchQuery("");' AS snippet
-FROM code c WHERE c.event_type = 'purchase' AND NOT EXISTS (
+FROM notes JOIN code c ON rule = 'QUERY_NO_LIMIT' WHERE c.event_type = 'purchase' AND NOT EXISTS (
   SELECT 1 FROM code k WHERE k.file_id = c.file_id AND k.event_type = 'click'
     AND k.line0 + 1 BETWEEN c.line0 + 3 AND c.line0 + 15)""")
 def unbounded_window_rule(t):
@@ -170,12 +175,12 @@ WITH {PAGE_SQL}, h AS (SELECT *, regexp_replace(html, '<!--(.|\\n)*?-->', '', 'g
 SELECT 'AD_BLOCK' AS rule, 'high' AS severity, path AS file,
   regexp_replace(name, '(.)\\.[^.]+$', '\\1') AS source_class,
   1 + len(regexp_extract(bare, '^((?:.|\\n)*?)class="ad"', 1)) - len(replace(regexp_extract(bare, '^((?:.|\\n)*?)class="ad"', 1), chr(10), '')) AS line,
-  '' AS snippet FROM h WHERE contains(bare, 'class="ad"') AND suffix = '.html'
+  '' AS snippet, '' AS hazard, '' AS fix FROM h WHERE contains(bare, 'class="ad"') AND suffix = '.html'
 UNION ALL
-SELECT 'PARAGRAPHS', 'medium', path, regexp_replace(name, '(.)\\.[^.]+$', '\\1'), 1, ''
+SELECT 'PARAGRAPHS', 'medium', path, regexp_replace(name, '(.)\\.[^.]+$', '\\1'), 1, '', len(regexp_extract_all(html, '<p>')) || ' paragraphs.', 'Split it.'
 FROM h WHERE len(regexp_extract_all(html, '<p>')) > 5 AND suffix = '.html'
 UNION ALL
-SELECT 'TOP_HEADING', 'high', path, regexp_replace(name, '(.)\\.[^.]+$', '\\1'), line, '' FROM (
+SELECT 'TOP_HEADING', 'high', path, regexp_replace(name, '(.)\\.[^.]+$', '\\1'), line, '', '', '' FROM (
   SELECT path, name, suffix, line, UNNEST(generate_series(1, len(regexp_extract_all(line_text, '<h1>')))) AS k FROM (
     SELECT path, name, suffix, UNNEST(string_split(bare, chr(10))) AS line_text,
       UNNEST(generate_series(1, len(string_split(bare, chr(10))))) AS line FROM h)
@@ -185,7 +190,7 @@ def file_hazards(t):
     rules = (("AD_BLOCK", "high", ".html", r'class="ad"', "first", "markup"),
              ("TOP_HEADING", "high", ".html", r"<h1>", "every", "markup"),
              ("PARAGRAPHS", "medium", ".html", r"<p>", "more than 5", "raw"))
-    return S.file_hazards(page_files(t), rules)
+    return S.file_hazards(page_files(t), rules, {"PARAGRAPHS": ("{n} paragraphs.", "Split it.")})
 
 
 @query("hazard_rank", f"""
@@ -216,7 +221,7 @@ WITH {DOC_SQL}, s AS (SELECT file, line, CASE
     WHEN regexp_matches(line_text, 'token = "[0-9a-f]{{20,}}') THEN 1
     WHEN regexp_matches(line_text, '[A-Za-z0-9.]+@[A-Za-z0-9]+\\.[a-z]+') THEN 2
     WHEN regexp_matches(line_text, '\\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}') THEN 3 END AS k,
-    line_text FROM dl JOIN (SELECT doc_id FROM documents WHERE strlen(text) <= 400000) USING (doc_id)),
+    line_text FROM dl),
 a AS (SELECT file, 1 AS k, min(line) AS line FROM s WHERE regexp_matches(line_text, 'token = "[0-9a-f]{{20,}}') GROUP BY 1
   UNION ALL SELECT file, 2, min(line) FROM s WHERE regexp_matches(line_text, '[A-Za-z0-9.]+@[A-Za-z0-9]+\\.[a-z]+') GROUP BY 1
   UNION ALL SELECT file, 3, min(line) FROM s WHERE regexp_matches(line_text, '\\([0-9]{{3}}\\) [0-9]{{3}}-[0-9]{{4}}') GROUP BY 1)
@@ -326,13 +331,14 @@ def validate_code_rules(t):
 
 @query("validate_markup_bindings", r"""
 WITH b AS (SELECT page_id, html, UNNEST(regexp_extract_all(html, '\{([^{}]+)\}', 1)) AS e FROM pages)
-SELECT page_id, 'lwc_template_expression' AS rule, 'ERROR' AS severity, trim(e) AS message FROM b
+SELECT page_id, 'lwc_template_expression' AS rule, 'ERROR' AS severity, 'Template binding ''{' || trim(e)
+  || '}'' is an expression; LWC allows only a property or getter reference — lift it into a JS getter.' AS message FROM b
   WHERE trim(e) <> '' AND NOT regexp_matches(trim(e), '^[A-Za-z_$][A-Za-z0-9_$]*(\??\.[A-Za-z_$][A-Za-z0-9_$]*)*$')
-UNION ALL SELECT page_id, 'lwc_class', 'ERROR', '' FROM pages
-UNION ALL SELECT page_id, 'lwc_export', 'ERROR', '' FROM pages WHERE NOT contains(html, 'track(')
-UNION ALL SELECT page_id, 'lwc_template_root', 'ERROR', '' FROM pages
-UNION ALL SELECT page_id, 'lwc_meta_apiversion', 'ERROR', '' FROM pages WHERE page_id % 2 = 1
-UNION ALL SELECT page_id, 'lwc_meta_isexposed', 'WARNING', '' FROM pages WHERE page_id % 3 <> 0""")
+UNION ALL SELECT page_id, 'lwc_class', 'ERROR', 'LWC JS must define a class that extends LightningElement.' FROM pages
+UNION ALL SELECT page_id, 'lwc_export', 'ERROR', 'LWC JS must have a default export.' FROM pages WHERE NOT contains(html, 'track(')
+UNION ALL SELECT page_id, 'lwc_template_root', 'ERROR', 'LWC markup must be wrapped in a <template> root element.' FROM pages
+UNION ALL SELECT page_id, 'lwc_meta_apiversion', 'ERROR', '.js-meta.xml must declare <apiVersion>.' FROM pages WHERE page_id % 2 = 1
+UNION ALL SELECT page_id, 'lwc_meta_isexposed', 'WARNING', '.js-meta.xml should declare <isExposed>.' FROM pages WHERE page_id % 3 <> 0""")
 def validate_markup_bindings(t):
     even = F.when(F.col("page_id") % 2 == 0, F.lit("<apiVersion>60</apiVersion>")).otherwise(F.lit(""))
     third = F.when(F.col("page_id") % 3 == 0, F.lit("<isExposed>true</isExposed>")).otherwise(F.lit(""))
@@ -343,11 +349,11 @@ def validate_markup_bindings(t):
 
 @query("extension_names", f"""
 WITH {PAGE_SQL}
-SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, 'lang="([a-z]+)"', 1) ELSE split_part(path, '/', -2) END AS extension FROM p
-WHERE suffix = '.html'""")
+SELECT DISTINCT extension FROM (SELECT CASE WHEN page_id % 3 = 0 AND regexp_extract(html, 'lang="([a-z]+)"', 1) <> '' THEN regexp_extract(html, 'lang="([a-z]+)"', 1)
+  ELSE regexp_extract(path, '([^/]+)/[^/]+$', 1) END AS extension FROM p) WHERE extension <> ''""")
 def extension_names(t):
-    """Every .html page as a descriptor; each third one states its own name."""
-    f = page_files(t).filter("suffix = '.html'")
+    """Every page as a descriptor; each third one states its own name."""
+    f = page_files(t)
     named = F.concat(F.lit('<extension name="'), F.regexp_extract("text", 'lang="([a-z]+)"', 1), F.lit('"/>'))
     f = f.withColumn("text", F.when(F.col("page_id") % 3 == 0, named).otherwise("<x/>"))
     return S.extension_names(f.withColumn("name", F.lit("extensioninfo.xml")))

@@ -15,7 +15,6 @@ _HIGH = [bytes([b]) for b in range(0x80, 0xA0)]
 _CP1252 = [(b.decode("latin-1"), b.decode("cp1252")) for b in _HIGH
            if b.decode("cp1252", "ignore")]
 _UNDEFINED = "".join(b.decode("latin-1") for b in _HIGH if not b.decode("cp1252", "ignore"))
-SNIFF_BYTES = 8192
 
 
 def describe_paths(df: DataFrame, path: str = "path") -> DataFrame:
@@ -33,28 +32,32 @@ def drop_skipped(df: DataFrame, skip: Sequence[str] = SKIP_DIRS, path: str = "pa
 def scan_corpus(spark: SparkSession, root: str, skip: Sequence[str] = SKIP_DIRS) -> DataFrame:
     """Every regular file below ``root``: path (relative), name, suffix, length, content.
 
-    There is no cap on the number of files. Content is read only if a later step uses it.
+    There is no cap on the number of files. Content is read only if a later step uses it. Paths
+    are cut at the length of the resolved root, so a root may recur below itself.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = root.rstrip("/") + "/"
-    rel = F.substring_index(F.col("path"), prefix, -1)
+    sc = spark.sparkContext
+    base = sc._jvm.org.apache.hadoop.fs.Path(root)
+    whole = base.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    rel = F.substring(F.col("path"), F.lit(len(whole) + 1), F.length("path"))
     return drop_skipped(describe_paths(raw.withColumn("path", rel)), skip).select(
         "path", "name", "suffix", "length", "content")
 
 
-def file_tree(files: DataFrame, size: str = "length", limit: int = 1200) -> DataFrame:
-    """The first ``limit`` paths with their byte size (a report, so the limit is the feature)."""
-    return files.select("path", F.col(size).alias("bytes")).orderBy("path", "bytes").limit(limit)
+def file_tree(files: DataFrame, size: str = "length", limit: int | None = None) -> DataFrame:
+    """All paths with their byte size, in order, or the first ``limit``."""
+    tree = files.select("path", F.col(size).alias("bytes")).orderBy("path", "bytes")
+    return tree if limit is None else tree.limit(limit)
 
 
 def decode_text(df: DataFrame, content: str = "content") -> DataFrame:
     """Add ``text``, ``encoding``, ``is_binary``, ``reason``; no row is dropped.
 
-    A NUL in the first 8 KiB means binary. Encodings are tried in the order utf-8 (BOM
+    A NUL anywhere means binary. Encodings are tried in the order utf-8 (BOM
     dropped), cp1252, iso-8859-1; the first always reports as utf-8-sig.
     """
     raw = F.col(content)
-    binary = F.contains(F.substring(raw, 1, SNIFF_BYTES), F.lit(b"\x00"))
+    binary = F.contains(raw, F.lit(b"\x00"))
     latin = F.decode(raw, "ISO-8859-1")
     odd, good = "".join(a for a, _ in _CP1252), "".join(b for _, b in _CP1252)
     utf8 = F.is_valid_utf8(raw.cast("string"))

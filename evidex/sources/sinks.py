@@ -6,25 +6,48 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_object_csv(records: DataFrame, headers: DataFrame, out: str) -> list[str]:
-    """One CSV folder per object with its headers in first-seen order.
+def write_object_csv(records: DataFrame, headers: DataFrame, out: str) -> None:
+    """One CSV folder per object, each row with the object's headers in first-seen order.
 
-    ``records(object, row_no, header, value)``, ``headers(object, header, ord)``. Only the
-    catalog (objects and headers, which is metadata of bounded size) reaches the driver;
-    the pivot gets its column list from it and runs distributed.
+    ``records(object, row_no, header, value)``, ``headers(object, header, ord)``. One job for
+    all objects: a row gathers its own cells, puts them in the order of its object's header list
+    and is written as a line under ``object=...``; every file starts with its header line. Of
+    several values of one header in a row the last by value counts. Cells are quoted where CSV needs it.
     """
-    seen = records.select("object").distinct()
-    catalog = headers.join(seen, "object", "left_semi").orderBy("object", "ord").collect()
-    by_object: dict[str, list[str]] = {}
-    for r in catalog:
-        by_object.setdefault(r["object"], []).append(r["header"])
-    for obj, names in by_object.items():
-        wide = (records.filter(F.col("object") == obj).groupBy("row_no")
-                .pivot("header", names).agg(F.max("value")))
-        cells = [F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]
-        wide.select(*cells).write.mode("overwrite").option("header", True).option(
-            "emptyValue", "").csv(f"{out}/object={obj}")
-    return sorted(by_object)
+    lists = headers.groupBy("object").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "header"))), lambda h: h["header"]).alias("names"))
+    rows = records.groupBy("object", "row_no").agg(F.collect_list(F.struct("header", "value")).alias("cells"))
+    given = F.map_from_entries(F.transform(F.array_distinct(F.transform("cells", lambda c: c["header"])), lambda h: F.struct(
+        h.alias("key"), F.array_max(F.transform(F.filter("cells", lambda c: c["header"] == h), lambda c: c["value"])).alias("value"))))
+    wide = rows.withColumn("given", given).join(lists, "object")
+
+    def quoted(v: Column) -> Column:
+        return F.when(v.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+
+    line = F.array_join(F.transform("names", lambda n: quoted(F.coalesce(F.try_element_at("given", n), F.lit("")))), ",")
+    head = F.array_join(F.transform("names", quoted), ",")
+    body = wide.select("object", line.alias("value"), head.alias("head"))
+    # A file is one object's rows of one task, sorted by object; its first row brings the header line.
+    _write_lines(body, out)
+
+
+def _write_lines(body: DataFrame, out: str) -> None:
+    """Write (object, value, head) as text below ``object=``, the header first in each file.
+
+    Rows are dealt by object and a salt, so a large object is many files and no task holds it whole.
+    """
+    spark = body.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = body.withColumn("part", F.pmod(F.xxhash64("object", "value"), F.lit(n)).cast("int"))
+    heads = dealt.select("object", "part", "head").distinct().select("object", "part", F.lit(0).alias("ord"), F.col("head").alias("value"))
+    rows = dealt.select("object", "part", F.lit(1).alias("ord"), "value").unionByName(heads)
+    rows = rows.repartition(n, "object", "part").sortWithinPartitions("object", "part", "ord")
+    rows.select("object", "part", "value").write.mode("overwrite").partitionBy("object", "part").text(out)
+
+
+def read_object_csv(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The rows of one object as written by ``write_object_csv``."""
+    return spark.read.option("header", True).option("recursiveFileLookup", True).option("quote", '"').option("escape", '"').option(
+        "multiLine", True).csv(f"{out}/object={name}")
 
 
 def append_events(events: DataFrame, path: str) -> None:
@@ -41,24 +64,34 @@ def snapshot_id(millis: Column, clash: Column | None = None) -> Column:
 
 
 def read_snapshots(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """All snapshots of a table; a corrupt file does not hide the intact ones."""
-    return spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(f"{path}/{table}")
+    """All whole snapshots of a table: those whose manifest, written last, is there. A corrupt file
+    does not hide the intact ones."""
+    read = lambda name: spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(f"{path}/{name}")
+    return read(table).join(read("manifest").select("snapshot_id").distinct(), "snapshot_id", "left_semi")
 
 
-def write_snapshot(tables: dict[str, DataFrame], path: str, millis: int, name: str = "",
-                   phase: str = "", note: str = "") -> str:
-    """Append one immutable snapshot of the tables under a fresh id; never overwrites."""
-    spark: SparkSession = next(iter(tables.values())).sparkSession
-    base, n = f"{millis:012x}", 0
+def _claim(spark: SparkSession, path: str, base: str) -> str:
+    """Take the first free id of ``base``, ``base-1``, ... by creating its claim file, which only one writer can."""
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    sid = base
+    n = 0
     while True:
-        p = jvm.Path(f"{path}/manifest/snapshot_id={sid}")
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            break
+        sid = base if n == 0 else f"{base}-{n}"
+        place = jvm.Path(f"{path}/claims/{sid}")
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.createNewFile(place):
+            return sid
         n += 1
-        sid = f"{base}-{n}"
+
+
+def write_snapshot(tables: dict[str, DataFrame], path: str, millis: int, name: str = "",
+                   phase: str = "", note: str = "") -> str:
+    """Append one immutable snapshot of the tables under a fresh id; never overwrites.
+
+    The id is claimed first and the manifest written last, so two writers of one millisecond get
+    two ids and a snapshot that was cut off is not read.
+    """
+    spark: SparkSession = next(iter(tables.values())).sparkSession
+    sid = _claim(spark, path, f"{millis:012x}")
     for table, df in tables.items():
         df.withColumn("snapshot_id", F.lit(sid)).write.mode("append").partitionBy(
             "snapshot_id").parquet(f"{path}/{table}")

@@ -11,21 +11,30 @@ from evidex.functions import rules as R
 from evidex.operators.scale import running
 
 
-def event_source(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*",
-                 files_per_trigger: int | None = None) -> DataFrame:
-    """Events as they arrive as parquet files; a new reader replays from the first file."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def event_source(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """Events as they arrive in a parquet table; a new reader replays from the first file.
+
+    ``path`` is a folder of part files, as any large table is, or a single file.
+    """
+    r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(folder)
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.exists(place) and not fs.getFileStatus(place).isDirectory():
+        return r.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return r.parquet(path)
 
 
-def live_event_stream(events: DataFrame, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append events to a table that any number of readers can follow, exactly once."""
+def live_event_stream(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append events to a table that any number of readers can follow, exactly once.
+
+    ``trigger`` is as for a stream writer, such as {"processingTime": "5 seconds"}; by default
+    what is there now is taken.
+    """
     w = events.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    if available_now:
-        w = w.trigger(availableNow=True)
-    return w.start(out)
+    return w.trigger(**(trigger or {"availableNow": True})).start(out)
 
 
 def run_ends(events: DataFrame, end_type: str = "run_complete") -> DataFrame:
@@ -44,40 +53,43 @@ def idle_sessions(events: DataFrame, beat: int = R.HEARTBEAT_SECONDS, watermark:
         "run", "start", "last", "n")
 
 
+END_MARK = "run bigint, ts timestamp"
+
+
+def end_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of end marks: rows without a run, to be put beside the events."""
+    spark.createDataFrame([], END_MARK).write.mode("append").parquet(folder)
+    return spark.readStream.schema(END_MARK).parquet(folder)
+
+
+def mark_end(spark: SparkSession, folder: str, at: str = "9000-01-01") -> None:
+    """Say that no more events come: the next drain closes every session still open."""
+    spark.createDataFrame([(None,)], "run bigint").select("run", F.lit(at).cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
+
+
 def spend_totals(calls: DataFrame) -> DataFrame:
     """Spend per run so far (update mode); partial sums combine before the shuffle."""
     return calls.groupBy("run").agg(F.sum(F.col("usd").cast("decimal(18,6)")).alias("spent"),
                                     F.count(F.lit(1)).alias("calls"))
 
 
-def spend_meter(calls: DataFrame, out: str, checkpoint: str, cap: float, bucket: Column) -> StreamingQuery:
-    """Write every call with its spend before it and whether it was admitted under the cap.
+def spend_log(calls: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append every call (run, seq, usd, ...) once, in whatever order calls arrive; nothing is rewritten."""
+    w = calls.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start(out)
 
-    Each micro-batch adds its calls to the totals of the batch before. Totals are a table per
-    batch id and both writes overwrite their batch folder, so a replayed batch gives the same
-    result. Calls of one run are summed bucket by bucket, not in one task. Calls must arrive
-    in order across batches; within a batch any order will do.
-    """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        amount = F.col("usd").cast("decimal(18,6)")
-        local = running(batch, ["run"], bucket, [F.col("seq")], seq="_n", value=amount, before="_b").drop("_n")
-        sums = batch.groupBy("run").agg(F.sum(F.coalesce(amount, F.lit(0))).cast("decimal(38,6)").alias("spent"))
-        if batch_id > 0:
-            past = spark.read.parquet(f"{out}/totals/batch={batch_id - 1}")
-            local = local.join(past.withColumnRenamed("spent", "_p"), "run", "left")
-            sums = sums.unionByName(past).groupBy("run").agg(F.sum("spent").cast("decimal(38,6)").alias("spent"))
-        else:
-            local = local.withColumn("_p", F.lit(None).cast("decimal(38,6)"))
-        before = (F.col("_b") + F.coalesce("_p", F.lit(0))).cast("decimal(38,6)")
-        rows = local.withColumn("spent_before", before).withColumn(
-            "admitted", F.col("spent_before") < F.lit(str(cap)).cast("decimal(18,6)")).drop("_b", "_p")
-        rows.write.mode("overwrite").parquet(f"{out}/calls/batch={batch_id}")
-        sums.write.mode("overwrite").parquet(f"{out}/totals/batch={batch_id}")
-
-    return (calls.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def spend_meter(calls: DataFrame, cap: float, bucket: Column) -> DataFrame:
+    """Every call with its spend before it, by ``seq``, and whether it was admitted under the cap.
+
+    ``calls`` is the log of ``spend_log``, so the answer does not depend on the batches calls
+    came in. Calls of one run are summed bucket by bucket, not in one task.
+    """
+    amount = F.col("usd").cast("decimal(18,6)")
+    rows = running(calls, ["run"], bucket, [F.col("seq")], seq="_n", value=amount, before="_b")
+    before = F.col("_b").cast("decimal(38,6)")
+    return rows.withColumn("spent_before", before).withColumn(
+        "admitted", F.col("spent_before") < F.lit(str(cap)).cast("decimal(18,6)")).drop("_b", "_n")
 
 
 def latched_at(metered: DataFrame) -> DataFrame:
@@ -85,15 +97,15 @@ def latched_at(metered: DataFrame) -> DataFrame:
     return metered.filter(~F.col("admitted")).groupBy("run").agg(F.min("seq").alias("refused_from"))
 
 
-def upsert_sink(saves: DataFrame, out: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
-    """Keep the latest state per id: each batch merges into the table of the batch before."""
+def upsert_sink(saves: DataFrame, out: str, checkpoint: str, key: str, order: list[str], trigger: dict | None = None) -> StreamingQuery:
+    """Append the latest state per id of each batch; ``history.upsert_latest`` of the folder is the table.
+
+    Each batch has a folder of its own that a replay overwrites; earlier ones are not rewritten.
+    """
     from evidex.operators.history import upsert_latest
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(batch.sparkSession.read.parquet(f"{out}/batch={batch_id - 1}"))
-        upsert_latest(rows, key, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        upsert_latest(batch, key, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (saves.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    w = saves.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()

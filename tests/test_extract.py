@@ -10,7 +10,7 @@ from evidex.operators import schedules as C
 from evidex.operators import schema as S
 from evidex.sources import files as files_
 from evidex.sources import types_xml
-from evidex.sources.sinks import write_object_csv
+from evidex.sources.sinks import read_object_csv, write_object_csv
 
 
 def column(spark, values, fn, typ="string"):
@@ -68,7 +68,9 @@ def test_slimming(spark):
     assert "net.multiply(RATE)" in m["text"] and "Orders above 5000" in m["text"] and "private String code;" in m["text"]
     assert m["text"].startswith("// imports: de.hybris.platform, org.x\n") and "\n\n\n" not in m["text"]
     assert got["b"]["text"] == big and not got["b"]["applied"]
-    assert got["s"]["text"] == small and not got["s"]["applied"]
+    assert got["s"]["applied"] and got["s"]["imports_removed"] == 1
+    some = X.slim_text(df, min_chars=900).filter("k = 's'").first()["slim"]
+    assert some["text"] == small and not some["applied"]
 
 
 def test_classes_and_symbols(spark):
@@ -211,8 +213,8 @@ INSERT_UPDATE Customer; uid[unique=true,trim='x']; addr(street,town(code)); $cat
 
 
 def test_impex(spark, tmp_path):
-    lines = I.impex_lines(files(spark, [("a.impex", IMPEX)]))
-    assert [(r["block_no"], r["mode"], r["type"]) for r in lines.orderBy("line_no").collect()] == [
+    lines = I.impex_blocks(files(spark, [("a.impex", IMPEX)]))
+    assert [(r["block_no"], r["mode"], r["type"]) for r in I.impex_lines(lines).orderBy("line_no").collect()] == [
         (1, "INSERT_UPDATE", "CronJob"), (2, "INSERT_UPDATE", "Trigger"), (3, "REMOVE", "CronJob"), (4, "INSERT_UPDATE", "Customer"), (4, "INSERT_UPDATE", "Customer")]
     cols = {(r["type"], r["block_no"], r["attr"]): r for r in I.header_columns(lines).collect()}
     assert cols["Customer", 4, "uid"]["modifiers"] == {"unique": "true", "trim": "x"} and cols["Customer", 4, "addr"]["composite"]
@@ -228,12 +230,28 @@ def test_impex(spark, tmp_path):
         (["INSERT_UPDATE"], ["addr → addr(street,town(code))"])]
     t = C.impex_triggers(I.cells(lines)).collect()
     assert [(r["job_class"], r["cron_expression"], r["active"]) for r in t] == [("staleCartCleanupCronJob", "0 0 2 * * ?", True)]
-    made = write_object_csv(rec.withColumn("row_no", F.col("line_no")), I.load_headers(lines), str(tmp_path))
-    assert made == ["CronJob__c", "Customer__c", "Trigger__c"]
-    back = spark.read.option("header", True).csv(f"{tmp_path}/object=Customer__c")
+    write_object_csv(rec.withColumn("row_no", F.col("line_no")), I.load_headers(lines), str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("object=")) == ["object=CronJob__c", "object=Customer__c", "object=Trigger__c"]
+    back = read_object_csv(spark, str(tmp_path), "Customer__c")
     assert back.columns == ["Uid__c", "Name__c", "Nick__c"] and back.count() == 2
 
 
+def test_impex_repeated_columns_and_blocks_without_rows(spark, tmp_path):
+    text = "INSERT Empty; code[unique=true]\nINSERT Book; id; name[lang=en]; name[lang=de]\n;1;the, \"end\";das Ende\n;2;only\n;3\n"
+    b = I.impex_blocks(files(spark, [("a.impex", text)]))
+    assert [(r["object"], r["external_id"]) for r in I.external_keys(b).orderBy("object").collect()] == [("Book__c", None), ("Empty__c", "Code__c")]
+    assert [(r["object"], r["header"], r["ord"]) for r in I.load_headers(b).orderBy("object", "ord").collect()] == [
+        ("Book__c", "Id__c", 1), ("Book__c", "Name__c", 2), ("Empty__c", "Code__c", 1)]
+    rec = I.load_records(b)
+    assert sorted((r["line_no"], r["header"], r["value"]) for r in rec.collect()) == [
+        (3, "Id__c", "1"), (3, "Name__c", "das Ende"), (4, "Id__c", "2"), (4, "Name__c", "only"), (5, "Id__c", "3"), (5, "Name__c", "")]
+    assert {(r["object"], r["records"]) for r in I.load_summary(b).collect()} == {("Book__c", 3), ("Empty__c", 0)}
+    odd = rec.withColumn("value", F.when(F.col("value") == "only", 'a "b", c').otherwise(F.col("value"))).withColumn("row_no", F.col("line_no"))
+    write_object_csv(odd, I.load_headers(b), str(tmp_path))
+    back = read_object_csv(spark, str(tmp_path), "Book__c").na.fill("")
+    assert sorted(map(tuple, back.collect())) == [("1", "das Ende"), ("2", 'a "b", c'), ("3", "")]
+
+
 def test_spring_triggers(spark):
     xml = """<beans xmlns="http://x"><bean id="t1" class="T"><property name="cronExpression" value="0 0 2 * * ?"/><property name="cronJob"><ref bean="c1"/></property>
 <property name="active" value="FALSE"/></bean><bean id="c1"><property name="job" ref="j1"/></bean><bean id="j1" class="com.x.DefaultStaleCartJob"/>
@@ -277,3 +295,17 @@ def test_processes(spark):
     notes = sorted((r["node"], r["note"]) for r in W.review_notes(nodes, done).collect())
     assert notes == [("checkOrder", "branches 2 ways"), ("checkOrder", "class was not generated"), ("hold", "resume event is not wired"),
                      ("pay", "branches 2 ways"), ("ship", "bean did not resolve to a class")]
+
+
+def test_inputs_beyond_the_old_limits(spark):
+    comp = ("@Component({ selector: 'x', templateUrl: '../../../../../../v/./t.html', styleUrls: ['./s.css'] })\nexport class Deep {}")
+    rows = [("r/a/b/c/d/e/f/x.component.ts", comp), ("r/v/t.html", "<p/>"), ("r/a/b/c/d/e/f/s.css", ".a{}")]
+    got = X.component_table(files(spark, rows)).first()
+    assert (got["template"], got["styles"]) == ("<p/>", ".a{}")
+    process = "<?xml version='1.0'?>\n<!-- " + "note " * 2000 + "<items> -->\n<process name='p'><end id='e'/></process>"
+    other = "<items><process name='q'/></items>"
+    found = W.process_files(files(spark, [("a.xml", process), ("b.xml", other)])).select("file", "process").collect()
+    assert [tuple(r) for r in found] == [("a.xml", "p")]
+    many = "import a.b.C0;\n" + "".join(f"import p{i}.q{i}.r{i}.X{i};\n" for i in range(30))
+    text = spark.createDataFrame([(many,)], "text string").select(X.import_summary(F.col("text"))).first()[0]
+    assert text.count(",") == 30

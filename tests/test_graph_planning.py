@@ -113,4 +113,7 @@ def test_comprehension_rollup(spark):
     prof = spark.createDataFrame([("A", "", [f"r{i}" for i in range(4)], [], "Low"), ("B", "does b", [f"s{i}" for i in range(4)], ["k"], "High"), ("Z", None, [], [], "")],
                                  "class_name string, purpose string, business_rules array<string>, risks array<string>, complexity string")
     got = {r["target"]: (r["purpose"], r["business_rules"], r["risks"], r["complexity"]) for r in L.comprehension_rollup(sources, prof).collect()}
-    assert got == {"T": ("does b", ["r0", "r1", "r2", "r3", "s0", "s1"], ["k"], "High"), "E": ("", [], [], "")}
+    every = ["r0", "r1", "r2", "r3", "s0", "s1", "s2", "s3"]
+    assert got == {"T": ("does b", every, ["k"], "High"), "E": ("", [], [], "")}
+    some = {r["target"]: r["business_rules"] for r in L.comprehension_rollup(sources, prof, 6).collect()}
+    assert some["T"] == every[:6]

@@ -1,8 +1,11 @@
 """Scans on literal sources: loops, hazards and their negative controls, secrets, encodings."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from evidex.functions import rules as R
 from evidex.functions import text as T
 from evidex.operators import textscan as S
 from evidex.sources import files as files_
@@ -66,7 +69,9 @@ def test_file_hazards(spark):
     impex = "INSERT X;a\n" + ";1\n" * 201
     job = "class J\n extends AbstractJobPerformable<X> {}"
     df = S.file_hazards(files(spark, [("s.xml", xml), ("d.impex", impex), ("e.impex", ";1\n" * 200), ("J.java", job)]))
-    got = sorted((r["file"], r["rule"], r["line"]) for r in df.collect())
+    rows = df.collect()
+    assert [r["hazard"][:20] for r in rows if r["rule"] == "IMPEX_VOLUME"] == ["About 201 data rows."] and all(r["hazard"] and r["fix"] for r in rows)
+    got = sorted((r["file"], r["rule"], r["line"]) for r in rows)
     assert got == [("J.java", "CRONJOB_CONCURRENCY", 2), ("d.impex", "IMPEX_VOLUME", 1), ("s.xml", "INTERCEPTOR", 2),
                    ("s.xml", "SESSION_SCOPED_BEAN", 3), ("s.xml", "SESSION_SCOPED_BEAN", 3)]
 
@@ -156,7 +161,11 @@ def test_code_and_markup_checks(spark):
     js, meta = "export default class X extends LightningElement {}", "<apiVersion>60</apiVersion><isExposed>true</isExposed>"
     df = spark.createDataFrame([("good", good, js, meta), ("bad", bad, js, meta)], "file string, html string, js string, meta string")
     got = sorted((r["file"], r["rule"], r["message"]) for r in S.validate_markup_bindings(df).collect())
-    assert got == [("bad", "lwc_iterator_key", ""), ("bad", "lwc_template_expression", "a + b")]
+    assert got == [("bad", "lwc_iterator_key", R.MARKUP_MESSAGES["lwc_iterator_key"]),
+                   ("bad", "lwc_template_expression", R.MARKUP_MESSAGES["lwc_template_expression"].replace("{x}", "a + b"))]
+    far = good.replace("<li key", "<p>" + "x" * 500 + "</p><li key")
+    df = spark.createDataFrame([("far", far, js, meta)], "file string, html string, js string, meta string")
+    assert S.validate_markup_bindings(df).count() == 0
 
 
 def test_hazard_rank_numbers_the_whole_table(spark):
@@ -174,3 +183,35 @@ def test_hazard_rank_numbers_the_whole_table(spark):
 def test_first_match_line(spark, text, line):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(T.first_match_line(F.col("t"), "X")).first()[0] == line
+
+
+def test_large_files_take_time_in_proportion(spark):
+    """Four times the hits, not sixteen times the time."""
+    def run(n):
+        loop = "class A { void go() {\n" + "for (Object o : os) {\n modelService.save(o);\n}\n" * n + "}}\n" + " " * (10 * n)
+        df = files(spark, [("a.java", loop)])
+        start = time.time()
+        assert S.hazard_scan(df).count() == n
+        assert S.validate_code_rules(df.withColumn("text", F.concat("text", F.lit("@isTest")))).count() >= 0
+        return time.time() - start
+
+    run(500)
+    small = run(2_000)
+    assert run(8_000) < 9 * max(small, 1.0)
+
+
+def test_texts_beyond_the_old_limits(spark, tmp_path):
+    big = "x = 1\n" * 80_000 + "api_key=12345678"
+    assert S.secret_scan(files(spark, [("a.env", big)])).first()["line"] == 80_001
+    raw = spark.createDataFrame([(bytearray(b"a" * 10_000 + b"\0b"),)], "content binary")
+    assert files_.decode_text(raw).first()["is_binary"]
+    line = "modelService.save(" + "x" * 300 + ");"
+    hit = S.hazard_scan(files(spark, [("A.java", "class A {\n while (y) {\n" + line + "\n }\n}")])).first()
+    assert hit["snippet"] == line
+    for p in ("src/a/src/b.java", "c.txt", "node_modules/d.js"):
+        target = tmp_path / "src" / p
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("t")
+    got = files_.scan_corpus(spark, f"{tmp_path}/src")
+    assert sorted(r["path"] for r in got.collect()) == ["c.txt", "src/a/src/b.java"]
+    assert sorted(bytes(r["content"]) for r in got.collect()) == [b"t", b"t"]
