@@ -62,7 +62,7 @@ def super_kmers(hashes: np.ndarray, at: np.ndarray, window: int = WINDOW, size:
     return text[start], start - at[text[start]], stop - start, least[start], content
 
 
-_RUN = "doc_id bigint, start bigint, n bigint, h bigint, c bigint"
+_RUN = "doc_id bigint, t bigint, start bigint, n bigint, h bigint, c bigint"
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -70,20 +70,21 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n, h, c) of the super-k-mers of (doc_id, text): n windows from word ``start`` on."""
+    """(doc_id, t, start, n, h, c) of the super-k-mers of (doc_id, t, text): n windows from word ``start`` on."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, hashes, at in _hashes(batch.column(1).to_pylist()):
+            ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, hashes, at in _hashes(batch.column(2).to_pylist()):
                 text, start, n, h, c = super_kmers(hashes, at)
-                yield pa.record_batch([pa.array(ids[first + text]), pa.array(start), pa.array(n), _signed(h), _signed(c)], names=["doc_id", "start", "n", "h", "c"])
+                yield pa.record_batch([pa.array(ids[first + text]), pa.array(marks[first + text]), pa.array(start), pa.array(n), _signed(h), _signed(c)],
+                                      names=["doc_id", "t", "start", "n", "h", "c"])
 
     return docs.mapInArrow(each, _RUN)
 
 
 def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, c, n, doc_id, words) of the ``wanted`` super-k-mers (doc_id, start, n, h, c): their words joined by blanks."""
+    """(h, c, n, doc_id, words) of the ``wanted`` super-k-mers (doc_id, t, start, n, h, c): their words joined by blanks."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,8 +105,8 @@ def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if h:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in (h, c, n, doc)] + [pa.array(text, pa.binary())], names=["h", "c", "n", "doc_id", "words"])
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "h", "c")).alias("runs"))
-    return docs.join(lists, "doc_id").select("doc_id", "text", "runs").mapInArrow(each, "h bigint, c bigint, n bigint, doc_id bigint, words binary")
+    lists = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "n", "h", "c")).alias("runs"))
+    return docs.join(lists, ["doc_id", "t"]).select("doc_id", "text", "runs").mapInArrow(each, "h bigint, c bigint, n bigint, doc_id bigint, words binary")
 
 
 def first_documents(rows: list[list[bytes]], docs: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -179,8 +180,8 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def removals(docs: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """(doc_id, cuts array<struct<from, to>>): the words, from 0 and end exclusive, of (doc_id, text)
-    that a window covers which also starts in a document of smaller id.
+    """(doc_id, t, cuts array<struct<from, to>>): the words, from 0 and end exclusive, of (doc_id, t, text)
+    that a window covers which also starts in a document of smaller id. t tells texts of one id apart.
 
     Windows travel as super-k-mers to the bucket of their minimiser. Equal super-k-mers are
     one class, kept with its smallest document, so groups of copies shrink before any text
@@ -196,8 +197,8 @@ def removals(docs: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     alone = shared.filter("low = high").select("h", F.col("low").alias("c"), F.array(F.struct(
         F.lit(0).cast("bigint").alias("first"), (F.col("n") - 1).alias("last"), F.col("first").alias("doc"))).alias("runs"))
     several = settled(runs.join(shared.filter("low < high").select("h"), "h").groupBy("h", "c").agg(
-        F.min(F.struct("doc_id", "start")).alias("rep"), F.max("doc_id").alias("top"), F.max("n").alias("n")), "several")
-    wanted = several.select("rep.doc_id", "rep.start", "n", "h", "c")
+        F.min(F.struct("doc_id", "t", "start")).alias("rep"), F.max("doc_id").alias("top"), F.max("n").alias("n")), "several")
+    wanted = several.select("rep.doc_id", "rep.t", "rep.start", "n", "h", "c")
     tops = several.select("h", "c", "top")
     hot = several.groupBy("h").agg(F.sum(F.col("n") + WINDOW - 1).alias("size")).filter(F.col("size") > bucket_words).select("h", F.lit(True).alias("hot"))
     sent = packed(docs, wanted).join(tops, ["h", "c"]).join(hot, "h", "left")
@@ -209,8 +210,8 @@ def removals(docs: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     large = windows.join(least, ["one", "two"]).filter("doc < top").groupBy("h", "c").agg(
         F.collect_list(F.struct(F.col("place").alias("first"), F.col("place").alias("last"), "doc")).alias("runs"))
     reply = settled(alone.unionByName(plain).unionByName(large), "reply")
-    hits = runs.select("doc_id", "start", "h", "c").join(reply, ["h", "c"]).select("doc_id", "start", F.explode("runs").alias("run")).filter("run.doc < doc_id")
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct(
+    hits = runs.select("doc_id", "t", "start", "h", "c").join(reply, ["h", "c"]).select("doc_id", "t", "start", F.explode("runs").alias("run")).filter("run.doc < doc_id")
+    return hits.groupBy("doc_id", "t").agg(F.collect_list(F.struct(
         (F.col("start") + F.col("run.first")).alias("from"), (F.col("start") + F.col("run.last") + WINDOW).alias("to"))).alias("cuts"))
 
 
@@ -218,10 +219,11 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every document, kept words joined by one blank.
 
     Null, empty and blank texts have no words and an empty kept text; texts under fifty words
-    lose nothing; rows with a null id are left out; rows of one id count as one document, and
-    never cut each other. Other columns are not read; an empty table gives no rows.
+    lose nothing; rows with a null id are left out; rows of one id never cut each other, and
+    each is cut by its own text. Other columns are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,5 +243,5 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_
             columns = [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             yield pa.record_batch(columns + [pa.array(out[3], pa.string())] * with_text, names=names)
 
-    return docs.join(removals(docs, bucket_words), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(
+    return docs.join(removals(docs, bucket_words), ["doc_id", "t"], "left").select("doc_id", "text", "cuts").mapInArrow(
         each, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text)

@@ -128,6 +128,15 @@ def test_cut_of_odd_rows(odd, none):
     assert passages.cut(none).count() == 0
 
 
+def test_cut_of_two_texts_under_one_id(spark, prose):
+    texts = sorted(prose.values(), key=len)
+    rows = [(1, texts[-1]), (2, texts[-1] + " more"), (2, "short"), (2, texts[-2]), (3, texts[-2])]
+    got = passages.cut(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    one = {(r.doc_id, r.n_words): r.n_removed for r in got}
+    n, m = len(texts[-1].split()), len(texts[-2].split())
+    assert len(got) == 5 and one[1, n] == 0 and one[2, n + 1] == n and one[2, 1] == 0 and one[3, m] == m
+
+
 def test_super_kmers_hold_every_window_once():
     r = np.random.default_rng(1)
     hashes = r.integers(0, 5, 700).astype(np.uint64)
