@@ -1,8 +1,8 @@
 """Dependency graphs: domain edges, levels, closure, calls, blast radius.
 
 Iterative jobs write the frontier to the reliable checkpoint folder each round, so lineage
-stays short and a lost executor costs one round at most. The number of rounds is the depth
-of the graph; nothing but a row count returns to the driver.
+stays short and a lost executor costs one round at most. Nothing but the question whether
+rows are left returns to the driver.
 """
 
 from __future__ import annotations
@@ -43,38 +43,58 @@ def _back_edges(left: DataFrame) -> DataFrame:
             return core.filter("dst < src")
 
 
+LONGEST = 1 << 40
+
+
+def _levels(plain: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, level) of nodes with edges, and the weighted edges that are left if only cycles are.
+
+    ``left(src, dst, w)`` says that src lies at least w above dst, ``known(node, level)`` what
+    resolved edges say already. Each round resolves edges into leaves, and an edge into a
+    node with one edge of its own jumps over it, so a chain halves in length each round.
+    """
+    left = plain.withColumn("w", F.lit(1).cast("bigint"))
+    known = left.limit(0).select(F.col("src").alias("node"), F.col("w").alias("level"))
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            return known, None
+        own = left.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dst").alias("on"), F.max("w").alias("w2"))
+        step = left.join(own.withColumnRenamed("src", "dst"), "dst", "left").join(
+            known.withColumnRenamed("node", "dst"), "dst", "left")
+        step = settled(step)
+        if step.filter("n is null").isEmpty():
+            return known, left
+        said = step.filter("n is null or (n = 1 and level is not null)").select(
+            F.col("src").alias("node"), (F.col("w") + F.coalesce("level", F.lit(0))).alias("level"))
+        known = settled(known.unionByName(said).groupBy("node").agg(F.max("level").alias("level")))
+        jumps = (F.col("n") == 1) & (F.col("on") != F.col("src"))
+        ahead = step.filter("n is not null").select(
+            "src", F.when(jumps, F.col("on")).otherwise(F.col("dst")).alias("dst"),
+            F.when(jumps, F.least(F.col("w") + F.col("w2"), F.lit(LONGEST))).otherwise(F.col("w")).alias("w"))
+        left = settled(ahead.groupBy("src", "dst").agg(F.max("w").alias("w")))
+    raise RuntimeError("levels did not settle")
+
+
 def wavefront_levels(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """(node, level): longest path to a leaf dependency; src depends on dst.
 
-    Round k removes the edges into the leaves of level k, so a node's level is one more than
-    the round that removed its last edge: one table is written per round. Where only cycles
-    are left, edges of the cyclic core that point to a smaller name count as back edges; the
-    levels are then those of the graph without them, so every node gets one.
+    Rounds grow with the logarithm of chains and with the depth of what branches; each is a
+    few written tables. Where only cycles are left, edges of the cyclic core that point to a
+    smaller name count as back edges; the levels are then those of the graph without them, so
+    every node gets one.
     """
     plain = settled(_plain(edges))
     ends = plain.select(F.col("src").alias("node")).union(plain.select("dst"))
-    left, removed, remaining = plain, [], plain.count()
-    while remaining:
-        if len(removed) > max_rounds:
-            raise RuntimeError("levels did not settle")
-        uses = left.select(F.explode(F.array(
-            F.struct(F.col("src").alias("dst"), F.lit(True).alias("u")),
-            F.struct(F.col("dst").alias("dst"), F.lit(False).alias("u")))).alias("x")).select("x.*")
-        leaves = uses.groupBy("dst").agg(F.max("u").alias("_u")).filter("not _u").select("dst", F.lit(True).alias("_gone"))
-        step = settled(left.join(leaves, "dst", "left").select("src", "dst", F.col("_gone").isNotNull().alias("_gone")))
-        gone = step.agg(F.count_if("_gone")).first()[0]
-        if gone == 0:
-            plain = settled(plain.join(_back_edges(left), ["src", "dst"], "left_anti"))
-            left, removed, remaining = plain, [], plain.count()
-            continue
-        removed.append(step.filter("_gone").select(
-            F.col("src").alias("node"), F.lit(len(removed) + 1).cast("bigint").alias("level")))
-        left, remaining = step.filter("not _gone").select("src", "dst"), remaining - gone
+    while True:
+        known, left = _levels(plain, max_rounds)
+        if left is None:
+            break
+        open_ = left.select("src").distinct()
+        core = plain.join(open_, "src", "left_semi").join(open_.withColumnRenamed("src", "dst"), "dst", "left_semi")
+        plain = settled(plain.join(_back_edges(core.select("src", "dst")), ["src", "dst"], "left_anti"))
     every = ends if nodes is None else ends.union(nodes.select("node"))
-    out = every.withColumn("level", F.lit(0).cast("bigint"))
-    for r in removed:
-        out = out.unionByName(r)
-    return out.groupBy("node").agg(F.max("level").alias("level"))
+    return every.distinct().join(known, "node", "left").select(
+        "node", F.coalesce("level", F.lit(0)).cast("bigint").alias("level"))
 
 
 def topological_schedule(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

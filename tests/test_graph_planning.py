@@ -1,5 +1,9 @@
 """Graphs, targets, ledgers on literal rows."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from evidex.operators import graph as G
 from evidex.operators import planning as L
 
@@ -117,3 +121,16 @@ def test_comprehension_rollup(spark):
     assert got == {"T": ("does b", every, ["k"], "High"), "E": ("", [], [], "")}
     some = {r["target"]: r["business_rules"] for r in L.comprehension_rollup(sources, prof, 6).collect()}
     assert some["T"] == every[:6]
+
+
+def test_levels_of_a_long_chain_and_a_random_graph(spark):
+    chain = spark.range(100_000).select((F.col("id") + 1).alias("src"), F.col("id").alias("dst"))
+    got = G.wavefront_levels(chain).agg(F.count("*").alias("n"), F.count_if(F.col("node") == F.col("level")).alias("ok")).first()
+    assert (got["n"], got["ok"]) == (100_001, 100_001)
+    r = random.Random(4)
+    pairs = {(a, r.randrange(a)) for a in range(1, 300) for _ in range(r.choice((1, 1, 1, 2, 5)))}
+    level: dict[int, int] = {}
+    for node in range(300):
+        level[node] = max((level[b] + 1 for a, b in pairs if a == node), default=0)
+    rows = G.wavefront_levels(spark.createDataFrame(sorted(pairs), "src int, dst int")).collect()
+    assert {x["node"]: x["level"] for x in rows} == level
