@@ -139,7 +139,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     Of equal vectors only the k + 1 of smallest ids can be in a result, so the rest stays out of the
     leaves; that limit is applied before the shuffle. Leaves beyond ``leaf_rows`` are split by id and the
-    queries copied. A leaf sends on its best k of each query.
+    queries copied. A leaf sends on its best k of each query, but, unless the query falls in it
+    itself, none below the query's k-th best in the sample, which bounds the k-th best of all.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("v"))
@@ -155,15 +156,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     rows = rows.filter(F.size("v") == d)
     same = Window.partitionBy("v").orderBy("vec_id")
     index = rows.dropDuplicates(["vec_id"]).withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= k + 1).drop("_r")
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, max(1, 4_000_000 // d))).select("v").collect()
-    fitted = np.array([r.v for r in picked])
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(sample, max(1, 4_000_000 // d))).collect()
+    picked = list({r.vec_id: r.v for r in picked}.items())
+    fitted = np.array([v for _, v in picked], np.float64)
     made = Forest(fitted, count, longest, trees, leaf)
     probes = made.probes(fitted, k, recall)
-    forest = spark.sparkContext.broadcast(made)  # bounded by the sample
+    forest = spark.sparkContext.broadcast((made, np.array([i for i, _ in picked]), fitted))  # bounded by the sample
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = forest.value.leaves(_matrix(batch.column(1), d)) if batch.num_rows else np.zeros((0, trees), np.int64)
+            found = forest.value[0].leaves(_matrix(batch.column(1), d)) if batch.num_rows else np.zeros((0, trees), np.int64)
             for t in range(trees):
                 yield pa.record_batch([pa.array(np.full(batch.num_rows, t)), pa.array(found[:, t]), batch.column(0), batch.column(1)], names=["tree", "leaf", "vec_id", "v"])
 
@@ -171,38 +173,40 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                found = forest.value.search(_matrix(part.column(1), d), probes)
+                planes, ids, known = forest.value
+                queries = _matrix(part.column(1), d)
+                score = queries @ known.T
+                score[part.column(0).to_numpy()[:, None] == ids] = -np.inf
+                bar = np.partition(score, -k, 1)[:, -k] if len(ids) >= k else np.full(len(queries), -np.inf)
+                found = planes.search(queries, probes)
                 row = np.repeat(np.arange(part.num_rows), list(map(len, found)))
                 pairs = np.array([p for f in found for p in f], np.int64).reshape(-1, 2)
-                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))],
-                                      names=["tree", "leaf", "vec_id", "v"])
+                near = np.concatenate([np.arange(len(f)) < planes.trees for f in found])  # the leaves it falls in itself
+                yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
+                                       pa.array(np.where(near, -np.inf, bar[row]))], names=["tree", "leaf", "vec_id", "v", "bar"])
 
     kind = f"tree bigint, leaf bigint, vec_id bigint, v {rows.schema['v'].dataType.simpleString()}"
     placed = settled(index.mapInArrow(place, kind), "leaves")
-    asked = rows.withColumnRenamed("vec_id", id_col).filter(is_query).withColumnRenamed(id_col, "vec_id").dropDuplicates(["vec_id"]).mapInArrow(ask, kind)
+    asked = rows.withColumnRenamed("vec_id", id_col).filter(is_query).withColumnRenamed(id_col, "vec_id").dropDuplicates(["vec_id"]).mapInArrow(ask, f"{kind}, bar double")
     parts = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).cast("int").alias("parts")).filter("parts > 1")
     parts = F.coalesce(F.col("parts"), F.lit(1)), parts
     left = placed.join(parts[1], ["tree", "leaf"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts[0]).cast("int")).drop("parts")
     right = asked.join(parts[1], ["tree", "leaf"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts[0] - 1))).drop("parts")
 
     def best(keys: tuple, held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(held) and len(queries):
-            held = held.sort_values("vec_id")
-            ids, matrix = held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64)
-            for low in range(0, len(queries), 512):
-                some = queries.iloc[low:low + 512]
-                asking = np.stack(some["v"].to_numpy()).astype(np.float64)
-                for q, v, line in zip(some["vec_id"].to_numpy(), asking, asking @ matrix.T, strict=True):
-                    others = ids != q
-                    if others.sum() > k:  # the k-th largest, less what rounding can change
-                        bar = np.partition(line[others], -k)[-k]
-                        others &= line >= bar - 1e-9 * (1 + abs(bar))
-                    at = np.flatnonzero(others)
-                    score = (matrix[at] * v).sum(1)
-                    pick = np.lexsort((ids[at], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][pick], "score": score[pick]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if not len(held) or not len(queries):
+            return none
+        ids, matrix, out = held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy()).astype(np.float64), [none]
+        for low in range(0, len(queries), 512):
+            some = queries.iloc[low:low + 512]
+            asking, who, bar = np.stack(some["v"].to_numpy()).astype(np.float64), some["vec_id"].to_numpy(), some["bar"].to_numpy()
+            bar = np.where(np.isfinite(bar), bar - 1e-9 * (1 + np.abs(bar)), -np.inf)  # rounding
+            i, j = np.nonzero((asking @ matrix.T >= bar[:, None]) & (who[:, None] != ids))
+            for part in np.array_split(np.arange(len(i)), 1 + len(i) // 100_000):
+                out.append(pd.DataFrame({"query_id": who[i[part]], "vec_id": ids[j[part]], "score": (asking[i[part]] * matrix[j[part]]).sum(1)}))
+        every = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return every[every.groupby("query_id").cumcount() < k]
 
     group = ["tree", "leaf", "part"]
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
