@@ -36,6 +36,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def drop(self) -> None:
+        """Remove the table; results of ``dedup`` do not read it any more."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def append(self, rows: DataFrame) -> None:
         """Add (text_sha256, keep_id) rows whose digests are new; one writer at a time."""
         (rows.select("text_sha256", "keep_id").repartition(self.buckets, "text_sha256").sortWithinPartitions("text_sha256")
