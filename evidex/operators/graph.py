@@ -46,8 +46,8 @@ def _back_edges(left: DataFrame) -> DataFrame:
 LONGEST = 1 << 40
 
 
-def _levels(plain: DataFrame, max_rounds: int) -> tuple[DataFrame, DataFrame | None]:
-    """(node, level) of nodes with edges, and the weighted edges that are left if only cycles are.
+def peeled_levels(plain: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame | None]:
+    """(node, level) of nodes with edges (src, dst), and the weighted edges that are left if only cycles are.
 
     ``left(src, dst, w)`` says that src lies at least w above dst, ``known(node, level)`` what
     resolved edges say already. Each round resolves edges into leaves, and an edge into a
@@ -86,7 +86,7 @@ def wavefront_levels(edges: DataFrame, nodes: DataFrame | None = None, max_round
     plain = settled(_plain(edges))
     ends = plain.select(F.col("src").alias("node")).union(plain.select("dst"))
     while True:
-        known, left = _levels(plain, max_rounds)
+        known, left = peeled_levels(plain, max_rounds)
         if left is None:
             break
         open_ = left.select("src").distinct()
