@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from evidex.operators.scale import settled
 
-CHUNK = 1 << 20
+#: Characters, and whole texts at most, that numpy works on at a time.
+CHUNK, TEXTS = 1 << 19, 512
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Base of the polynomial hash of byte and symbol runs, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -46,12 +47,12 @@ def chunks(texts: Sequence[str | None], limit: int = CHUNK) -> Iterator[tuple[li
 
 
 def grouped(texts: Sequence[str | None], limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
-    """(first row, whole texts) of about ``limit`` characters in all; null counts as empty."""
+    """(first row, whole texts) of about ``limit`` characters and at most TEXTS texts; null counts as empty."""
     first, held, size = 0, [], 0
     for text in texts:
         held.append(text or "")
         size += len(held[-1]) + 64
-        if size >= limit:
+        if size >= limit or len(held) >= TEXTS:
             yield first, held
             first, held, size = first + len(held), [], 0
     if held:

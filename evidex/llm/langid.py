@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from evidex.llm.common import codepoints, grouped, segments, CHUNK
+from evidex.llm.common import CHUNK, codepoints, grouped, segments
 
 DIMENSIONS = 1024
 SEED = 20_011
@@ -78,6 +79,20 @@ def bundle(texts: Sequence[str], owner: np.ndarray, owners: int, dimensions: int
     return out
 
 
+def bundled(parts: Sequence[tuple[int, str]], owners: int, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """``bundle`` of (owner, part of a text) pairs, a chunk at a time, so a long text costs no more memory than a short one."""
+    out = np.zeros((owners, dimensions))
+    held: list[tuple[int, str]] = []
+    size = 0
+    for k, part in enumerate(parts):
+        held.append(part)
+        size += len(part[1])
+        if size >= CHUNK or k + 1 == len(parts):
+            out += bundle([p for _, p in held], np.array([o for o, _ in held]), owners, dimensions)
+            held, size = [], 0
+    return out
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Language prototypes: the bundle of all texts of a language, over all rows with text and language.
 
@@ -93,11 +108,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim
                 names = sorted(set(langs[first:first + len(held)]))
                 index = {name: k for k, name in enumerate(names)}
                 parts = [(index[langs[first + k]], p) for k, t in enumerate(held) for p in segments(t)]
-                for low in range(0, len(parts), 1024):
-                    some = parts[low:low + 1024]
-                    got = bundle([p for _, p in some], np.array([k for k, _ in some]), len(names), dimensions)
-                    for name, vector in zip(names, got, strict=True):
-                        sums[name] = sums.get(name, 0) + vector.astype(np.float64)
+                for name, vector in zip(names, bundled(parts, len(names), dimensions), strict=True):
+                    sums[name] = sums.get(name, 0) + vector
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["lang", "vector"])
 
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
@@ -109,40 +121,43 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim
     return out
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score): the prototype of the largest cosine with the text's bundle.
+def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two more columns: the prototype of the largest cosine with the text's bundle, and that cosine.
 
-    ``und`` and 0 where the text is null or has no letter, or nothing was learned. score is the
-    cosine, not below 0; equal cosines go to the name that sorts first. Only id and text are
-    read; rows with a null or repeated id are kept. Texts over a million characters are
-    bundled part by part, cut between words.
+    ``und`` and 0 where the text is null or has no letter, or nothing was learned. The cosine is
+    not taken below 0; equal cosines go to the name that sorts first. All rows and columns are
+    kept; ``names`` must not be among them. Texts of over half a million characters are
+    bundled part by part, cut between words. A map over the rows: no shuffle.
     """
-    names = sorted(prototypes)
-    matrix = np.stack([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-300) for n in names]).T if names else None
-    dimensions = len(matrix) if names else DIMENSIONS
+    langs = sorted(prototypes)
+    matrix = np.stack([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-300) for n in langs]).T if langs else None
+    dimensions = len(matrix) if langs else DIMENSIONS
+    at = docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, scores = batch.column(1).to_pylist(), [], []
-            for _, held in grouped(texts) if names else ():
-                if len(held) == 1 and len(held[0]) > CHUNK:
-                    found = sum(bundle([p], np.zeros(1, np.int64), 1, dimensions).astype(np.float64) for p in segments(held[0]))
-                else:
-                    found = bundle(held, np.arange(len(held)), len(held), dimensions).astype(np.float64)
-                # A long text may stand last in a group of short ones: it was bundled whole, which is the same.
-                cosine = found @ matrix / np.maximum(np.linalg.norm(found, axis=1), 1e-300)[:, None]
+            texts = batch.column(at).to_pylist()
+            found, scores = ([], []) if langs else (["und"] * len(texts), [0.0] * len(texts))
+            for _, held in grouped(texts) if langs else ():
+                parts = [(k, p) for k, t in enumerate(held) for p in segments(t)]
+                bundles = bundled(parts, len(held), dimensions)
+                cosine = bundles @ matrix / np.maximum(np.linalg.norm(bundles, axis=1), 1e-300)[:, None]
                 best = cosine.argmax(1)
-                table = is_letter()
-                for k, text in enumerate(held):
-                    some = table[codepoints(text)].any() if text else False
-                    langs.append(names[best[k]] if some else "und")
-                    scores.append(min(1.0, max(0.0, float(cosine[k, best[k]]))) if some else 0.0)
-            if not names:
-                langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        each, "doc_id bigint, lang_pred string, score double")
+                letters = {k for k, p in parts if is_letter()[codepoints(p)].any()}
+                found += [langs[best[k]] if k in letters else "und" for k in range(len(held))]
+                scores += [min(1.0, max(0.0, float(cosine[k, best[k]]))) if k in letters else 0.0 for k in range(len(held))]
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
+
+    return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+
+
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score) of every whole text, see ``annotate``.
+
+    Only id and text are read; rows with a null or repeated id are kept.
+    """
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return annotate(rows, prototypes).drop("text")
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS):
