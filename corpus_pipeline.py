@@ -26,14 +26,16 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without any letter, which have no language."""
     ship(spark)
-    found = langid.predict(docs, langid.fit(docs.filter(~langid.held_out())))
-    return _without(docs, found.filter("lang_pred = 'und'"))
+    found = langid.annotate(docs, langid.fit(docs.filter(~langid.held_out())), names=("_lang", "_score"))
+    return found.filter("_lang <> 'und'").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lowered) the one with the largest id stays; a repeated row stays once."""
     ship(spark)
-    found = digests.DigestIndex(spark).dedup(docs)
+    index = digests.DigestIndex(spark)
+    found = index.dedup(docs)
+    index.drop()
     return _without(docs, found.filter("doc_id <> keep_id")).dropDuplicates(["doc_id"])
 
 
