@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.operators.scale import global_rank, settled
+from evidex.operators.graph import peeled_levels
+from evidex.operators.scale import computed, global_rank, settled
 
 #: Tools whose parameter lists are broadcast at most.
 BROADCAST_TOOLS = 10_000
@@ -26,10 +27,10 @@ def _kind(value: Column) -> Column:
             .when(said.startswith("DECIMAL") | said.isin("DOUBLE", "FLOAT"), "number").otherwise("null"))
 
 
-def _problem(p: Column, arguments: Column) -> Column:
-    """What is wrong with one parameter, or null."""
-    value = F.element_at(arguments, p["param"])
-    kind = _kind(value)
+def _problem(x: Column) -> Column:
+    """What is wrong with one parameter (p, kind of its value), or null."""
+    p, kind = x["p"], x["kind"]
+    value = p["value"]
     fits = (kind == p["type"]) | ((p["type"] == "number") & (kind == "integer"))
     amount = F.when(kind.isin("integer", "number"), value.cast("double"))
     return (F.when(value.isNull() & p["required"], F.concat(p["param"], F.lit(": missing")))
@@ -41,22 +42,16 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls by ``edges`` (conv_id, call_id, after); level 0 waits for nothing.
 
     Edges to calls that are not there do not count. Calls on a cycle, or behind one, have no
-    row. Each round takes the calls whose last predecessors came in the round before, so there are as many rounds as the longest
-    chain is long; each is a written table of the edges still open.
+    row. Rounds grow with the logarithm of a chain and the depth of what branches.
     """
-    key = ["conv_id", "call_id"]
     before = nodes.select("conv_id", F.col("call_id").alias("after"))
-    left = settled(edges.distinct().join(before, ["conv_id", "after"], "left_semi"), "waiting")
-    found = settled(nodes.select(*key).join(left, key, "left_anti").withColumn("level", F.lit(0)), "level")
-    out, level = found, 0
-    while True:
-        done = found.select("conv_id", F.col("call_id").alias("after"))
-        rest = settled(left.join(done, ["conv_id", "after"], "left_anti"), "waiting")
-        level += 1
-        found = settled(left.select(*key).distinct().join(rest, key, "left_anti").withColumn("level", F.lit(level)), "level")
-        if not found.take(1):
-            return out
-        out, left = out.unionByName(found), rest
+    inside = edges.distinct().join(before, ["conv_id", "after"], "left_semi")
+    plain = settled(inside.select(F.struct("conv_id", "call_id").alias("src"), F.struct("conv_id", F.col("after").alias("call_id")).alias("dst")), "waits")
+    known, left = peeled_levels(plain)
+    every = nodes.select(F.struct("conv_id", "call_id").alias("node"))
+    if left is not None:
+        every = every.join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    return every.join(known, "node", "left").select("node.conv_id", "node.call_id", F.coalesce("level", F.lit(0)).cast("int").alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -86,15 +81,21 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 
     ordered = levels(calls, calls.select(*key, F.explode("after").alias("after")))
     rows = calls.drop("after").hint("shuffle_hash").join(first, key, "left").join(ordered, key, "left").join(tools, "tool", "left")
-    parsed = F.try_parse_json("arguments")
-    rows = rows.withColumn("v", F.when(_kind(parsed) == "object", parsed)).withColumn("m", F.col("v").cast("map<string,variant>"))
-    wrong = F.array_compact(F.transform("params", lambda p: _problem(p, F.col("m"))))
+    # Each step is computed once for a row, not at every use in the lambdas below.
+    rows = computed(rows, v=F.try_parse_json("arguments"))
+    rows = computed(rows, v=F.when(_kind(F.col("v")) == "object", F.col("v")))
+    rows = computed(rows, m=F.col("v").cast("map<string,variant>"))
+    found = F.transform("params", lambda p: F.struct(p["param"].alias("param"), p["type"].alias("type"), p["required"].alias("required"),
+                                                     p["minimum"].alias("minimum"), F.element_at("m", p["param"]).alias("value")))
+    rows = computed(rows, found=F.transform(found, lambda p: F.struct(p.alias("p"), _kind(p["value"]).alias("kind"))))
+    wrong = F.array_compact(F.transform("found", _problem))
     known = F.transform("params", lambda p: p["param"])
     other = F.transform(F.filter(F.map_keys("m"), lambda k: ~F.array_contains(known, k)), lambda k: F.concat(k, F.lit(": unknown")))
     own = (F.when(F.col("params").isNull(), F.array(F.lit("tool: unknown")))
            .when(F.col("v").isNull(), F.array(F.lit("arguments: not an object"))).otherwise(F.concat(wrong, other)))
-    problems = F.array_sort(F.when(F.col("level").isNull(), F.concat(own, F.array(F.lit("order: cycle")))).otherwise(own))
-    rows = rows.withColumn("problems", problems)
+    rows = computed(rows, own=own)
+    problems = F.array_sort(F.when(F.col("level").isNull(), F.concat("own", F.array(F.lit("order: cycle")))).otherwise(F.col("own")))
+    rows = computed(rows, problems=problems)
     message = F.concat(F.lit('{"arguments":'), F.when(F.col("v").isNull(), quoted(F.col("arguments"))).otherwise(F.to_json("v")),
                        F.lit(',"call_id":'), quoted(F.col("call_id").cast("string")), F.lit(',"name":'), quoted(F.col("tool")),
                        F.lit(',"result":'), quoted(F.col("content")), F.lit("}"))
