@@ -31,12 +31,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lowered) the one with the largest id stays; a repeated row stays once."""
+    """Of equal texts (A-Z lowered) the one with the largest id stays, one row of it.
+
+    Decided per row: different texts under one id, or without an id, all stay. Rows of one id
+    and one text are combined before the shuffle; the one that sorts first stays.
+    """
     ship(spark)
     index = digests.DigestIndex(spark)
     found = index.dedup(docs)
     index.drop()
-    return _without(docs, found.filter("doc_id <> keep_id")).dropDuplicates(["doc_id"])
+    # concat_ws leaves out a null id, so the pair of such a row is its digest alone.
+    pair = lambda sha: F.concat_ws(":", F.col("doc_id").cast("bigint").cast("string"), sha).alias("_pair")
+    rows = docs.groupBy(pair(digests.digest(F.col("text")))).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return rows.join(found.filter("kept").select(pair(F.col("text_sha256"))), "_pair", "left_semi").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

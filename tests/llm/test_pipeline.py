@@ -63,3 +63,10 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, corpus):
         assert empty.count() == 0
         if name != "packing":
             assert empty.dtypes == docs.dtypes
+
+
+def test_exact_dedup_decides_per_row(spark):
+    rows = [(None, "one", "en", "s", 3), (None, "two", None, "s", 3), (None, "TWO", None, "s", 3), (None, None, None, None, None),
+            (1, "three", "en", "s", 5), (1, "four", "en", "s", 4), (2, "Three", "en", "s", 5), (3, "five", "en", "s", 4), (3, "five", "en", "s", 4)]
+    kept = corpus_pipeline.exact_dedup(spark, spark.createDataFrame(rows, COLUMNS).repartition(3), "").collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept) == [(0, ""), (0, "one"), (0, "two"), (1, "four"), (2, "three"), (3, "five")]
