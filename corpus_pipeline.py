@@ -24,10 +24,18 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents without any letter, which have no language."""
+    """Leaves out documents without any letter, which have no language, and those of 32 letters
+    or more whose cosine is below ``langid.floor``, set by the labelled rows of the held-out fold.
+
+    Where nothing was learned, every document with a letter stays.
+    """
     ship(spark)
-    found = langid.annotate(docs, langid.fit(docs.filter(~langid.held_out())), names=("_lang", "_score"))
-    return found.filter("_lang <> 'und'").select(*docs.columns)
+    learned = langid.fit(docs.filter(~langid.held_out()))
+    if not learned:
+        return docs.filter(langid.letters() > 0)
+    least = langid.floor(docs.filter(langid.held_out()), learned)
+    found = langid.annotate(docs, learned, names=("_lang", "_score")).filter("_lang <> 'und'")
+    return found.filter((F.col("_score") >= least) | (langid.letters() < langid.LETTERS)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ SEED = 20_011
 FOLDS = 5
 #: Columns of n-grams that are multiplied at a time.
 WIDTH = 4096
+#: Letters from which on a cosine tells a learned language from noise, and held-out rows that a floor needs.
+LETTERS, FLOOR_ROWS = 32, 100
 _LETTERS: dict[tuple[int, int], np.ndarray] = {}
 _IS_LETTER: list[np.ndarray] = []
 
@@ -151,6 +153,26 @@ def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
     return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
+def letters(text_col: str = "text"):
+    """The number of letters of a text, 0 for null."""
+    return F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\P{L}+", ""))
+
+
+def floor(held: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang") -> float:
+    """The cosine below which a text of at least LETTERS letters is in no learned language.
+
+    It is the least one of the rows of ``held`` that have a language and as many letters, which
+    must not have been learned from, and at most three standard deviations of the cosine of
+    unrelated vectors. 0, which rejects nothing, where fewer than FLOOR_ROWS such rows are there.
+    """
+    if not prototypes:
+        return 0.0
+    rows = held.filter(F.col(lang_col).isNotNull() & (letters(text_col) >= LETTERS)).select(F.col(text_col).alias("text"))
+    n, least = annotate(rows, prototypes).agg(F.count(F.lit(1)), F.min("score")).first()
+    noise = 3 / np.sqrt(len(next(iter(prototypes.values()))))
+    return min(least, float(noise)) if n >= FLOOR_ROWS else 0.0
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text, see ``annotate``.
 

@@ -70,3 +70,23 @@ def test_exact_dedup_decides_per_row(spark):
             (1, "three", "en", "s", 5), (1, "four", "en", "s", 4), (2, "Three", "en", "s", 5), (3, "five", "en", "s", 4), (3, "five", "en", "s", 4)]
     kept = corpus_pipeline.exact_dedup(spark, spark.createDataFrame(rows, COLUMNS).repartition(3), "").collect()
     assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept) == [(0, ""), (0, "one"), (0, "two"), (1, "four"), (2, "three"), (3, "five")]
+
+
+RUSSIAN = "Привет мир, как дела сегодня у вас в городе, и что нового"
+
+
+def test_language_id_without_labels_keeps_letters(spark):
+    rows = [(1, "some words", None, "s", 10), (None, RUSSIAN, None, "s", 50), (3, "12 + 34", None, "s", 7), (4, None, None, "s", 0)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert {r.text for r in kept} == {"some words", RUSSIAN}
+
+
+def test_language_id_rejects_a_script_never_learned(spark, prose):
+    texts = list(prose.values())
+    rows = [(k, " ".join(texts[(k + j) % len(texts)] for j in range(3)), "en", "s", 1) for k in range(700)]
+    rows += [(1000, RUSSIAN, None, "s", 1), (1001, "日本語の文章です。" * 20, None, "s", 1), (1002, "日本", None, "s", 1), (1003, texts[0] + texts[1], None, "s", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(4)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {1000, 1001}
+    few = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.filter("doc_id < 20 or doc_id >= 1000"), "").collect()}
+    assert {1000, 1001} <= few  # too few labelled rows to set a floor
