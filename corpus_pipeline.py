@@ -18,11 +18,6 @@ from evidex.session import scratch
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``dropped``; a null id is never dropped."""
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without any letter, which have no language, and those of 32 letters
     or more whose cosine is below ``langid.floor``, set by the labelled rows of the held-out fold.
@@ -55,9 +50,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a shingle similarity of three quarters the one with the smallest id stays."""
+    """Of documents linked by a shingle similarity of three quarters the one with the smallest id stays.
+
+    Decided per row: texts under one id are classed apart, and rows without an id always stay.
+    """
     ship(spark)
-    return _without(docs, jaccard.classes(docs).filter("component_id <> doc_id"))
+    dropped = jaccard.classed(docs).filter("component_id <> doc_id").select("doc_id", F.col("t").alias("_t"))
+    return docs.withColumn("_t", F.xxhash64("text")).join(dropped, ["doc_id", "_t"], "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

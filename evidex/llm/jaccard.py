@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.llm.common import CHUNK, components, ends, grouped, mix, segments, words
-from evidex.operators.scale import settled
+from evidex.operators.scale import settled, split_join
 
 SHINGLE = 5
 #: Two sets link when SHARE[1] * intersection >= SHARE[0] * union.
@@ -66,19 +66,19 @@ def needed(n):
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sig, sig2) of (doc_id, text): equal sets have equal signatures; an empty set has none."""
+    """(doc_id, t, n_shingles, sig, sig2) of (doc_id, t, text): equal sets have equal signatures; an empty set has none."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, one, two = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist()):
+            for s in shingle_sets(batch.column(2).to_pylist()):
                 size.append(len(s))
                 one.append(int(s.sum().view(np.int64)) if len(s) else None)
                 two.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).view(np.int64)) if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-                                  names=["doc_id", "n_shingles", "sig", "sig2"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
+                                  names=["doc_id", "t", "n_shingles", "sig", "sig2"])
 
-    return docs.mapInArrow(each, "doc_id bigint, n_shingles bigint, sig bigint, sig2 bigint")
+    return docs.mapInArrow(each, "doc_id bigint, t bigint, n_shingles bigint, sig bigint, sig2 bigint")
 
 
 def _lower(n):
@@ -112,7 +112,7 @@ def long_prefixes(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, shingles array<bigint>) of (doc_id, text)."""
+    """(node, n, shingles array<bigint>) of (node, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,10 +123,10 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 size += len(s)
                 if size > 1 << 20 or k + 1 == len(ids):
                     yield pa.record_batch([pa.array(ids[first:k + 1], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                                          names=["doc_id", "n", "shingles"])
+                                          names=["node", "n", "shingles"])
                     sets, size, first = [], 0, k + 1
 
-    return docs.mapInArrow(each, "doc_id bigint, n bigint, shingles array<bigint>")
+    return docs.mapInArrow(each, "node bigint, n bigint, shingles array<bigint>")
 
 
 class Trie:
@@ -237,34 +237,24 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[
 
 def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
     """Edges of one block; ``part`` against ``other`` where the block is split."""
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    ids, part = rows["doc_id"].to_numpy(), rows["part"].to_numpy()
+    rows = rows.drop_duplicates("node").sort_values("node")
+    ids, part = rows["node"].to_numpy(), rows["part"].to_numpy()
     a, b = int(rows["a"].iloc[0]), int(rows["b"].iloc[0])
     links = forest([np.asarray(s) for s in rows["shingles"]], np.flatnonzero(part == a), np.flatnonzero(part == b)) if len(ids) > 1 and (part == b).any() and (part == a).any() else []
     return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS,
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS,
             broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id): connected classes of documents whose sets of five-word
-    shingles have a Jaccard similarity of three quarters or more.
-
-    component_id is the smallest id reachable by links. Null, empty and blank texts have no
-    shingles and link with nothing; rows with a null id are left out; a repeated id counts as
-    one document of several texts, each row with its own n_shingles. Other columns are not
-    read; an empty table gives no rows.
-
-    Equal sets are one class from the start. A set can only link if enough of its shingles
-    occur in another one: first within the long prefixes, by counts that combine before the
-    shuffle, then among the sets left, whole. These are ordered by frequency, rarest first;
-    each meets the others at the smallest id that shares a shingle of its prefix, and each
-    such block is joined in a trie. Blocks beyond ``block_docs`` are split into pairs of parts,
-    so no task holds an unbounded group. Only a forest of links leaves a block.
-    """
+    """(doc_id, t, n_shingles, component_id) of every row with an id, see ``classes``; t is xxhash64 of the text."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = settled(members(docs), "members")
-    equal = settled(found.filter("sig is not null").groupBy("sig", "sig2", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "equal")
+    equal = found.filter("sig is not null").groupBy("sig", "sig2", "n_shingles").agg(
+        F.min(F.struct("doc_id", "t")).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # Numbers of the classes, fixed by being written; an id may stand for several of them.
+    equal = settled(equal.select("sig", "sig2", "n_shingles", F.col("rep.doc_id").alias("rep"), F.col("rep.t").alias("t"), "copies",
+                                 F.monotonically_increasing_id().alias("node")), "equal")
 
     once = (long_prefixes(docs).groupBy("shingle").agg(F.min("sig").alias("sig"), F.max("sig").alias("top"))
             .filter("sig = top").groupBy("sig").agg(F.count(F.lit(1)).alias("own")))
@@ -272,30 +262,53 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     need = F.ceil(n * SHARE[0] / SHARE[1])
     lower = F.greatest(F.lit(1), F.floor(n / 8))
     alive = settled(equal.join(once, "sig", "left").filter(n - need + lower - F.coalesce("own", F.lit(0)) >= lower)
-                    .select(F.col("rep").alias("doc_id")).distinct(), "alive")
+                    .select(F.col("rep").alias("doc_id"), "t", "node"), "alive")
     kept = F.broadcast(alive) if alive.count() <= broadcast_rows else alive
-    sets = settled(full_sets(docs.join(kept, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    sets = settled(full_sets(docs.join(kept, ["doc_id", "t"]).select("node", "text")).dropDuplicates(["node"]), "sets")
 
-    entries = sets.select("doc_id", "n", F.explode("shingles").alias("shingle"))
+    entries = sets.select("node", "n", F.explode("shingles").alias("shingle"))
     often = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     near = entries.join(often, "shingle")
-    by_doc = Window.partitionBy("doc_id")
-    near = near.withColumn("place", F.row_number().over(by_doc.orderBy("df", "shingle"))).withColumn("shared", F.count(F.lit(1)).over(by_doc))
+    by_node = Window.partitionBy("node")
+    near = near.withColumn("place", F.row_number().over(by_node.orderBy("df", "shingle"))).withColumn("shared", F.count(F.lit(1)).over(by_node))
     need = F.ceil(F.col("n") * SHARE[0] / SHARE[1])
-    # The place in the global order is that among the shared ones behind all the document's own.
-    prefix = settled(near.filter(F.col("n") - F.col("shared") + F.col("place") <= F.col("n") - need + 1).select("doc_id", "shingle"), "prefix")
-    leaders = prefix.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").drop("last")
-    blocks = settled(prefix.join(leaders, "shingle").select("leader", "doc_id").distinct(), "blocks")
-    rows = blocks.join(sets, "doc_id")
-    sizes = blocks.join(sets.select("doc_id", "n"), "doc_id").groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    # The place in the global order is that among the shared ones behind all the set's own.
+    prefix = settled(near.filter(F.col("n") - F.col("shared") + F.col("place") <= F.col("n") - need + 1).select("node", "shingle"), "prefix")
+    leaders = prefix.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
+    blocks = settled(prefix.join(leaders, "shingle").select("leader", "node").distinct(), "blocks")
+    rows = blocks.join(sets, "node")
+    sizes = blocks.join(sets.select("node", "n"), "node").groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     sizes = sizes.select("leader", F.greatest(F.ceil(F.col("m") / block_docs), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     rows = rows.join(sizes, "leader").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("leader", "doc_id", "shingles", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    rows = rows.select("leader", "node", "shingles", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
     edges = settled(rows.groupBy("leader", "a", "b").applyInPandas(_block_links, "a bigint, b bigint").distinct(), "links")
 
-    joined = components(edges).withColumnRenamed("node", "rep")
-    grown = (equal.join(joined, "rep", "left").filter("component is not null or copies > 1")
-             .select("sig", "sig2", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
-    out = found.join(settled(grown, "grown"), ["sig", "sig2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # The smallest id of a component; its classes may be many, so it meets them in salted parts.
+    placed = settled(equal.drop("t").join(components(edges), "node", "left").filter("component is not null or copies > 1"), "placed")
+    linked = placed.filter("component is not null")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = split_join(linked.select("sig", "sig2", "n_shingles", "component"), least, "component", "inner").drop("component")
+    alone = placed.filter("component is null").select("sig", "sig2", "n_shingles", F.col("rep").alias("component_id"))
+    out = found.join(settled(linked.unionByName(alone), "grown"), ["sig", "sig2", "n_shingles"], "left")
+    return out.select("doc_id", "t", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS,
+            broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id): connected classes of documents whose sets of five-word
+    shingles have a Jaccard similarity of three quarters or more.
+
+    component_id is the smallest id reachable by links. Null, empty and blank texts have no
+    shingles and link with nothing; rows with a null id are left out; the rows of a repeated id
+    are classed each by its own text, and are not linked by the id. Other columns are not
+    read; an empty table gives no rows.
+
+    Equal sets are one class from the start. A set can only link if enough of its shingles
+    occur in another one: first within the long prefixes, by counts that combine before the
+    shuffle, then among the sets left, whole. These are ordered by frequency, rarest first;
+    each meets the others at the first class that shares a shingle of its prefix, and each
+    such block is joined in a trie. Blocks beyond ``block_docs`` are split into pairs of parts,
+    so no task holds an unbounded group. Only a forest of links leaves a block.
+    """
+    return classed(docs, id_col, text_col, block_docs, broadcast_rows).drop("t")

@@ -53,6 +53,18 @@ def test_classes_of_odd_rows(odd, none):
     assert jaccard.classes(none).count() == 0
 
 
+def test_classes_of_two_texts_under_one_id(spark, prose):
+    one, two, *_ = sorted(prose.values(), key=len, reverse=True)
+    two = two.translate(str.maketrans("abcdefg", "ABCDEFG")).replace("A", "q")  # apart from the first
+    rows = [(9, one), (9, two), (4, one + " more"), (5, two + " more"), (9, one.upper()), (7, "short"), (7, "another"), (8, "another")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for limits in ({}, {"block_docs": 1, "broadcast_rows": 0}):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs, **limits).collect())
+        n, m = len(shingles(one)), len(shingles(two))
+        assert got == sorted([(9, n, 4), (9, n, 4), (4, len(shingles(one + " more")), 4), (9, m, 5), (5, len(shingles(two + " more")), 5),
+                              (7, 1, 7), (7, 1, 7), (8, 1, 7)])
+
+
 def test_a_large_group_of_near_copies_is_one_class(spark):
     r = np.random.default_rng(3)
     base = [f"w{k}" for k in range(100)]

@@ -90,3 +90,10 @@ def test_language_id_rejects_a_script_never_learned(spark, prose):
     assert kept == {r[0] for r in rows} - {1000, 1001}
     few = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.filter("doc_id < 20 or doc_id >= 1000"), "").collect()}
     assert {1000, 1001} <= few  # too few labelled rows to set a floor
+
+
+def test_near_dedup_decides_per_row(spark, prose):
+    one = max(prose.values(), key=len)
+    rows = [(1, one, "en", "s", 1), (2, one + " more", "en", "s", 1), (2, "a clean text", "en", "s", 1), (None, one + " end", "en", "s", 1)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(r[0], r[1]) for r in rows} - {(2, one + " more")}
