@@ -20,8 +20,10 @@ _PROC = (f"_name string, _start string, _processClass string, _onError string, a
 
 def process_files(files: DataFrame) -> DataFrame:
     """Process definitions by root element; malformed ones stay, marked unreadable."""
-    # The first tag that is no declaration, doctype or comment.
-    root = r"(?s)^(?>(?:[^<]|<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>)*+)<\s*(?:\w+:)?process\b"
+    # The first tag that is no declaration, doctype or comment; a doctype may hold declarations of its own.
+    subset = r"""\[(?:<!--.*?-->|<\?.*?\?>|"[^"]*"|'[^']*'|[^\]"'])*+\]\s*"""
+    doctype = r"""<!DOCTYPE(?:"[^"<]*"|'[^'<]*'|[^\["'<>])*+(?:""" + subset + r")?>|<!DOCTYPE[^>]*>"
+    root = r"(?s)^(?>(?:[^<]|<!--.*?-->|<\?.*?\?>|" + doctype + r")*+)<\s*(?:\w+:)?process\b"
     src = files.filter(F.col("file").endswith(".xml") & F.col("text").rlike(root))
     x = computed(src.select("file", "text"), _x=F.from_xml("text", _PROC, {
         "columnNameOfCorruptRecord": "_corrupt_record", "ignoreNamespace": "true"}))

@@ -309,3 +309,13 @@ def test_inputs_beyond_the_old_limits(spark):
     many = "import a.b.C0;\n" + "".join(f"import p{i}.q{i}.r{i}.X{i};\n" for i in range(30))
     text = spark.createDataFrame([(many,)], "text string").select(X.import_summary(F.col("text"))).first()[0]
     assert text.count(",") == 30
+
+
+def test_a_doctype_with_declarations_keeps_the_process(spark):
+    body = "<process name='%s'><end id='e'/></process>"
+    heads = {"a": "<!DOCTYPE process [<!ENTITY one 'x'> <!ENTITY two 'y'>]>", "b": "<?xml version='1.0'?>\n<!DOCTYPE process SYSTEM \"p.dtd\" [\n<!-- it's ] > -->\n<!ENTITY one \"<items> ]>\">\n<!ELEMENT end EMPTY>\n]>\n",
+             "c": "<!DOCTYPE process SYSTEM 'p.dtd'>", "d": "<!DOCTYPE process [<!ENTITY one 'x'>"}
+    rows = [(f"{k}.xml", h + body % k) for k, h in heads.items()]
+    rows += [("e.xml", "<!DOCTYPE items [<!ENTITY one '<process>'> <!ENTITY two 'y'>]><items><process name='q'/></items>")]
+    found = {r["file"]: (r["process"], r["unreadable"]) for r in W.process_files(files(spark, rows)).collect()}
+    assert set(found) == {"a.xml", "b.xml", "c.xml", "d.xml"} and all(found[f"{k}.xml"] == (k, False) for k in "abc")
