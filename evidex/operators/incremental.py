@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.operators.graph import transitive_closure
 from evidex.operators.scale import digest_of, digest_words, set_digest, side_by_side
 
 
@@ -27,11 +28,23 @@ def recipe_hash(version: Column, provider: Column, model: Column, schema_json: C
                              F.md5(schema_json), F.md5(mappings_json)))
 
 
+def transitive_deps(own: DataFrame, deps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(target, class_name): ``deps`` and all that a class of ``own`` or ``deps`` reaches.
+
+    ``edges(src, dst)`` are the dependencies of all classes; cycles are allowed.
+    """
+    reach = transitive_closure(edges).withColumnRenamed("node", "class_name")
+    start = own.select("target", "class_name").unionByName(deps.select("target", "class_name")).distinct()
+    return deps.select("target", "class_name").unionByName(
+        start.join(reach, "class_name").select("target", F.col("reach").alias("class_name"))).distinct()
+
+
 def target_fingerprint(plan: DataFrame, own: DataFrame, deps: DataFrame, hashes: DataFrame, recipe: Column,
                        fields: list[str]) -> DataFrame:
     """(target, fingerprint) over recipe, plan fields, own hashes and dependency hashes minus own.
 
-    ``own(target, class_name)``, ``deps(target, class_name)``, ``hashes(class_name, hash)``.
+    ``own(target, class_name)``, ``deps(target, class_name)``, ``hashes(class_name, hash)``. A
+    change counts at the depth that ``deps`` has; ``transitive_deps`` gives all of it.
     """
     mine = own.select("target", "class_name").distinct()
     rest = deps.select("target", "class_name").distinct().join(mine, ["target", "class_name"], "left_anti")

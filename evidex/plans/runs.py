@@ -355,9 +355,13 @@ fp AS (SELECT o_orderkey AS target, md5('r1||' || o_orderkey || '|' || o_orderpr
 """
 
 
-def fingerprints(t):
+def fingerprints(t, transitive: bool = False):
+    """Dependencies one level deep, as the SQL twin has them, or all that is reached."""
+    below = lambda k: _cat("P", F.floor(F.col(k) / 10).cast("string"))
     own = t.lineitem.select(F.col("l_orderkey").alias("target"), _cat("P", F.col("l_partkey").cast("string")).alias("class_name"))
-    dep = t.lineitem.select(F.col("l_orderkey").alias("target"), _cat("P", F.floor(F.col("l_partkey") / 10).cast("string")).alias("class_name"))
+    dep = t.lineitem.select(F.col("l_orderkey").alias("target"), below("l_partkey").alias("class_name"))
+    if transitive:
+        dep = V.transitive_deps(own, dep, t.part.select(_cat("P", F.col("p_partkey").cast("string")).alias("src"), below("p_partkey").alias("dst")))
     hashes = t.part.select(_cat("P", F.col("p_partkey").cast("string")).alias("class_name"), F.md5("p_name").alias("hash"))
     plan = t.orders.select(F.col("o_orderkey").alias("target"), "o_orderpriority", "o_orderstatus")
     return V.target_fingerprint(plan, own, dep, hashes, F.lit("r1"), ["o_orderpriority", "o_orderstatus"])
@@ -374,7 +378,7 @@ REUSE_SQL = f"""
 
 
 def decided(t):
-    new = fingerprints(t)
+    new = fingerprints(t, transitive=True)
     k = F.col("target")
     state = new.filter(k % 17 != 0).select("target", F.when(k % 10 == 0, F.lit("old")).otherwise(F.col("fingerprint")).alias("fingerprint"),
                                            F.when(k % 7 != 3, F.lit("code")).alias("result"), F.when(k % 23 == 5, "r0").otherwise("r1").alias("recipe"), F.lit(1).alias("version"))

@@ -146,6 +146,34 @@ def test_fingerprints(spark):
     assert d == {"same": "reuse", "changed": "rebuild", "fresh": "rebuild", "empty": "rebuild", "recipe": "rebuild"}
 
 
+def test_a_change_two_levels_down_forces_a_rebuild(spark):
+    hashes = lambda x: df(spark, "class_name string, hash string", ("A", "1"), ("B", "2"), ("C", x), ("D", "4"))
+    plan = df(spark, "target string, kind string", ("T", "Convert"), ("U", "Convert"))
+    own = df(spark, "target string, class_name string", ("T", "A"), ("U", "D"))
+    deps = df(spark, "target string, class_name string", ("T", "B"))
+    edges = df(spark, "src string, dst string", ("A", "B"), ("B", "C"), ("C", "A"))
+    every = V.transitive_deps(own, deps, edges)
+    assert sorted(map(tuple, every.collect())) == [("T", "A"), ("T", "B"), ("T", "C")]
+    fp = lambda x: V.target_fingerprint(plan, own, every, hashes(x), F.lit("r"), ["kind"])
+    state = fp("3").select("target", "fingerprint", F.lit("code").alias("result"), F.lit("r").alias("recipe"), F.lit(1).alias("version"))
+    decide = lambda x: {r["target"]: r["decision"] for r in V.reuse_or_rebuild(fp(x), state, F.lit("r")).collect()}
+    assert decide("3") == {"T": "reuse", "U": "reuse"} and decide("9") == {"T": "rebuild", "U": "reuse"}
+
+
+def test_the_query_reuses_by_all_levels(spark):
+    from types import SimpleNamespace
+
+    from evidex.plans import runs
+
+    def tables(name):
+        return SimpleNamespace(
+            lineitem=df(spark, "l_orderkey bigint, l_partkey bigint", (1, 345), (2, 78)), orders=df(spark, "o_orderkey bigint, o_orderpriority string, o_orderstatus string", (1, "x", "F"), (2, "x", "F")),
+            part=df(spark, "p_partkey bigint, p_name string", (345, "a"), (34, "b"), (3, name), (78, "d"), (7, "e")))
+
+    old, new = ({r["target"]: r["fingerprint"] for r in runs.fingerprints(tables(n), transitive=True).collect()} for n in ("c", "changed"))
+    assert old[1] != new[1] and old[2] == new[2]
+
+
 def test_prefix_and_source_fingerprint(spark):
     d = df(spark, "domain string, pos int, changed boolean", ("a", 0, False), ("b", 1, True), ("c", 2, False), ("d", 3, False))
     assert {r["domain"]: r["reuse"] for r in V.prefix_invalidation(d).collect()} == {"a": True, "b": False, "c": False, "d": False}
