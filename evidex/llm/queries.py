@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm import bpe, chat, digests, jaccard, langid, neighbours, packing, passages, pii, sharding
+from evidex.llm import bpe, chat, digests, jaccard, langid, mixing, neighbours, packing, passages, periodic, pii, resample, sharding
 from evidex.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,47 @@ def byte_pairs_query(spark, read):
 @query("op10_jaccard_classes")
 def jaccard_query(spark, read):
     return jaccard.classes(read("documents"))
+
+
+@query("op11_importance_resampling", r"""
+with words as (
+  select 'd' as side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+seen as (select side, f, count(*) as n from (select side, unnest(w) as f from words) group by all),
+coded as (select f, hex(encode(f)) as x from (select distinct f from seen)),
+bytes as (select f, list_transform(range(1, (length(x) // 2 + 1)::bigint), lambda i: ('0x' || substr(x, (2 * i - 1)::int, 2))::bigint) as b from coded),
+bucketed as (
+  select f, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, y: list_reduce(list_prepend(xor(c, y), range(8)), lambda z, k:
+    case when z % 2 = 1 then xor(z // 2, 3988292384::bigint) else z // 2 end)), 4294967295::bigint) % 10000 as bucket from bytes),
+counts as (
+  select bucket, sum(case when side = 'd' then n else 0 end)::double as s, sum(case when side = 'b' then n else 0 end)::double as t
+  from seen join bucketed using (f) group by bucket),
+totals as (select coalesce(sum(s), 0) as all_s, coalesce(sum(t), 0) as all_t from counts),
+gain as (
+  select bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::bigint as g from counts, totals),
+weighed as (
+  select doc_id, count(f) as n_features, coalesce(sum(g), 0)::bigint as weight
+  from (select doc_id, unnest(case when len(w) = 0 then [null] else w end) as f from words where side = 'd')
+  left join bucketed using (f) left join gain using (bucket) group by doc_id),
+scored as (
+  select *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as score from weighed),
+ranked as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place,
+         count(*) filter (n_features >= 20) over () as n from scored)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank from ranked
+""")
+def resampling_query(spark, read):
+    drawn = resample.draw(read("documents"), read("benchmark"), percent=10, min_words=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_source_mixing")
+def mixing_query(spark, read):
+    mixed = mixing.mix(read("documents"), weights=(1, 2, 3))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op13_periodic_runs")
+def periodic_query(spark, read):
+    return periodic.digests(periodic.planted(read("documents")))
