@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
 from evidex.functions import text as T
-from evidex.operators.scale import computed, settled, side_by_side
+from evidex.operators.scale import computed, settled, side_by_side, split_join
 
 
 def chunk_by_heading(docs: DataFrame) -> DataFrame:
@@ -54,28 +54,87 @@ def tfidf_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Texts are tokenised once: document frequencies, postings and norms read the counts.
     tf = settled(term_counts(chunks, "chunk_id", F.concat_ws(" ", "heading", "body")), "counts")
     idf = settled(idf_table(tf, chunks), "idf")
-    postings = tf.join(idf.select("term", "idf"), "term").select("chunk_id", "term", "tf", "idf")
+    # A common term is one key of as many rows as there are chunks: its rows meet the idf in salted parts.
+    postings = split_join(tf, idf.select("term", "idf"), "term", "inner").select("chunk_id", "term", "tf", "idf")
     w = F.col("tf") * F.col("idf")
     norms = postings.groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
     return postings, norms, idf
 
 
-def tfidf_topk(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
-    """hits(query_id, rank, chunk_id, score): cosine, positive only, ties in chunk order.
+#: Impact levels an octave, and postings of a term per wanted hit that set the first bound.
+LEVELS, SEEDS = 8, 4
+
+
+def impact_index(chunks: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(impacts(chunk_id, term, impact, level), blocks(term, level, peak), idf) for the ``k`` best hits.
 
-    Scores are summed map-side per (query, chunk); the rank limit is applied per task before
-    the shuffle, so a query that meets a third of the corpus stays cheap to rank.
+    The impact of a term is its share of the chunk's vector; a block is the postings of a term
+    whose impacts are within a twelfth of each other, so blocks are in order of impact without a sort.
+    Of chunks with equal texts only the first k can be hits, so only these are indexed.
     """
     postings, norms, idf = tfidf_index(chunks)
-    q = term_counts(queries, "query_id", F.col("text")).join(idf.select("term", "idf"), "term")
-    q = q.select("query_id", "term", (F.col("tf") * F.col("idf")).alias("w"), F.col("idf").alias("qidf"))
-    # Query weights are normalised up front: no join by query stands between score and rank.
+    same = Window.partitionBy("_same").orderBy("chunk_id")
+    kept = chunks.select("chunk_id", F.md5(F.concat_ws(" ", "heading", "body")).alias("_same")).withColumn(
+        "_n", F.row_number().over(same)).filter(F.col("_n") <= k).select("chunk_id")
+    share = postings.join(norms.join(kept, "chunk_id"), "chunk_id").select(
+        "chunk_id", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("impact"))
+    impacts = settled(share.withColumn("level", F.floor(F.log2("impact") * LEVELS).cast("int")), "impacts")
+    blocks = impacts.groupBy("term", "level").agg(F.max("impact").alias("peak"))
+    return impacts, settled(blocks, "blocks"), idf
+
+
+def query_weights(queries: DataFrame, idf: DataFrame) -> DataFrame:
+    """(query_id, term, w): the query's vector over indexed terms, of length one."""
+    w = (F.col("tf") * F.col("idf")).alias("w")
+    q = term_counts(queries, "query_id", F.col("text")).join(idf.select("term", "idf"), "term").select("query_id", "term", w)
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    q = q.join(qn, "query_id").select("query_id", "term", (F.col("w") / F.col("qn") * F.col("qidf")).alias("w"))
-    dot = q.join(postings.select("chunk_id", "term", "tf"), "term").groupBy("query_id", "chunk_id").agg(
-        F.sum(F.col("w") * F.col("tf")).alias("dot"))
-    scored = dot.join(norms, "chunk_id").select(
-        "query_id", "chunk_id", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter("score > 0")
+    return q.join(qn, "query_id").select("query_id", "term", (F.col("w") / F.col("qn")).alias("w"))
+
+
+def pair_scores(pairs: DataFrame, weights: DataFrame, impacts: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of pairs (query_id, chunk_id), over all terms they share."""
+    known = impacts.join(weights.select("term").distinct(), "term", "left_semi").select("chunk_id", "term", "impact")
+    shared = pairs.join(weights, "query_id").join(known, ["chunk_id", "term"])
+    return shared.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("impact")), 9).alias("score"))
+
+
+def topk_candidates(weights: DataFrame, impacts: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id): pairs among which are all with a score as high as the query's k-th best.
+
+    The SEEDS * k postings of highest impact of each term give the query k scored chunks, and
+    with them a bound. If every term gives a chunk less than its threshold and the thresholds
+    add up to the bound, the chunk is below it. So the bound is dealt over the terms: those
+    whose best posting gives less than an equal share take that much and need not be read, the
+    rest share what is left, and of these only blocks whose peak reaches the share are read.
+    """
+    best = Window.partitionBy("term").orderBy(F.desc("impact"), "chunk_id")
+    first = impacts.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= SEEDS * k).select("term", "chunk_id")
+    seeds = settled(weights.join(first, "term").select("query_id", "chunk_id").distinct(), "seeds")
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    bound = pair_scores(seeds, weights, impacts).withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= k).groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("bound"))
+    peaks = blocks.groupBy("term").agg(F.max("peak").alias("peak"))
+    gives = weights.join(peaks, "term").groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("w") * F.col("peak"))).alias("gives"))
+    # Scores are rounded to nine places; the bound allows for that.
+    share = F.expr("""aggregate(gives, named_struct('left', greatest(bound - 2e-9, 0D), 'n', size(gives), 'share', cast(null as double)),
+        (s, x) -> case when s.share is not null then s when s.left / s.n <= x then named_struct('left', s.left, 'n', s.n, 'share', s.left / s.n)
+                  else named_struct('left', s.left - x, 'n', s.n - 1, 'share', s.share) end, s -> coalesce(s.share, 0D))""")
+    shares = gives.join(bound, "query_id").select("query_id", (share * (1 - 1e-12)).alias("share"))
+    wanted = weights.join(shares, "query_id").join(blocks, "term").filter(F.col("w") * F.col("peak") >= F.col("share"))
+    found = wanted.select("query_id", "term", "level", "w", "share").join(impacts, ["term", "level"])
+    return found.filter(F.col("w") * F.col("impact") >= F.col("share")).select("query_id", "chunk_id").distinct()
+
+
+def tfidf_topk(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
+    """hits(query_id, rank, chunk_id, score): cosine, positive only, ties in chunk order.
+
+    Only the pairs of ``topk_candidates`` are scored, in full; the rank limit is applied per task
+    before the shuffle, so a query that meets a third of the corpus stays cheap to rank.
+    """
+    impacts, blocks, idf = impact_index(chunks, k)
+    weights = settled(query_weights(queries, idf), "weights")
+    pairs = topk_candidates(weights, impacts, blocks, k)
+    scored = pair_scores(pairs, weights, impacts).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
