@@ -46,27 +46,15 @@ def run_ends(events: DataFrame, end_type: str = "run_complete") -> DataFrame:
 def idle_sessions(events: DataFrame, beat: int = R.HEARTBEAT_SECONDS, watermark: str = "1 hour") -> DataFrame:
     """Sessions (run, start, last, n) of events closer than one heartbeat, in append mode.
 
-    The silence between two sessions of a run is a gap; see ``history.idle_gaps``.
+    A session comes out once the watermark is a heartbeat past its last event, and its state goes
+    with it. The silence between two sessions of a run is a gap; see ``history.idle_gaps``, and
+    ``stateful.live_beats`` for silences that still last.
     """
     windowed = events.withWatermark("ts", watermark).groupBy("run", F.session_window("ts", f"{beat} seconds"))
     return windowed.agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).select(
         "run", "start", "last", "n")
 
 
-END_MARK = "run bigint, ts timestamp"
-
-
-def end_marks(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of end marks: rows without a run, to be put beside the events."""
-    spark.createDataFrame([], END_MARK).write.mode("append").parquet(folder)
-    return spark.readStream.schema(END_MARK).parquet(folder)
-
-
-def mark_end(spark: SparkSession, folder: str, at: str = "9000-01-01") -> None:
-    """Say that no more events come: the next drain closes every session still open."""
-    spark.createDataFrame([(None,)], "run bigint").select("run", F.lit(at).cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
-
-
 def spend_totals(calls: DataFrame) -> DataFrame:
     """Spend per run so far (update mode); partial sums combine before the shuffle."""
     return calls.groupBy("run").agg(F.sum(F.col("usd").cast("decimal(18,6)")).alias("spent"),
