@@ -47,6 +47,33 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     return out.select(*df.columns, (F.col("_off") + F.col("_row") + 1).cast("bigint").alias(name))
 
 
+def sorted_neighbour(asked: DataFrame, held: DataFrame, key: str, after: bool = True, name: str = "found",
+                     chunk: int = 50_000) -> DataFrame:
+    """``asked`` with the first ``key`` of ``held`` that is at or after its own, or the last at or before it.
+
+    Both tables are sorted together by range, once, so a row is sent once whatever it meets. The
+    neighbour is sought among ``chunk`` rows next to each other; where it lies beyond them it is the
+    first, or last, of a table with one row per chunk. Null keys of ``asked`` have none.
+    """
+    none, value = F.lit(None).cast(asked.schema[key].dataType), F.col(key)
+    rows = asked.withColumn("_held", none).withColumn("_ask", F.lit(True)).unionByName(
+        held.filter(value.isNotNull()).select(value, value.alias("_held"), F.lit(False).alias("_ask")), allowMissingColumns=True)
+    turn = F.desc("_ask") if after else F.asc("_ask")
+    ranked = global_rank(rows, [F.asc_nulls_last(key), turn], "_rank").withColumn("_chunk", F.floor((F.col("_rank") - 1) / chunk))
+    own = Window.partitionBy("_chunk").orderBy("_rank")
+    far = Window.orderBy("_chunk")
+    if after:
+        own, far = own.rowsBetween(0, Window.unboundedFollowing), far.rowsBetween(1, Window.unboundedFollowing)
+        near, edge, pick = F.first("_held", ignorenulls=True), F.min_by("_held", F.when(~F.col("_ask"), F.col("_rank"))), F.first
+    else:
+        own, far = own.rowsBetween(Window.unboundedPreceding, 0), far.rowsBetween(Window.unboundedPreceding, -1)
+        near, edge, pick = F.last("_held", ignorenulls=True), F.max_by("_held", F.when(~F.col("_ask"), F.col("_rank"))), F.last
+    edges = ranked.groupBy("_chunk").agg(edge.alias("_edge"))
+    edges = edges.select("_chunk", pick("_edge", ignorenulls=True).over(far).alias("_far"))
+    out = ranked.withColumn("_near", near.over(own)).filter("_ask").join(edges, "_chunk")
+    return out.select(*asked.columns, F.when(value.isNotNull(), F.coalesce("_near", "_far")).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the input has fewer splits than cores; large inputs stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -107,7 +134,8 @@ def split_join(big: DataFrame, small: DataFrame, key: str, how: str = "left",
     cheaper to count than ``big``. ``how`` is left or inner.
     """
     hot = F.broadcast(hot_keys((big if keys is None else keys).select(key), key))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS))).otherwise(0)
+    content = [c for c, kind in big.dtypes if "map<" not in kind]  # maps have no hash
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*content), F.lit(SALTS))).otherwise(0)
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = big.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
     right = small.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")

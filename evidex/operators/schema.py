@@ -9,10 +9,9 @@ from evidex.functions import names as N
 from evidex.functions import rules as R
 from evidex.functions import text as T
 from evidex.operators.extract import infer_field_type
-from evidex.operators.scale import computed, global_rank, settled
+from evidex.operators.scale import computed, global_rank, settled, sorted_neighbour, split_join
 
 FIELDS = ("object", "code", "field", "type", "picklist", "required", "unique", "default")
-SUFFIX_KEY = 64
 
 
 def object_name(code: Column) -> Column:
@@ -39,7 +38,8 @@ def derive_schema(item_types: DataFrame, enums: DataFrame) -> DataFrame:
     values = _last(enums, "name", "values")
     full = values.select(F.col("name").alias("_raw"), F.col("values").alias("_v1"))
     base = values.select(F.col("name").alias("_base"), F.col("values").alias("_v2"))
-    rows = rows.join(full, "_raw", "left").join(base, "_base", "left")
+    # A type such as String stands at a third of all attributes: its rows meet the enums in salted parts.
+    rows = split_join(split_join(rows.drop("_base"), full, "_raw").withColumn("_base", F.substring_index("_raw", ".", -1)), base, "_base")
     picks = F.coalesce("_v1", "_v2")
     flag = lambda k, v: F.coalesce(F.lower(F.try_element_at("f.modifiers", F.lit(k))) == v, F.lit(False))
     made = rows.select(
@@ -149,27 +149,18 @@ def field_references(code: DataFrame, schema: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).dropDuplicates(["file", "message"])
 
 
-def ends_of(words: Column) -> Column:
-    """All endings of 3 to 64 characters: the equi-join keys of an ends-with test."""
-    return F.flatten(F.transform(words, lambda w: F.transform(
-        F.when(F.length(w) >= 3, F.sequence(F.lit(3), F.least(F.length(w), F.lit(SUFFIX_KEY))))
-        .otherwise(F.array().cast("array<int>")), lambda n: F.struct(F.right(w, n).alias("key"), w.alias("word")))))
-
-
 def evidenced(asked: DataFrame, corpus: DataFrame, name: str) -> DataFrame:
     """Rows whose base name (at least 3 characters) ends a word of the corpus.
 
-    Words are made distinct first; the ends-with test is an equi-join on the ending, with
-    endings over 64 characters verified in full.
+    Words are made distinct first. Read from behind, a name ends a word iff it begins the first
+    word that sorts at or after it, so one range sort of words and names answers for all of them.
     """
     words = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("w")).distinct()
-    ends = words.select(F.explode(ends_of(F.array("w"))).alias("e")).select("e.key", "e.word")
     base = F.lower(F.regexp_replace(F.col(name), "__c$", ""))
-    rows = asked.withColumn("_base", base).filter(F.length("_base") >= 3).withColumn(
-        "_key", F.right("_base", F.least(F.length("_base"), F.lit(SUFFIX_KEY))))
-    hit = rows.join(ends, (F.col("_key") == ends["key"]) & ends["word"].endswith(rows["_base"]), "left_semi")
-    return hit.drop("_base", "_key")
+    rows = asked.withColumn("_back", F.reverse(base)).filter(F.length("_back") >= 3)
+    hit = sorted_neighbour(rows, words.select(F.reverse("w").alias("_back")), "_back", name="_word")
+    return hit.filter(F.col("_word").startswith(F.col("_back"))).select(*asked.columns)
 
 
 def reconcile_schema(issues: DataFrame, schema: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -296,19 +287,24 @@ def missing_from_errors(errors: DataFrame, text: str = "problem") -> DataFrame:
 def route_errors(errors: DataFrame, added: DataFrame, artifacts: DataFrame) -> DataFrame:
     """routed(file, disposition) of errors(file, problem) given added(token) and artifacts(file).
 
-    Tokens end in ``__c``, so a token occurs in a message iff it ends a prefix of one of its
-    words that stops at ``__c``; that makes the substring test an equi-join.
+    Tokens end in ``__c``, so a token occurs in a message iff it ends a beginning of one of its
+    words that stops at ``__c``. Tokens that another one ends are left out, as that one occurs
+    wherever they do. Read from behind, a beginning then holds a token iff the last token that
+    sorts at or before it begins it, so one range sort of both answers for all of them.
     """
     rows = errors.select("file", F.lower("problem").alias("p")).distinct()
     prefixes = F.regexp_extract_all("p", F.lit(r"\w*__c"), F.lit(0))
     inner = F.flatten(F.transform(prefixes, lambda w: F.transform(
         F.filter(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, F.lit(3)) == "__c"),
         lambda i: F.substring(w, F.lit(1), i + 2))))
-    keys = rows.select("file", "p", F.explode(F.array_distinct(ends_of(inner))).alias("e")).select(
-        "file", "p", "e.key", "e.word")
-    tokens = added.select(F.lower("token").alias("token")).distinct().withColumn(
-        "key", F.right("token", F.least(F.length("token"), F.lit(SUFFIX_KEY))))
-    hit = keys.join(tokens, "key").filter(F.col("word").endswith(F.col("token"))).select("file", "p").distinct()
+    said = settled(rows.select("file", "p", F.explode(F.array_distinct(inner)).alias("word")), "said")
+    tokens = settled(added.select(F.lower("token").alias("token")).filter("token <> ''").distinct(), "tokens")
+    shorter = tokens.select("token", F.explode(F.expr("transform(sequence(1, length(token)), i -> substring(token, i + 1))")).alias("end"))
+    whole = tokens.join(shorter.join(tokens.select(F.col("token").alias("end")), "end").select("token").distinct(), "token", "left_anti")
+    asked = said.select(F.reverse("word").alias("back")).distinct()
+    found = sorted_neighbour(asked, whole.select(F.reverse("token").alias("back")), "back", after=False, name="token")
+    found = found.filter(F.col("back").startswith(F.col("token"))).select(F.reverse("back").alias("word"))
+    hit = said.join(found, "word", "left_semi").select("file", "p").distinct()
     state = rows.select("file", "p").join(hit.withColumn("ok", F.lit(True)), ["file", "p"], "left")
     per = state.groupBy("file").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("resolved"))
     known = artifacts.select("file").distinct().withColumn("_known", F.lit(True))
