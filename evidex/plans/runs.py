@@ -14,8 +14,10 @@ from evidex.plans.loads import RECORD_SQL, blocks_of
 from evidex.plans.registry import query
 from evidex.plans.schema import _cat
 from evidex.session import scratch
+from evidex.operators.scale import running, settled
 from evidex.sources import sinks
-from evidex.streaming import live
+from evidex.sources.eventlog import EventLog
+from evidex.streaming import live, stateful
 
 def micros(c):
     """Microseconds of a wall-clock time, whatever the session's time zone."""
@@ -347,7 +349,11 @@ def recipe_hash(t):
 
 FP_SQL = f"""
 own AS (SELECT DISTINCT l_orderkey AS target, 'P' || l_partkey AS c FROM lineitem),
-dep AS (SELECT DISTINCT l_orderkey AS target, 'P' || (l_partkey // 10) AS c FROM lineitem),
+dep AS (
+  WITH RECURSIVE down(target, k) AS (
+    SELECT DISTINCT l_orderkey, l_partkey // 10 FROM lineitem
+    UNION SELECT target, k // 10 FROM down JOIN part ON p_partkey = k)
+  SELECT target, 'P' || k AS c FROM down),
 it AS (SELECT target, c || ':' || md5(p_name) AS item FROM own JOIN part ON c = 'P' || p_partkey
   UNION ALL SELECT target, 'dep:' || c || ':' || coalesce(md5(p_name), '') FROM (SELECT * FROM dep EXCEPT SELECT * FROM own) LEFT JOIN part ON c = 'P' || p_partkey),
 dg AS (SELECT target, {digest_sql('count(*)', 'item')} AS d FROM it GROUP BY 1),
@@ -355,13 +361,12 @@ fp AS (SELECT o_orderkey AS target, md5('r1||' || o_orderkey || '|' || o_orderpr
 """
 
 
-def fingerprints(t, transitive: bool = False):
-    """Dependencies one level deep, as the SQL twin has them, or all that is reached."""
+def fingerprints(t):
+    """Over all levels of dependencies: a class needs that of a tenth of its number."""
     below = lambda k: _cat("P", F.floor(F.col(k) / 10).cast("string"))
     own = t.lineitem.select(F.col("l_orderkey").alias("target"), _cat("P", F.col("l_partkey").cast("string")).alias("class_name"))
     dep = t.lineitem.select(F.col("l_orderkey").alias("target"), below("l_partkey").alias("class_name"))
-    if transitive:
-        dep = V.transitive_deps(own, dep, t.part.select(_cat("P", F.col("p_partkey").cast("string")).alias("src"), below("p_partkey").alias("dst")))
+    dep = V.transitive_deps(own, dep, t.part.select(_cat("P", F.col("p_partkey").cast("string")).alias("src"), below("p_partkey").alias("dst")))
     hashes = t.part.select(_cat("P", F.col("p_partkey").cast("string")).alias("class_name"), F.md5("p_name").alias("hash"))
     plan = t.orders.select(F.col("o_orderkey").alias("target"), "o_orderpriority", "o_orderstatus")
     return V.target_fingerprint(plan, own, dep, hashes, F.lit("r1"), ["o_orderpriority", "o_orderstatus"])
@@ -378,7 +383,7 @@ REUSE_SQL = f"""
 
 
 def decided(t):
-    new = fingerprints(t, transitive=True)
+    new = fingerprints(t)
     k = F.col("target")
     state = new.filter(k % 17 != 0).select("target", F.when(k % 10 == 0, F.lit("old")).otherwise(F.col("fingerprint")).alias("fingerprint"),
                                            F.when(k % 7 != 3, F.lit("code")).alias("result"), F.when(k % 23 == 5, "r0").otherwise("r1").alias("recipe"), F.lit(1).alias("version"))
@@ -598,34 +603,57 @@ def run_ends(t):
     return ends.groupBy("run").agg(F.max("events").alias("events"), F.max("ended").alias("ended"))
 
 
-@query("idle_sessions", """
-WITH g AS (SELECT user_id AS run, epoch_us(ts) AS b, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 10000000, true) AS opens FROM events),
+# An hour behind the newest event, the stream's time; in whole milliseconds, as it is kept.
+TIME_SQL = """
+ev AS (SELECT user_id AS run, epoch_us(ts) AS a, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events),
+tm AS (SELECT max(a) // 1000 * 1000 - 3600000000 AS w FROM ev)
+"""
+
+
+@query("idle_sessions", f"""
+WITH {TIME_SQL}, g AS (SELECT user_id AS run, epoch_us(ts) AS b, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 10000000, true) AS opens FROM events),
 s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY run ORDER BY b) AS sid FROM g)
-SELECT run, min(b) AS start_us, max(b) AS last_us, count(*) AS n FROM s GROUP BY run, sid""")
+SELECT run, min(b) AS start_us, max(b) AS last_us, count(*) AS n FROM s, tm GROUP BY run, sid, w HAVING max(b) + 10000000 <= w""")
 def idle_sessions(t):
-    """All sessions: the stream is drained, then an end mark is sent, which closes those still open."""
+    """The sessions that the stream's time has closed; the others are still open when the stream stops."""
     out = scratch(t.spark, "stream")
-    ends = live.end_marks(t.spark, f"{out}/ends")
-
-    def drain():
-        e = event_stream(t).select("run", "ts").unionByName(ends)
-        s = live.idle_sessions(e, watermark="4000 days")
-        s.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(
-            availableNow=True).start(f"{out}/data").awaitTermination()
-
-    drain()
-    live.mark_end(t.spark, f"{out}/ends")
-    drain()
-    s = t.spark.read.parquet(f"{out}/data").filter("run is not null")
+    s = live.idle_sessions(event_stream(t).select("run", "ts"))
+    s.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(
+        availableNow=True).start(f"{out}/data").awaitTermination()
+    s = t.spark.read.parquet(f"{out}/data")
     return s.select("run", micros(F.col("start")).alias("start_us"), micros(F.col("last")).alias("last_us"), "n")
 
 
-def metered(t):
-    def start(data, ck):
-        calls_ = event_stream(t).select("run", F.col("event_id").alias("seq"), F.when(F.col("type") != "error", F.col("value")).alias("usd"))
-        return live.spend_log(calls_, data, ck)
+@query("live_beats", f"""
+WITH {TIME_SQL}, x AS (SELECT run, a, CASE WHEN b <= w AND b - a < 86400000000 THEN b END AS b, w FROM ev, tm WHERE a <= w),
+y AS (SELECT run, a AS start_us, b AS end_us, coalesce(b - a, least(w - a, 86400000000)) // 10000000 AS beats FROM x)
+SELECT * FROM y WHERE beats >= 1""")
+def live_beats(t):
+    """What the stream has said of each silence: its end, or how long it lasts so far; given up after a day."""
+    out = drained(t, lambda data, ck: stateful.live_beats(event_stream(t), data, ck, watermark="1 hour", give_up=86400))
+    said = t.spark.read.parquet(out).groupBy("run", "start").agg(F.max("end").alias("end"), F.max("beats").alias("beats"))
+    return said.select("run", micros(F.col("start")).alias("start_us"), micros(F.col("end")).alias("end_us"), "beats")
+
+
+def numbered(t):
+    """The events of each run numbered from 0, in files that hold them out of order."""
+    e = events(t)
+    rows = running(e, ["run"], F.floor(F.col("event_id") / 1000), [F.col("event_id")]).join(
+        e.groupBy("run").agg(F.max("event_id").alias("last")), "run")
+    return settled(rows.repartition(8, F.xxhash64("event_id")), "numbered")
+
 
-    return live.spend_meter(t.spark.read.parquet(drained(t, start)), 500, F.floor(F.col("seq") / 1000))
+def as_stream(rows, files):
+    """A table that was written as a stream of some files at a time."""
+    return live.event_source(rows.sparkSession, rows.inputFiles()[0].rsplit("/", 1)[0], rows.schema, files_per_trigger=files)
+
+
+def metered(t):
+    rows = numbered(t)
+    usd = F.when(F.col("type") != "error", F.col("value"))
+    calls_ = as_stream(rows, 3).select("run", "seq", usd.alias("usd"), (F.col("event_id") == F.col("last")).alias("ends"))
+    out = drained(t, lambda data, ck: stateful.live_spend_meter(calls_, 500, data, ck))
+    return t.spark.read.parquet(out).join(rows.select("run", "seq", "event_id"), ["run", "seq"]).drop("seq").withColumnRenamed("event_id", "seq")
 
 
 @query("live_spend_meter", f"WITH {SPEND_SQL} SELECT run, seq, sb::DOUBLE AS spent_before, sb < 500 AS admitted FROM sp")
@@ -638,13 +666,33 @@ def spend_latch(t):
     return live.latched_at(metered(t))
 
 
+@query("live_readers", """
+WITH n AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type AS type, props AS payload FROM events),
+e AS (SELECT run, min(seq) AS last FROM n WHERE type = 'error' GROUP BY run)
+SELECT reader, run, seq, type, payload FROM n JOIN e USING (run), (VALUES ('early'), ('late')) r(reader) WHERE seq <= last""")
+def live_readers(t):
+    """Two readers, four files at a time and eight, each up to the first error of every run that has one."""
+    rows = numbered(t)
+    runs = rows.filter("type = 'error'").select("run")
+    got = []
+    for name, files in (("early", 4), ("late", 8)):
+        out = scratch(t.spark, "reader")
+        source = lambda: as_stream(rows, files).withColumn("ends", F.col("type") == "error")  # noqa: B023, E731
+        stateful.follow(source, runs, f"{out}/data", f"{out}/checkpoint")
+        got.append(t.spark.read.parquet(f"{out}/data").select(F.lit(name).alias("reader"), "run", "seq", "type", "payload"))
+    return got[0].unionByName(got[1])
+
+
 # ── sinks, written and read back ──────────────────────────────────────────────
 
 @query("event_log_sink", "SELECT user_id AS run, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 40")
 def event_log_sink(t):
-    out = scratch(t.spark, "events")
-    sinks.append_events(events(t), out)
-    return H.tail_events(t.spark.read.parquet(out), 40).select("run", "event_id")
+    """Six saves, the last two of events that were saved before, merged as levels fill and cleared of old folders."""
+    log, e = EventLog(t.spark, scratch(t.spark, "events"), keep=40), events(t)
+    for k in (3, 0, 2, 1, 0, 3):
+        log.append(e.filter(F.col("event_id") % 4 == k))
+        log.vacuum()
+    return log.read().select("run", "event_id")
 
 
 @query("snapshot_sink", """

@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ from evidex.operators import retrieval as X
 from evidex.operators import usage as U
 from evidex.session import scratch
 from evidex.sources import sinks
-from evidex.streaming import live
+from evidex.sources.eventlog import EventLog
+from evidex.streaming import live, stateful
 
 
 def df(spark, schema, *rows):
@@ -170,7 +173,7 @@ def test_the_query_reuses_by_all_levels(spark):
             lineitem=df(spark, "l_orderkey bigint, l_partkey bigint", (1, 345), (2, 78)), orders=df(spark, "o_orderkey bigint, o_orderpriority string, o_orderstatus string", (1, "x", "F"), (2, "x", "F")),
             part=df(spark, "p_partkey bigint, p_name string", (345, "a"), (34, "b"), (3, name), (78, "d"), (7, "e")))
 
-    old, new = ({r["target"]: r["fingerprint"] for r in runs.fingerprints(tables(n), transitive=True).collect()} for n in ("c", "changed"))
+    old, new = ({r["target"]: r["fingerprint"] for r in runs.fingerprints(tables(n)).collect()} for n in ("c", "changed"))
     assert old[1] != new[1] and old[2] == new[2]
 
 
@@ -279,3 +282,144 @@ def test_run_ends_stream(spark, event_files):
     q.awaitTermination()
     got = {r["run"]: (r["events"], r["ended"]) for r in spark.table("ends").collect()}
     assert sum(n for n, _ in got.values()) == 300 and got["hot"] == (100, 1)
+
+
+def numbered_calls(spark, folder, files, rnd):
+    """Calls of six runs in files that hold them out of order; the run "hot" has a third of them."""
+    rows = []
+    for run, n in (("hot", 200), ("a", 90), ("b", 1), ("c", 150), ("d", 60), ("open", 99)):
+        for seq in range(n):
+            rows.append((run, seq, None if rnd.random() < 0.2 else rnd.randrange(0, 900) / 100, seq == n - 1 and run != "open", "x", f"{run}{seq}"))
+    rnd.shuffle(rows)
+    schema = "run string, seq int, usd double, ends boolean, type string, payload string"
+    for k in range(files):
+        df(spark, schema, *rows[k::files]).coalesce(1).write.mode("append").parquet(folder)
+    return rows, spark.read.parquet(folder).schema
+
+
+def test_live_spend_meter_latches_in_any_order_of_arrival(spark, tmp_path):
+    rows, schema = numbered_calls(spark, f"{tmp_path}/in", 6, random.Random(7))
+    calls = live.event_source(spark, f"{tmp_path}/in", schema, files_per_trigger=1)
+    before = spark.conf.get(stateful.PROVIDER, None)
+    stateful.live_spend_meter(calls, 300, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    assert spark.conf.get(stateful.PROVIDER, None) == before
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    spent, want = Counter(), {}
+    for run, seq, usd, *_ in sorted(rows):
+        want[run, seq] = (round(spent[run] / 100, 2), spent[run] < 30_000)
+        spent[run] += round((usd or 0) * 100)
+    assert {(r["run"], r["seq"]): (float(r["spent_before"]), r["admitted"]) for r in got} == want and len(got) == len(rows)
+    assert {r["run"] for r in got if not r["admitted"]} >= {"hot", "c"}
+    # State of the ended runs is gone: only the open run still has a place.
+    state = spark.read.format("statestore").option("path", f"{tmp_path}/ck").option("stateVarName", "place").load()
+    assert [r["key"]["run"] for r in state.select("key").collect()] == ["open"]
+    late = spark.read.format("statestore").option("path", f"{tmp_path}/ck").option("stateVarName", "early").load()
+    assert late.count() == 0
+
+
+def test_readers_with_different_starts_end_by_themselves(spark, tmp_path):
+    folder, parts = f"{tmp_path}/in", []
+    rows, schema = numbered_calls(spark, f"{tmp_path}/all", 1, random.Random(3))
+    rows = [r for r in rows if r[0] != "open"]
+    after = [("a", seq, None, False, "x", f"late{seq}") for seq in range(90, 95)]  # behind the end
+    for k in range(4):
+        parts.append(spark.createDataFrame(rows[k::4] + (after if k == 1 else []), schema).coalesce(1))
+    runs = df(spark, "run string", *[(r,) for r in {r[0] for r in rows}])
+    source = lambda files: lambda: live.event_source(spark, folder, schema, files_per_trigger=files)
+    parts[0].write.parquet(folder)
+    with ThreadPoolExecutor(2) as pool:
+        early = pool.submit(stateful.follow, source(1), runs, f"{tmp_path}/early", f"{tmp_path}/ck1", 0.5, 240)
+        time.sleep(3)
+        assert not early.done()
+        for p in parts[1:3]:
+            p.write.mode("append").parquet(folder)
+        late = pool.submit(stateful.follow, source(5), runs, f"{tmp_path}/late", f"{tmp_path}/ck2", 0.5, 240)
+        parts[3].write.mode("append").parquet(folder)
+        assert early.result() and late.result()
+    read = lambda name: sorted((r["run"], r["seq"], r["payload"]) for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+    assert read("early") == read("late") == sorted((r[0], r[1], r[5]) for r in rows)
+    assert stateful.follow(source(5), df(spark, "run string", ("never",)), f"{tmp_path}/none", f"{tmp_path}/ck3", 0.1, 0) is False
+
+
+def test_beats_of_a_run_that_never_speaks_again(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    gone, slow, lively = [("gone", at(0)), ("gone", at(4))], [("slow", at(3)), ("slow", at(48))], [("lively", at(s)) for s in range(0, 400, 5)]
+    batches = [gone + slow[:1] + lively[:8], slow[1:] + lively[8:20], lively[20:50], lively[50:]]
+    folder, schema, sizes = f"{tmp_path}/in", "run string, ts timestamp", []
+    for rows in batches:
+        random.Random(len(rows)).shuffle(rows)
+        df(spark, schema, *rows).coalesce(1).write.mode("append").parquet(folder)
+        events = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        stateful.live_beats(events, f"{tmp_path}/out", f"{tmp_path}/ck", beat=10, watermark="20 seconds", give_up=120).awaitTermination()
+        state = spark.read.format("statestore").option("path", f"{tmp_path}/ck").option("stateVarName", "said").load()
+        sizes.append({r["key"]["run"] for r in state.select("key").collect()})
+    said = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert [r["beats"] for r in sorted((r for r in said if r["run"] == "gone"), key=lambda r: r["beats"])][-1] == 12
+    assert all(r["end"] is None and r["start"] == at(4) for r in said if r["run"] == "gone")
+    assert len([r for r in said if r["run"] == "gone"]) > 1, "beats come while the run is silent"
+    closed = [(r["run"], r["beats"], r["end"]) for r in said if r["end"] is not None]
+    assert closed == [("slow", 4, at(48))]
+    assert not [r for r in said if r["run"] == "lively"]
+    assert "gone" in sizes[1] and sizes[-1] == {"lively"}
+
+
+def test_event_log_stays_bounded_and_reads_whole_versions(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path / "log"), keep=20, fan=3)
+    schema = "run string, event_id bigint, ts timestamp, state string"
+    want, held = {}, []
+    with pytest.raises(ValueError):
+        log.read()
+    for save in range(14):
+        rows = [(run, save * 10 + k, T0 + dt.timedelta(seconds=save * 10 + k), f"s{save}") for run in ("a", "b") for k in range(10)]
+        if save:  # events of the save before are saved again
+            rows += [(run, save * 10 - 1, T0 + dt.timedelta(seconds=save * 10 - 1), f"again{save}") for run in ("a", "b")]
+        want.update({(r[0], r[1]): r for r in rows})
+        before, files = log.versions(), log.folders() if save else []
+        reader = log.read() if save else None
+        log.append(df(spark, schema, *rows).coalesce(1))
+        if reader is not None:  # merged meanwhile, its version is still whole
+            assert reader.count() == min(save * 20, 40)
+        log.vacuum(len(log.versions()) - len(before) + 1)
+        held.append(sum(1 for _ in (tmp_path / "log" / "data").iterdir()))
+        newest = sorted(want.values(), key=lambda r: (r[0], -r[1]))
+        newest = [r for run in ("a", "b") for r in [x for x in newest if x[0] == run][:20]]
+        assert sorted(map(tuple, log.read().select("run", "event_id", "ts", "state").collect())) == sorted(newest)
+    assert max(held[6:]) <= 9 and max(len(log.folders()), 1) <= 6
+    stored = spark.read.parquet(*[f"{tmp_path}/log/{n}" for _, n in log.folders()]).count()
+    assert stored <= 40 * 3 + 2 * 22 * 3
+    assert log._fs.createNewFile(log._place(f"claims/v{log.versions()[-1] + 1:012d}"))
+    with pytest.raises(RuntimeError):
+        log.append(df(spark, schema, ("a", 999, T0, "x")))
+    log.recover()
+    log.append(df(spark, schema, ("a", 999, T0, "x")))
+
+
+def test_topk_scores_few_pairs_and_finds_ties(spark):
+    rnd = random.Random(9)
+    rare, common = [f"r{i}" for i in range(400)], [f"c{i}" for i in range(6)]
+    chunks = [(i, "h", " ".join(rnd.choices(common, k=12) + rnd.choices(rare, k=3))) for i in range(1500)]
+    chunks += [(2000 + i, "h", "r1 r2 c0") for i in range(60)]  # ties, in chunk order
+    queries = [(q, " ".join(rnd.choices(rare, k=2) + common)) for q in range(25)] + [(90, "r1 r2 c0"), (91, "c0 c1"), (92, "nothing here"), (93, "")]
+    cdf = df(spark, "chunk_id long, heading string, body string", *chunks).repartition(4)
+    qdf = df(spark, "query_id long, text string", *queries)
+    tok = lambda s: [w for w in re.findall("[a-z0-9]+", s.lower()) if len(w) > 1 and w not in X.R.SEARCH_STOP_WORDS]
+    tf = {c: Counter(tok(h + " " + b)) for c, h, b in chunks}
+    dfs = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log((len(chunks) + 1) / (n + 1)) + 1 for t, n in dfs.items()}
+    norm = {c: math.sqrt(sum((n * idf[t]) ** 2 for t, n in x.items())) for c, x in tf.items()}
+    want, meeting = {}, 0
+    for q, text in queries:
+        w = {t: n * idf[t] for t, n in Counter(tok(text)).items() if t in idf}
+        qn = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        score = {c: round(sum(v * tf[c][t] * idf[t] for t, v in w.items() if t in tf[c]) / (qn * norm[c]), 9) for c in tf}
+        score = {c: s for c, s in score.items() if s > 0}
+        meeting += len(score)
+        if score:
+            want[q] = sorted(score, key=lambda c: (-score[c], c))[:3]
+    got: dict = {}
+    for r in X.tfidf_topk(qdf, cdf).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == want
+    impacts, blocks, table = X.impact_index(cdf, 3)
+    scored = X.topk_candidates(X.query_weights(qdf, table), impacts, blocks, 3).count()
+    assert scored * 10 < meeting, (scored, meeting)
