@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import chunks
+from evidex.llm.common import chunks, ends
 from evidex.llm.pieces import Pieces
 
 SEQUENCE = 2048
@@ -20,18 +21,51 @@ END = 1
 GROUP = 4_000_000
 #: Cost of n tokens that attend to each other: LINEAR * n + QUADRATIC * n^2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-_PIECES: dict[str, Pieces] = {}
+_TOKENIZERS: dict[str, Ids] = {}
 
 
-def _pieces(path: str) -> Pieces:
-    """Ids by the tokenizer file, asked once for each distinct piece of text."""
-    if path not in _PIECES:
+class Ids:
+    """Ids by the tokenizer file, asked once for each distinct piece of text.
+
+    The strings of the file's added tokens are cut out of a text first, the longest where several
+    begin at one place, and stand for their own ids; what is between them is split into pieces.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _PIECES[path] = Pieces(lambda found: [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([p.decode() for p in found], add_special_tokens=False)])
-    return _PIECES[path]
+        self.pieces = Pieces(lambda found: [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([p.decode() for p in found], add_special_tokens=False)])
+        self.added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.mark = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where those of each text begin and the total)."""
+        marked = [k for k, t in enumerate(texts) if self.mark and self.mark.search(t)]
+        if not marked:
+            return self.pieces.ids(texts)
+        parts, owner, said = [], [], []
+        for k, text in enumerate(texts):
+            at = 0
+            for m in self.mark.finditer(text):
+                parts.append(text[at:m.start()])
+                said.append(self.added[m.group()])
+                owner.append(k)
+                at = m.end()
+            parts.append(text[at:])
+            said.append(-1)
+            owner.append(k)
+        found, bound = self.pieces.ids(parts)
+        out = [x for p, i in enumerate(said) for x in (found[bound[p]:bound[p + 1]], [i] if i >= 0 else [])]
+        length = np.diff(bound) + (np.array(said) >= 0)
+        return np.concatenate(out).astype(np.int32), ends(np.bincount(owner, weights=length, minlength=len(texts)).astype(np.int64))
+
+
+def _ids(path: str) -> Ids:
+    """The tables of a tokenizer, made once in each Python worker."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Ids(path)
+    return _TOKENIZERS[path]
 
 
 def balance(lengths: np.ndarray, capacity: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
@@ -96,7 +130,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     Gives (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids), a row per
     piece; ids only with ``with_ids``. Each task packs ``group`` tokens at a time, so there is
     no shuffle and memory is bounded; a sequence number is made of the task and a counter, so
-    a repeated task gives the same rows. Null and empty texts are the end id alone; rows with
+    a repeated task gives the same rows. Ids are those of the library without special tokens put
+    in, so the string of an added token in a text is its one id. Null and empty texts are the end id alone; rows with
     a null or repeated id are packed each by itself; other columns are not read; an empty
     table gives no rows.
     """
@@ -112,7 +147,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=_SCHEMA), first + int(seq.max()) + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(path)
+        pieces = _ids(path)
         number = TaskContext.get().partitionId() << 40
         held: list[tuple[int | None, np.ndarray, int, int]] = []
         size = 0

@@ -119,6 +119,18 @@ def test_packed_pieces_are_the_tokenizers(odd, group):
         assert sum(n for _, n in runs) <= packing.SEQUENCE
 
 
+def test_added_tokens_are_their_own_ids(spark):
+    tokenizer, mark, r = Tokenizer.from_file(JSON), "<|endoftext|>", random.Random(4)
+    texts = ["hi " + mark + " yo", mark, mark * 3, mark + "\n", "<|endoftext|", "<|end" + mark + "oftext|>", ("some words, " * 60_000) + mark + " end", "no mark", "", None]
+    texts += ["".join(r.choice([mark, "<|", "|>", " ", "\n", "a b", "It's", "é ", "endoftext"]) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = defaultdict(list)
+    for row in packing.pack(docs, JSON).collect():
+        got[row.doc_id].append((row.start, row.ids))
+    for k, text in enumerate(texts):
+        assert [i for _, ids in sorted(got[k]) for i in ids] == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], text
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables not present")
 def test_queries(spark):
     from evidex.llm.queries import QUERIES
