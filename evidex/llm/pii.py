@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm.common import chunks, codepoints, ends, run_hash
+from evidex.llm.common import CHUNK, codepoints, ends, run_hash
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -315,15 +315,64 @@ def all_spans(base: list[Span], extra: list[Span]) -> list[Span]:
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+#: Characters that a part of a long line takes from the parts beside it.
+MARGIN = 4096
+_BLANK = re.compile(r"\s")
+
+
+def parts_of(text: str, limit: int = CHUNK) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, first, last) of parts of about ``limit`` characters; spans that begin from
+    ``first`` to before ``last`` are the part's own.
+
+    A text is cut at line ends, which neither features nor decoding cross. A line beyond the
+    limit is cut at blanks, and its parts overlap by MARGIN characters and more up to a blank on
+    either side, so a span at a cut is decoded with its neighbours on both sides.
+    """
+    at = 0
+    while len(text) - at > limit:
+        line = text.rfind("\n", at, at + limit) + 1
+        if line > at:
+            yield at, line, at, line
+            at = line
+            continue
+        stop = text.find("\n", at + limit) + 1 or len(text)
+        low = first = at
+        while stop - first > limit + 2 * MARGIN and (cut := _BLANK.search(text, first + limit, stop)):
+            high = _BLANK.search(text, min(stop, cut.end() + MARGIN), stop)
+            yield low, high.end() if high else stop, first, cut.end()
+            first = cut.end()
+            low = next((k for k in range(max(at, first - MARGIN), at, -1) if text[k - 1].isspace()), at)
+        yield low, stop, first, stop
+        at = stop
+    if at < len(text) or not at:
+        yield at, len(text), at, len(text)
+
+
+def _field(texts: Sequence[str | None], model: tuple[np.ndarray, np.ndarray]) -> list[list[Span]]:
+    """The field's spans of each whole text, its parts about CHUNK characters at a time."""
+    out: list[list[Span]] = [[] for _ in texts]
+    held: list[tuple[int, int, int, int, str]] = []
+
+    def flush() -> None:
+        for (row, start, first, last, _), spans in zip(held, field_spans([h[4] for h in held], model), strict=True):
+            out[row] += [(kind, a + start, b + start) for kind, a, b in spans if first <= a + start < last]
+        held.clear()
+
+    size = 0
+    for row, text in enumerate(texts):
+        for start, end, first, last in parts_of(text or ""):
+            held.append((row, start, first, last, (text or "")[start:end]))
+            size += end - start + 64
+            if size >= CHUNK:
+                flush()
+                size = 0
+    flush()
+    return out
+
+
 def find(texts: Sequence[str | None], model: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
-    extra: list[list[Span]] = [[] for _ in texts]
-    done = [0] * len(texts)
-    for rows, parts in chunks(texts):
-        for row, part, spans in zip(rows, parts, field_spans(parts, model), strict=True):
-            extra[row] += [(kind, a + done[row], b + done[row]) for kind, a, b in spans]
-            done[row] += len(part)
-    for text, more in zip(texts, extra, strict=True):
+    for text, more in zip(texts, _field(texts, model), strict=True):
         base = base_spans(text or "")
         yield base, all_spans(base, more)
 

@@ -107,6 +107,33 @@ def test_personal_data_of_odd_rows(odd, none, model):
     assert pii.redacted("ab 12 cd", [("card", 3, 5), ("phone", 4, 6)]) == "ab [CARD]cd"
 
 
+def test_spans_at_every_cut_are_found(model):
+    found = "x bora at lune dot com y"
+    hit = [s for s in pii.field_spans([found], model)[0] if s[0] == "email"]
+    assert hit
+    words = "la lune verte " * 60_000
+    for text in (words, words.replace(" verte la", "\nverte la")):
+        for shift in range(0, 60, 3):
+            for at in (pii.CHUNK, pii.CHUNK + pii.MARGIN):
+                cut = text.rfind(" ", 0, at - shift) + 1
+                whole = text[:cut] + found + " " + text[cut:]
+                kind, a, b = hit[0]
+                assert (kind, cut + a, cut + b) in pii._field([whole], model)[0], (shift, at)
+
+
+def test_parts_own_every_character_once():
+    texts = ["", "a", "x" * 50_000, "a b " * 20_000, ("a b " * 300 + "\n") * 40, "word\n" * 9000 + "y z " * 9000 + "\n" + "q" * 30_000 + " end"]
+    for text in texts:
+        parts = list(pii.parts_of(text, 10_000))
+        at = 0
+        for start, end, first, last in parts:
+            assert start <= first == at <= last <= end
+            assert start == 0 or text[start - 1].isspace()
+            assert end == len(text) or text[end - 1].isspace()
+            at = last
+        assert at == len(text)
+
+
 def brute_neighbours(rows, queries, k):
     out = {}
     for q in queries:
@@ -146,6 +173,36 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.search(df.filter("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def vectors_of(kind, r, n=3000, d=12):
+    if kind == "one":
+        base = r.normal(size=d)
+        return np.where(r.random((n, 1)) < 0.8, base, r.normal(size=(n, d)))
+    sizes = np.full(30, 1 / 30) if kind == "clusters" else 1 / np.arange(1, 31) / (1 / np.arange(1, 31)).sum()
+    centres = r.normal(size=(30, d)) * 4
+    return centres[r.choice(30, n, p=sizes)] + r.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("kind", ["clusters", "zipf", "one"])
+def test_recall_of_each_query(spark, kind):
+    r = np.random.default_rng(8)
+    rows = {k: v.tolist() for k, v in enumerate(vectors_of(kind, r))}
+    df = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>").repartition(4).withColumn("tree", F.lit(1)).withColumn("v", F.lit(2))
+    want = brute_neighbours(rows, [k for k in rows if k % 20 == 0], 20)
+    got: dict = {}
+    for x in neighbours.search(df, F.col("vec_id") % 20 == 0, leaf=128, sample=600, leaf_rows=50, leaf_queries=20).collect():
+        got.setdefault(x.query_id, {})[x["rank"]] = x.vec_id
+    assert set(got) == set(want) and all(sorted(v) == list(range(1, 21)) for v in got.values())
+    share = [len(set(want[q]) & set(got[q].values())) / 20 for q in want]
+    assert np.mean(share) >= 0.9 and np.mean(np.array(share) < 0.9) <= 0.1
+
+
+def test_a_repeated_id_counts_by_its_least_vector(spark):
+    rows = [(0, [1.0, 0.0]), (20, [5.0, 1.0]), (20, [-5.0, 1.0]), (20, [5.0, 1.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in neighbours.search(df, F.col("vec_id") % 20 == 0).collect()}
+    assert got == {(0, 1): (1, 0.5), (0, 2): (2, -1.0), (0, 3): (20, -5.0), (20, 1): (2, 5.0), (20, 2): (1, -2.0), (20, 3): (0, -5.0)}
+
+
 CALLS = "conv_id bigint, call_id string, tool string, arguments string, after array<string>, content string"
 RESULTS = "conv_id bigint, call_id string, seq bigint, content string, tool string"
 TOOLS = "tool string, param string, type string, required boolean, minimum double"
