@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions import rules as R
-from evidex.operators.scale import global_rank, running
+from evidex.operators.scale import global_rank, running, split_join
 
 
-def event_sequence(events: DataFrame, slot: str = "day", run: str = "run", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def event_sequence(events: DataFrame, run: str = "run", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Add seq (0-based per run) and elapsed seconds since the run's first event.
 
-    A run is numbered slot by slot of time, so a run with a third of all events is spread
-    over as many tasks as it has slots.
+    A run with most of the events, even on one day, is spread by count.
     """
-    out = running(events, [run], F.date_trunc(slot, F.col(ts)), [F.col(ts), F.col(tie)])
+    out = running(events, [run], [F.col(ts), F.col(tie)])
     start = events.groupBy(run).agg(F.min(ts).alias("_t0"))
     secs = F.timestamp_diff("MICROSECOND", F.col("_t0"), F.col(ts)) / F.lit(1e6)
-    return out.join(start, run).withColumn("elapsed", F.bround(secs, 2)).drop("_t0")
+    return split_join(out, start, run, "inner").withColumn("elapsed", F.bround(secs, 2)).drop("_t0")
 
 
 def latest_result(events: DataFrame, end_type: str = "run_complete", run: str = "run", ts: str = "ts",
@@ -48,10 +47,9 @@ def history_page(runs: DataFrame, limit: int, owner=None, tie: str = "run") -> D
     return page.orderBy(F.desc("started"), F.desc(tie)).limit(limit).drop("summary_status", "summary_error")
 
 
-def tail_events(events: DataFrame, n: int = R.EVENT_TAIL, slot: str = "day", run: str = "run", ts: str = "ts",
-                tie: str = "event_id") -> DataFrame:
-    """The newest n events per run, counted from the newest time slot back."""
-    out = running(events, [run], F.date_trunc(slot, F.col(ts)), [F.desc(ts), F.desc(tie)], seq="_back", descending=True)
+def tail_events(events: DataFrame, n: int = R.EVENT_TAIL, run: str = "run", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The newest n events per run, counted from the newest back."""
+    out = running(events, [run], [F.desc(ts), F.desc(tie)], seq="_back")
     return out.filter(F.col("_back") < n).drop("_back")
 
 

@@ -1,8 +1,8 @@
 """Building blocks that keep hot keys from landing in one task.
 
 * ``global_rank`` numbers a whole table without a single-partition window.
-* ``running`` gives per-key positions and prefix sums in two levels, so that one key may
-  hold any share of the rows.
+* ``running`` gives per-key positions and prefix sums over runs of neighbouring rows, so that one
+  key may hold any share of the rows.
 * ``digest`` identifies a set of rows of any size with constant state.
 """
 
@@ -27,6 +27,16 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` sorted by range and written once, with the file of each row (``_part``, in order) and its index there."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "rank")
+    df.orderBy(*order).write.parquet(path)
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    part = F.concat_ws("-", *[F.lpad(F.regexp_extract(file, p, 1), 10, "0")
+                              for p in (r"^part-(\d+)", r"-c(\d+)\.")])
+    return spark.read.schema(df.schema).parquet(path).select("*", part.alias("_part"), row.alias("_row"))
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Number all rows 1..n in ``order`` (which must be total).
 
@@ -34,12 +44,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     its index in its file plus the rows of the files before. The offset table has one row per
     file, so broadcasting it is bounded by the number of partitions, not by the data.
     """
-    spark, path = df.sparkSession, scratch(df.sparkSession, "rank")
-    df.orderBy(*order).write.parquet(path)
-    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
-    part = F.concat_ws("-", *[F.lpad(F.regexp_extract(file, p, 1), 10, "0")
-                              for p in (r"^part-(\d+)", r"-c(\d+)\.")])
-    rows = spark.read.schema(df.schema).parquet(path).select("*", part.alias("_part"), row.alias("_row"))
+    rows = in_files(df, order)
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -80,37 +85,44 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
-def running(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
-            seq: str = "seq", value: Column | None = None, before: str = "before",
-            descending: bool = False) -> DataFrame:
-    """0-based position and, with ``value``, the exclusive prefix sum, per key.
+#: Neighbouring rows that one window takes.
+CHUNK = 100_000
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], seq: str = "seq", value: Column | None = None,
+            before: str = "before", chunk: int = CHUNK) -> DataFrame:
+    """0-based position and, with ``value``, the exclusive prefix sum, per key in ``order`` (which must be total).
 
-    ``bucket`` must grow with ``order`` (a time slot, an id range). Rows are windowed per
-    (key, bucket) only; the totals per bucket are windowed per key and joined back, so no
-    task sees more than one bucket of a key. Nulls in ``value`` count as zero.
+    Rows are sorted by range over key and order, so a key with most of the rows is spread by count,
+    however they lie in time. Windows run over the rows of a key among ``chunk`` neighbours. Only
+    the first key of a chunk has rows before it, in chunks whose last key it is: their totals,
+    one row per chunk, are summed in order and joined by chunk. Nulls in ``value`` count as zero.
     """
     keys = list(keys)
-    amount = F.coalesce(value, F.lit(0)) if value is not None else F.lit(0)
-    base = df.withColumn("_bucket", bucket)
-    near = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    past = near.rowsBetween(Window.unboundedPreceding, -1)
-    inner = base.withColumn("_pos", F.row_number().over(near) - 1)
+    ident = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("k"))
+    base = df.withColumn("_amt", F.coalesce(value, F.lit(0)) if value is not None else F.lit(0))
+    rows = in_files(base, [*[F.asc(k) for k in keys], *order])
+    rows = rows.withColumn("_chunk", F.struct("_part", F.floor(F.col("_row") / chunk).alias("_n")))
+    near = Window.partitionBy(*keys, "_chunk").orderBy("_row")
+    inner = rows.withColumn("_pos", F.row_number().over(near) - 1)
     if value is not None:
-        inner = inner.withColumn("_sum", F.coalesce(F.sum(amount).over(past), F.lit(0)))
-    totals = base.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_cnt"), F.sum(amount).alias("_amt"))
-    slot = F.desc("_bucket") if descending else F.asc("_bucket")
-    far = Window.partitionBy(*keys).orderBy(slot) if keys else Window.orderBy(slot)
-    far = far.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_bucket",
-        F.coalesce(F.sum("_cnt").over(far), F.lit(0)).alias("_cnt0"),
-        F.coalesce(F.sum("_amt").over(far), F.lit(0)).alias("_amt0"))
-    out = inner.join(offsets, [*keys, "_bucket"]).withColumn(
-        seq, (F.col("_pos") + F.col("_cnt0")).cast("bigint"))
+        inner = inner.withColumn("_sum", F.coalesce(F.sum("_amt").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = rows.groupBy(ident.alias("_k"), "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.sum("_amt").alias("_s"), F.min("_row").alias("_at"))
+    edges = settled(parts.groupBy("_chunk").agg(F.min_by("_k", "_at").alias("_first"), F.max_by(F.struct("_k", "_n", "_s"), "_at").alias("_last")), "chunks")
+    none = F.lit(None)
+    marks = edges.select(F.col("_first").alias("_k"), "_chunk", F.lit(0).alias("_t"), none.cast(edges.select("_last._n").dtypes[0][1]).alias("_n"),
+                         none.cast(edges.select("_last._s").dtypes[0][1]).alias("_s")).unionByName(
+        edges.select("_last._k", "_chunk", F.lit(1).alias("_t"), "_last._n", "_last._s"))
+    past = Window.partitionBy("_k").orderBy("_chunk", "_t").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(F.col("_k").alias("_first"), "_chunk", "_t", F.sum("_n").over(past).alias("_cnt0"), F.sum("_s").over(past).alias("_amt0"))
+    out = inner.join(carried.filter("_t = 0 and _cnt0 is not null").drop("_t"), "_chunk", "left")
+    own = ident.eqNullSafe(F.col("_first"))
+    out = out.withColumn(seq, (F.col("_pos") + F.when(own, F.col("_cnt0")).otherwise(0)).cast("bigint"))
+    made = [seq]
     if value is not None:
-        out = out.withColumn(before, F.col("_sum") + F.col("_amt0"))
-    return out.drop("_bucket", "_pos", "_sum", "_cnt0", "_amt0")
+        out = out.withColumn(before, F.col("_sum") + F.when(own, F.col("_amt0")).otherwise(F.lit(0)))
+        made.append(before)
+    return out.select(*[c for c in df.columns if c not in made], *made)
 
 
 HOT_SHARE, SALTS = 10_000, 32

@@ -150,15 +150,13 @@ def forecast_totals(sizes: DataFrame, stages: DataFrame, keys: Sequence[str], ra
         (F.lit(None).cast("boolean") if cap <= 0 else ((low <= c) & (c < high))).alias("may_exceed"), verdict.alias("budget"))
 
 
-def cap_cutoff(calls: DataFrame, cap: float, bucket: Column, run: str = "run", seq: str = "seq",
-               usd: str = "usd") -> DataFrame:
+def cap_cutoff(calls: DataFrame, cap: float, run: str = "run", seq: str = "seq", usd: str = "usd") -> DataFrame:
     """Add spent_before and admitted: a call runs while the spend before it is under the cap.
 
-    ``bucket`` grows with ``seq``; a run's calls are summed bucket by bucket, so one run may
-    hold any share of them. Unpriced calls add nothing.
+    One run may hold any share of the calls. Unpriced calls add nothing.
     """
     amount = F.col(usd).cast("decimal(18,6)")
-    out = running(calls, [run], bucket, [F.col(seq)], seq="_n", value=amount, before="spent_before").drop("_n")
+    out = running(calls, [run], [F.col(seq)], seq="_n", value=amount, before="spent_before").drop("_n")
     return out.withColumn("admitted", F.col("spent_before") < F.lit(str(cap)).cast("decimal(18,6)"))
 
 

@@ -158,7 +158,7 @@ sp AS (SELECT user_id AS run, event_id AS seq, CASE WHEN event_type <> 'error' T
 
 @query("cap_cutoff", f"WITH {SPEND_SQL} SELECT run, seq, usd, sb::DOUBLE AS spent_before, sb < 500 AS admitted FROM sp")
 def cap_cutoff(t):
-    c = U.cap_cutoff(spend_calls(t), 500, F.floor(F.col("seq") / 1000))
+    c = U.cap_cutoff(spend_calls(t), 500)
     return c.withColumn("spent_before", F.col("spent_before").cast("double"))
 
 
@@ -638,7 +638,7 @@ def live_beats(t):
 def numbered(t):
     """The events of each run numbered from 0, in files that hold them out of order."""
     e = events(t)
-    rows = running(e, ["run"], F.floor(F.col("event_id") / 1000), [F.col("event_id")]).join(
+    rows = running(e, ["run"], [F.col("event_id")]).join(
         e.groupBy("run").agg(F.max("event_id").alias("last")), "run")
     return settled(rows.repartition(8, F.xxhash64("event_id")), "numbered")
 
@@ -717,7 +717,7 @@ def write_object_csv(t):
     """Every object is written and read back; its file and line travel as two more columns."""
     out = scratch(t.spark, "csv")
     b = blocks_of(t)
-    rec = I.load_records(b).withColumn("row_no", F.concat_ws(":", "file", "line_no"))
+    rec = I.load_records(b).withColumn("row_no", F.struct("file", "line_no"))
     place = rec.select("object", "row_no", F.explode(F.map_from_arrays(F.array(F.lit("file"), F.lit("line")), F.array("file", F.col("line_no").cast("string")))).alias("header", "value")).distinct()
     heads = I.load_headers(b)
     more = heads.select("object").distinct().select("object", F.explode(F.array(F.lit("file"), F.lit("line"))).alias("header")).withColumn("ord", F.lit(10**6).cast("bigint"))

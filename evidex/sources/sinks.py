@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidex.operators.scale import in_files
 
 def write_object_csv(records: DataFrame, headers: DataFrame, out: str) -> None:
     """One CSV folder per object, each row with the object's headers in first-seen order.
 
     ``records(object, row_no, header, value)``, ``headers(object, header, ord)``. One job for
     all objects: a row gathers its own cells, puts them in the order of its object's header list
-    and is written as a line under ``object=...``; every file starts with its header line. Of
-    several values of one header in a row the last by value counts. Cells are quoted where CSV needs it.
+    and is written as a line under ``object=...``; every file starts with its header line. Rows
+    are in the order of ``row_no`` within a file and from file to file by name. Of several values
+    of one header in a row the last by ``pos`` counts, where records have that column, else the
+    last by value. Cells are quoted where CSV needs it.
     """
+    place = F.col("pos") if "pos" in records.columns else F.lit(None).cast("bigint")
     lists = headers.groupBy("object").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "header"))), lambda h: h["header"]).alias("names"))
-    rows = records.groupBy("object", "row_no").agg(F.collect_list(F.struct("header", "value")).alias("cells"))
+    rows = records.groupBy("object", "row_no").agg(F.collect_list(F.struct("header", place.alias("pos"), "value")).alias("cells"))
     given = F.map_from_entries(F.transform(F.array_distinct(F.transform("cells", lambda c: c["header"])), lambda h: F.struct(
-        h.alias("key"), F.array_max(F.transform(F.filter("cells", lambda c: c["header"] == h), lambda c: c["value"])).alias("value"))))
+        h.alias("key"), F.array_max(F.transform(F.filter("cells", lambda c: c["header"] == h), lambda c: F.struct(
+            c["pos"].alias("pos"), c["value"].alias("value"))))["value"].alias("value"))))
     wide = rows.withColumn("given", given).join(lists, "object")
 
     def quoted(v: Column) -> Column:
@@ -25,22 +30,20 @@ def write_object_csv(records: DataFrame, headers: DataFrame, out: str) -> None:
 
     line = F.array_join(F.transform("names", lambda n: quoted(F.coalesce(F.try_element_at("given", n), F.lit("")))), ",")
     head = F.array_join(F.transform("names", quoted), ",")
-    body = wide.select("object", line.alias("value"), head.alias("head"))
-    # A file is one object's rows of one task, sorted by object; its first row brings the header line.
-    _write_lines(body, out)
+    _write_lines(wide.select("object", "row_no", line.alias("value"), head.alias("head")), out)
 
 
 def _write_lines(body: DataFrame, out: str) -> None:
-    """Write (object, value, head) as text below ``object=``, the header first in each file.
+    """Write (object, row_no, value, head) as text below ``object=``, the header first in each file.
 
-    Rows are dealt by object and a salt, so a large object is many files and no task holds it whole.
+    Rows are sorted by range over object and row, so a large object is many files, each a part of
+    its rows in order, and no task holds it whole.
     """
-    spark = body.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = body.withColumn("part", F.pmod(F.xxhash64("object", "value"), F.lit(n)).cast("int"))
-    heads = dealt.select("object", "part", "head").distinct().select("object", "part", F.lit(0).alias("ord"), F.col("head").alias("value"))
-    rows = dealt.select("object", "part", F.lit(1).alias("ord"), "value").unionByName(heads)
-    rows = rows.repartition(n, "object", "part").sortWithinPartitions("object", "part", "ord")
+    rows = in_files(body, [F.col("object"), F.col("row_no")])
+    rows = rows.select("object", F.col("_part").alias("part"), F.col("_row").alias("ord"), "value", "head")
+    heads = rows.select("object", "part", "head").distinct().select("object", "part", F.lit(-1).cast("bigint").alias("ord"), F.col("head").alias("value"))
+    n = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.drop("head").unionByName(heads).repartition(n, "object", "part").sortWithinPartitions("object", "part", "ord")
     rows.select("object", "part", "value").write.mode("overwrite").partitionBy("object", "part").text(out)
 
 

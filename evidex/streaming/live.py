@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -67,14 +67,15 @@ def spend_log(calls: DataFrame, out: str, checkpoint: str, trigger: dict | None
     return w.trigger(**(trigger or {"availableNow": True})).start(out)
 
 
-def spend_meter(calls: DataFrame, cap: float, bucket: Column) -> DataFrame:
+def spend_meter(calls: DataFrame, cap: float) -> DataFrame:
     """Every call with its spend before it, by ``seq``, and whether it was admitted under the cap.
 
     ``calls`` is the log of ``spend_log``, so the answer does not depend on the batches calls
-    came in. Calls of one run are summed bucket by bucket, not in one task.
+    came in. Calls of one run are summed over many tasks. ``stateful.live_spend_meter`` judges
+    calls as they arrive.
     """
     amount = F.col("usd").cast("decimal(18,6)")
-    rows = running(calls, ["run"], bucket, [F.col("seq")], seq="_n", value=amount, before="_b")
+    rows = running(calls, ["run"], [F.col("seq")], seq="_n", value=amount, before="_b")
     before = F.col("_b").cast("decimal(38,6)")
     return rows.withColumn("spent_before", before).withColumn(
         "admitted", F.col("spent_before") < F.lit(str(cap)).cast("decimal(18,6)")).drop("_b", "_n")

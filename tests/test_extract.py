@@ -252,6 +252,24 @@ def test_impex_repeated_columns_and_blocks_without_rows(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == [("1", "das Ende"), ("2", 'a "b", c'), ("3", "")]
 
 
+def test_csv_keeps_the_order_of_records_and_the_last_cell(spark, tmp_path):
+    rows = [("Big__c", n, "A__c", f"a{n}", 1) for n in range(500)] + [("Big__c", 7, "A__c", "Z", 0), ("Big__c", 8, "A__c", "0 last", 2), ("Small__c", 1, "A__c", None, 1)]
+    rec = spark.createDataFrame(rows, "object string, row_no int, header string, value string, pos int").repartition(7)
+    heads = spark.createDataFrame([("Big__c", "A__c", 1), ("Small__c", "A__c", 1)], "object string, header string, ord int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files of few rows
+    try:
+        write_object_csv(rec, heads, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "object=Big__c").glob("part=*/*.txt"))
+    lines = [f.read_text().splitlines() for f in files]
+    assert len(files) > 1 and all(x[0] == "A__c" for x in lines)
+    want = [f"a{n}" for n in range(500)]
+    want[8] = "0 last"
+    assert [v for x in lines for v in x[1:]] == want
+    assert read_object_csv(spark, str(tmp_path), "Big__c").count() == 500
+
+
 def test_spring_triggers(spark):
     xml = """<beans xmlns="http://x"><bean id="t1" class="T"><property name="cronExpression" value="0 0 2 * * ?"/><property name="cronJob"><ref bean="c1"/></property>
 <property name="active" value="FALSE"/></bean><bean id="c1"><property name="job" ref="j1"/></bean><bean id="j1" class="com.x.DefaultStaleCartJob"/>

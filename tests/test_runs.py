@@ -41,7 +41,7 @@ def test_costs(spark):
 
 def test_cap_admits_the_call_in_flight(spark):
     calls = df(spark, "run string, seq int, usd double", ("a", 0, 4.0), ("a", 1, None), ("a", 2, 7.0), ("a", 3, 1.0), ("b", 0, 10.0), ("b", 1, 0.1))
-    got = {(r["run"], r["seq"]): (float(r["spent_before"]), r["admitted"]) for r in U.cap_cutoff(calls, 10, F.floor(F.col("seq") / 2)).collect()}
+    got = {(r["run"], r["seq"]): (float(r["spent_before"]), r["admitted"]) for r in U.cap_cutoff(calls, 10).collect()}
     assert got == {("a", 0): (0, True), ("a", 1): (4, True), ("a", 2): (4, True), ("a", 3): (11, False), ("b", 0): (0, True), ("b", 1): (10, False)}
 
 
@@ -261,10 +261,10 @@ def test_streams_equal_their_batch_twins(spark, event_files):
     live.live_event_stream(source(), f"{out}/log", f"{out}/ck1").awaitTermination()
     assert spark.read.parquet(f"{out}/log").count() == 300, "a restart must not repeat events"
     live.spend_log(source(), f"{out}/spend", f"{out}/ck2").awaitTermination()
-    meter = live.spend_meter(spark.read.parquet(f"{out}/spend"), 400, F.floor(F.col("seq") / 10))
+    meter = live.spend_meter(spark.read.parquet(f"{out}/spend"), 400)
     got = {(r["run"], r["seq"]): (float(r["spent_before"]), r["admitted"]) for r in meter.collect()}
     want = {(r["run"], r["seq"]): (float(r["spent_before"]), r["admitted"]) for r in U.cap_cutoff(
-        df(spark, schema, *rows), 400, F.floor(F.col("seq") / 10)).collect()}
+        df(spark, schema, *rows), 400).collect()}
     assert got == want
     latch = {r["run"]: r["refused_from"] for r in live.latched_at(meter).collect()}
     assert latch["hot"] == min(s for (r, s), v in want.items() if r == "hot" and not v[1])

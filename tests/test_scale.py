@@ -17,9 +17,10 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k int, i int, v int").repartition(5)
 
 
-def test_running_matches_brute_force(skewed):
+@pytest.mark.parametrize("chunk", [7, 400, scale.CHUNK])
+def test_running_matches_brute_force(skewed, chunk):
     rows, df = skewed
-    got = {r["i"]: (r["seq"], r["before"]) for r in scale.running(df, ["k"], F.floor(F.col("i") / 100), [F.col("i")], value=F.col("v")).collect()}
+    got = {r["i"]: (r["seq"], r["before"]) for r in scale.running(df, ["k"], [F.col("i")], value=F.col("v"), chunk=chunk).collect()}
     want, n, s = {}, defaultdict(int), defaultdict(int)
     for k, i, v in rows:
         want[i] = (n[k], s[k])
@@ -30,7 +31,7 @@ def test_running_matches_brute_force(skewed):
 
 def test_running_backwards(skewed):
     rows, df = skewed
-    got = {r["i"]: r["seq"] for r in scale.running(df, ["k"], F.floor(F.col("i") / 100), [F.desc("i")], descending=True).collect()}
+    got = {r["i"]: r["seq"] for r in scale.running(df, ["k"], [F.desc("i")], chunk=90).collect()}
     want, n = {}, defaultdict(int)
     for k, i, _ in reversed(rows):
         want[i] = n[k]
@@ -38,6 +39,38 @@ def test_running_backwards(skewed):
     assert got == want
 
 
+def test_running_with_null_keys_without_keys_and_of_nothing(spark):
+    rows = [(None, 3, 1), ("a", 1, 5), (None, 1, None), ("a", 0, 2), (None, 2, 7)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(2)
+    got = {(r["k"], r["i"]): (r["seq"], r["before"]) for r in scale.running(df, ["k"], [F.col("i")], value=F.col("v"), chunk=2).collect()}
+    assert got == {(None, 1): (0, 0), (None, 2): (1, 0), (None, 3): (2, 7), ("a", 0): (0, 0), ("a", 1): (1, 2)}
+    assert sorted(r["seq"] for r in scale.running(df, [], [F.col("i"), F.col("k")], chunk=2).collect()) == list(range(5))
+    assert scale.running(df.limit(0), ["k"], [F.col("i")], value=F.col("v")).count() == 0
+
+
+def test_a_run_with_most_rows_on_one_day_is_spread(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(-1).alias("k"), "id")
+    out = scale.running(df, ["k"], [F.col("id")], value=F.col("id"), chunk=500)
+    windows = out.groupBy("k", F.floor(F.col("seq") / 500)).count().agg(F.max("count")).first()[0]
+    assert windows <= 500
+    hot = out.filter("k = -1").orderBy("seq").collect()
+    assert [r["seq"] for r in hot] == list(range(18_000)) and hot[-1]["before"] == sum(r["id"] for r in hot[:-1])
+    path = scale.settled(df.orderBy("k", "id"), "sorted")
+    sizes = [r["count"] for r in path.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("after", [True, False])
+def test_sorted_neighbour_equals_brute_force(spark, after):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("ab\u00e9z") for _ in range(rnd.randint(0, 5)))
+    asked, held = [(k, word() if k % 9 else None) for k in range(300)], sorted({word() for _ in range(60)}, key=str.encode)
+    df, other = spark.createDataFrame(asked, "i int, w string").repartition(3), spark.createDataFrame([(w, 1) for w in [*held, None]], "w string, x int")
+    got = {r["i"]: r["found"] for r in scale.sorted_neighbour(df, other, "w", after, chunk=20).collect()}
+    pick = lambda w: next((h for h in held if h.encode() >= w.encode()), None) if after else next((h for h in reversed(held) if h.encode() <= w.encode()), None)
+    assert got == {i: None if w is None else pick(w) for i, w in asked}
+
+
 def test_global_rank(skewed):
     rows, df = skewed
     got = {r["i"]: r["rank"] for r in scale.global_rank(df, [F.col("k"), F.desc("v"), F.col("i")]).collect()}
@@ -71,7 +104,7 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 
 def test_no_single_partition_window_on_data(spark, skewed):
     _, df = skewed
-    plan = scale.running(df, ["k"], F.floor(F.col("i") / 100), [F.col("i")])._jdf.queryExecution().executedPlan().toString()
+    plan = scale.running(df, ["k"], [F.col("i")])._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
 
 
