@@ -18,8 +18,9 @@ def lookup(key: Column, table: dict[str, str], default: Column | None = None) ->
 
 def infer_layer(name: Column, annotations: Column, extends: Column, implements: Column) -> Column:
     """Base class, then the first known annotation, then ...Job, then name parts, else Utility."""
-    is_job = F.coalesce(extends.rlike(R.JOB_BASES), F.lit(False)) | F.coalesce(
-        F.exists(implements, lambda i: i.rlike(R.JOB_BASES)), F.lit(False))
+    bases = "|".join(R.JOB_BASES)
+    is_job = F.coalesce(extends.rlike(bases), F.lit(False)) | F.coalesce(
+        F.exists(implements, lambda i: i.rlike(bases)), F.lit(False))
     known = F.filter(F.transform(annotations, lambda a: lookup(a, R.ANNOTATION_LAYERS)),
                      lambda x: x.isNotNull())
     out = F.when(is_job, "Job").when(F.size(known) > 0, F.get(known, F.lit(0)))

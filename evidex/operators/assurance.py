@@ -229,7 +229,7 @@ _TEST = (r"@(?:\w+\.)*Test\b(?:\s*\(([^)]*)\))?\s*(?:@\w+[^\n]*\s*)*(?:public|pr
 def literal_value(raw: Column) -> Column:
     """struct(java, kind, value); value is null unless a plain literal expresses it."""
     t = T.strip(raw)
-    box = rf"^new\s+({R.BOXES})\s*\(\s*([\s\S]*?)\s*\)$"
+    box = rf"^new\s+({"|".join(R.BOXES)})\s*\(\s*([\s\S]*?)\s*\)$"
     val = r"^\w+\.valueOf\(\s*([\s\S]*?)\s*\)$"
     inner = F.when(t.rlike(box), F.regexp_extract(t, box, 2)).when(
         t.rlike(val), F.regexp_extract(t, val, 1)).otherwise(t)

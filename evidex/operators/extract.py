@@ -13,12 +13,6 @@ from evidex.functions import text as T
 from evidex.operators.scale import computed, settled, side_by_side
 from evidex.operators.textscan import is_test_file
 
-_CLASS = r"\b(class|interface)\s+(\w+)"
-_FIELD = (r"(?m)^[ \t]*(?:private|protected|public)\s+(?:static\s+|final\s+|transient\s+|volatile\s+)*"
-          r"([\w.]+(?:\s*<[^;{}()=]*>)?(?:\[\])*)\s+(\w+)\s*(?:=[^;]*)?;")
-_PUBLIC = (r"\bpublic\s+(?:static\s+|final\s+|abstract\s+|synchronized\s+)*"
-           r"([\w.]+(?:\s*<[^;{}()]*>)?(?:\[\])*)\s+(\w+)\s*\(([^)]*)\)")
-
 
 def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -54,8 +48,8 @@ def class_table(files: DataFrame, suffix: str = ".java") -> DataFrame:
         F.regexp_extract("_after", r"\bextends\s+([\w.]+)", 1), F.lit("")))
     src = src.withColumn("implements", F.filter(F.split(
         F.regexp_extract("_after", r"\bimplements\s+([^{]*)", 1), r"\s*,\s*"), lambda x: x != ""))
-    types, fields = _all(code, _FIELD, 1), _all(code, _FIELD, 2)
-    returns, methods, params = (_all(code, _PUBLIC, g) for g in (1, 2, 3))
+    types, fields = _all(code, R.FIELD, 1), _all(code, R.FIELD, 2)
+    returns, methods, params = (_all(code, R.PUBLIC_METHOD, g) for g in (1, 2, 3))
     noise = F.regexp_replace(code, r"(?m)^[ \t]*(?:import|package)\b[^;]*;|@\w+", "")
     refs = F.array_distinct(_all(noise, r"\b[A-Z]\w*", 0))
     drop = F.array(*[F.lit(c) for c in R.COMMON_TYPES])
@@ -196,14 +190,11 @@ def symbol_table(files: DataFrame, keep: Sequence[str] = ("file",)) -> DataFrame
         *keep, F.col("ord").cast("bigint").alias("ord"), "s.name", "s.line_start", "s.line_end")
 
 
-_SIGNATURE = r"(?:public|global)\s+(?:static\s+)?(\S+)\s+(\w+)\s*\(([^)]*)\)"
-
-
 def public_signatures(code: DataFrame) -> DataFrame:
     """(file, signature) as ``Class.method(params) : type`` for public and global methods."""
     t = F.col("text")
-    z = F.arrays_zip(_all(t, _SIGNATURE, 1).alias("r"), _all(t, _SIGNATURE, 2).alias("m"),
-                     _all(t, _SIGNATURE, 3).alias("p"))
+    z = F.arrays_zip(_all(t, R.SIGNATURE, 1).alias("r"), _all(t, R.SIGNATURE, 2).alias("m"),
+                     _all(t, R.SIGNATURE, 3).alias("p"))
     return code.select("file", "class_name", F.explode(z).alias("z")).select("file", F.concat(
         F.col("class_name"), F.lit("."), F.col("z.m"), F.lit("("), T.strip("z.p"), F.lit(") : "),
         F.col("z.r")).alias("signature"))

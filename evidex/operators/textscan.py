@@ -250,12 +250,6 @@ def is_test_file(name: Column, text: Column) -> Column:
     return named | (text.contains("@Test") & stem.rlike("(Test|Tests|TestCase|IT)$"))
 
 
-_LOOP_WORD = r"\b(for|while)\b"
-_QUERY = r"(?i)\[\s*SELECT\b|Database\.query\("
-_DML = (r"(?i)\b(insert|update|delete|undelete|upsert)\b\s+[^;]+;"
-        r"|Database\.(insert|update|delete|upsert|undelete)\(")
-
-
 def _clean_line(x: Column) -> Column:
     return T.strip(F.regexp_replace(x, r"//.*|/\*.*?\*/", ""))
 
@@ -263,7 +257,7 @@ def _clean_line(x: Column) -> Column:
 def _loop_flags(text: Column) -> Column:
     """Per line whether it lies in, or starts, a loop: a fold over lines and their braces."""
     def one(s: Column, line: Column) -> dict[str, Column]:
-        starts = line.rlike(_LOOP_WORD) & (line.contains("(") | line.contains("{"))
+        starts = line.rlike(R.LOOP_WORD) & (line.contains("(") | line.contains("{"))
         braces = F.regexp_extract_all(line, F.lit("[{}]"), F.lit(0))
         inner = F.aggregate(
             braces, F.struct(s["stack"].alias("stack"), starts.alias("start")),
@@ -286,7 +280,7 @@ def validate_code_rules(files: DataFrame, keep: Sequence[str] = ("file",)) -> Da
     opened, closed = T.occurrences(text, "{"), T.occurrences(text, "}")
     src = computed(files, _l=F.transform(T.lines(text), _clean_line))
     # The fold is only worth running where a loop word and a query or DML occur at all.
-    busy = text.rlike(_LOOP_WORD) & (text.rlike(_QUERY) | text.rlike(_DML))
+    busy = text.rlike(R.LOOP_WORD) & (text.rlike(R.CODE_QUERY) | text.rlike(R.CODE_DML))
     src = computed(src, _in=F.when(busy, _loop_flags(text)))
 
     def issue(rule: str, severity: str, message: Column) -> Column:
@@ -309,8 +303,8 @@ def validate_code_rules(files: DataFrame, keep: Sequence[str] = ("file",)) -> Da
         flag(opened != closed, "balanced_braces", "ERROR", F.concat(
             F.lit("Unbalanced braces: "), opened.cast("string"), F.lit(" open vs "),
             closed.cast("string"), F.lit(" close."))),
-        at_lines("soql_in_loop", "SOQL query", lambda x: x.rlike(_QUERY)),
-        at_lines("dml_in_loop", "DML operation", lambda x: x.rlike(_DML)
+        at_lines("soql_in_loop", "SOQL query", lambda x: x.rlike(R.CODE_QUERY)),
+        at_lines("dml_in_loop", "DML operation", lambda x: x.rlike(R.CODE_DML)
                  & ~x.startswith("System.") & ~x.startswith("Assert.")),
         flag(is_test & ~text.contains("@isTest"), "missing_istest", "ERROR",
              "Test class missing '@isTest' annotation."),

@@ -25,7 +25,8 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
 
 def model_key(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Add ``key``: vendor prefix cut, and a trailing snapshot number if the rest is priced."""
-    bare = F.regexp_replace(F.regexp_replace(T.strip("model"), f"^({R.VENDOR_PREFIXES})/", ""), rf"^({R.VENDOR_PREFIXES})\.", "")
+    vendors = "|".join(R.VENDOR_PREFIXES)
+    bare = F.regexp_replace(F.regexp_replace(T.strip("model"), f"^({vendors})/", ""), rf"^({vendors})\.", "")
     base = F.regexp_replace("_m", r"-\d+$", "")
     known = prices.select("model").distinct()
     one = known.select(F.col("model").alias("_m"), F.lit(True).alias("_k1"))
