@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +16,34 @@ from evidex.operators.scale import settled
 
 #: Characters, and whole texts at most, that numpy works on at a time.
 CHUNK, TEXTS = 1 << 19, 512
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Base of the polynomial hash of byte and symbol runs, and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers stay for later tasks, and beside them the
+    executor needs it for the stages that have none."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(each: Callable) -> Callable:
+    """A function over batches that gives its memory back when the rows of a task are through."""
+
+    @functools.wraps(each)
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    return run
+
+
 def segments(text: str, limit: int = CHUNK) -> Iterator[str]:
     """Cut a long text before single blanks between words, each piece of about ``limit`` characters."""
     start = 0

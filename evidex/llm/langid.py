@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from evidex.llm.common import CHUNK, codepoints, grouped, segments
+from evidex.llm.common import CHUNK, codepoints, grouped, segments, tidy
 
 DIMENSIONS = 1024
 SEED = 20_011
@@ -115,7 +115,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["lang", "vector"])
 
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    parts = rows.mapInArrow(each, "lang string, vector array<double>")
+    parts = rows.mapInArrow(tidy(each), "lang string, vector array<double>")
     summed = parts.select("lang", F.posexplode("vector").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
     out: dict[str, np.ndarray] = {}
     for lang, at, value in summed.collect():  # dimensions x languages
@@ -150,7 +150,7 @@ def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 scores += [min(1.0, max(0.0, float(cosine[k, best[k]]))) if k in letters else 0.0 for k in range(len(held))]
             yield pa.record_batch([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+    return docs.mapInArrow(tidy(each), StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def letters(text_col: str = "text"):

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.llm.common import chunks, ends
+from evidex.llm.common import chunks, ends, tidy
 from evidex.llm.pieces import Pieces
 
 SEQUENCE = 2048
@@ -187,5 +187,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield flush()
 
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>"
-    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
+    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(each), schema)
     return out if with_ids else out.drop("ids")

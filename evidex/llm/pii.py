@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.llm.common import CHUNK, codepoints, ends, run_hash
+from evidex.llm.common import CHUNK, codepoints, ends, run_hash, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -411,7 +411,7 @@ def detect(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str =
             yield pa.record_batch(columns, names=names)
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        each, schema)
+        tidy(each), schema)
 
 
 def replace(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
@@ -424,7 +424,7 @@ def replace(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str
             new = [None if t is None else redacted(t, s) for t, (_, s) in zip(texts, find(texts, model), strict=True)]
             yield batch.set_column(at, text_col, pa.array(new, pa.string()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidy(each), docs.schema)
 
 
 def trained(spark: SparkSession, n: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
