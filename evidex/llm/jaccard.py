@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm.common import CHUNK, components, ends, grouped, mix, segments, words
+from evidex.llm.common import CHUNK, components, ends, grouped, mix, release, segments, tidy, words
 from evidex.operators.scale import settled, split_join
 
 SHINGLE = 5
 #: Two sets link when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (3, 4)
-#: Documents and shingles in one trie; larger blocks are split into pairs of parts.
-BLOCK_DOCS, BLOCK_SHINGLES = 2000, 1_000_000
+#: Documents and shingles of one side of a trie; larger blocks meet their leader first and are split.
+BLOCK_DOCS, BLOCK_SHINGLES = 2000, 250_000
 #: Ids that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -78,7 +77,7 @@ def members(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
                                   names=["doc_id", "t", "n_shingles", "sig", "sig2"])
 
-    return docs.mapInArrow(each, "doc_id bigint, t bigint, n_shingles bigint, sig bigint, sig2 bigint")
+    return docs.mapInArrow(tidy(each), "doc_id bigint, t bigint, n_shingles bigint, sig bigint, sig2 bigint")
 
 
 def _lower(n):
@@ -108,7 +107,7 @@ def long_prefixes(docs: DataFrame) -> DataFrame:
             if parts:
                 yield pa.record_batch([pa.array(np.concatenate(sig)), pa.array(np.concatenate(parts))], names=["sig", "shingle"])
 
-    return docs.select("text").mapInArrow(each, "sig bigint, shingle bigint")
+    return docs.select("text").mapInArrow(tidy(each), "sig bigint, shingle bigint")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -126,7 +125,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                                           names=["node", "n", "shingles"])
                     sets, size, first = [], 0, k + 1
 
-    return docs.mapInArrow(each, "node bigint, n bigint, shingles array<bigint>")
+    return docs.mapInArrow(tidy(each), "node bigint, n bigint, shingles array<bigint>")
 
 
 class Trie:
@@ -235,13 +234,59 @@ def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[
     return out
 
 
-def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one block; ``part`` against ``other`` where the block is split."""
-    rows = rows.drop_duplicates("node").sort_values("node")
-    ids, part = rows["node"].to_numpy(), rows["part"].to_numpy()
-    a, b = int(rows["a"].iloc[0]), int(rows["b"].iloc[0])
-    links = forest([np.asarray(s) for s in rows["shingles"]], np.flatnonzero(part == a), np.flatnonzero(part == b)) if len(ids) > 1 and (part == b).any() and (part == a).any() else []
-    return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype="int64")
+def _block_links(rows: pa.Table) -> pa.Table:
+    """Edges of one block or a pair of its parts: the sets marked ``l`` against those marked ``r``."""
+    rows = rows.combine_chunks()
+    node, left, right = (rows.column(c).to_numpy() for c in ("node", "l", "r"))
+    order = np.argsort(node, kind="stable")
+    order = order[np.concatenate([[True], np.diff(node[order]) != 0])]
+    links: list[tuple[int, int]] = []
+    if len(order) > 1 and left[order].any() and right[order].any():
+        lists = rows.column("shingles").combine_chunks()
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        links = forest([flat[at[k]:at[k + 1]] for k in order.tolist()], np.flatnonzero(left[order]), np.flatnonzero(right[order]))
+        del lists, flat
+        if int(at[-1]) > BLOCK_SHINGLES // 4:
+            release()
+    pairs = node[order][np.array(links, np.int64).reshape(-1, 2)]
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _block_edges(blocks: DataFrame, sets: DataFrame, block_docs: int) -> DataFrame:
+    """(a, b): a forest of links of every block (leader, node), sets being (node, n, shingles).
+
+    A block with more than ``block_docs`` sets or BLOCK_SHINGLES shingles meets its leader first. Sets
+    that link with it are in its component already, so only the others, in parts of that size,
+    meet each other and those, also in parts: near copies of one text cost one comparison each.
+    """
+    parts = lambda m, w: F.greatest(F.ceil(m / block_docs), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    sizes = blocks.join(sets.select("node", "n"), "node").groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    sizes = settled(sizes.select("leader", parts(F.col("m"), F.col("w")).alias("parts")), "sizes")
+    large = sizes.filter("parts > 1").select("leader")
+    small = blocks.join(sizes.filter("parts <= 1").select("leader"), "leader").join(sets, "node")
+    small = small.select("leader", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("kind"), "node", "shingles", F.lit(True).alias("l"), F.lit(True).alias("r"))
+
+    heads = large.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("head")), "leader")
+    met = split_join(blocks.join(large, "leader", "left_semi"), heads, "leader", "inner").join(sets, "node")
+    overlap = F.size(F.array_intersect("shingles", "head"))
+    close = (SHARE[0] + SHARE[1]) * overlap >= SHARE[0] * (F.col("n") + F.size("head"))
+    met = settled(met.select("leader", "node", "n", close.alias("close")), "met")
+    held = met.groupBy("leader").agg(*[parts(F.count_if(c), F.sum(F.when(c, F.col("n")).otherwise(0))).alias(name)
+                                       for name, c in (("far", ~F.col("close")), ("near", F.col("close")))]).filter("far > 0")
+    rows = split_join(met, held, "leader", "inner")
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    others = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    spot = lambda x, y, kind, left, right: F.struct(x.alias("x"), y.alias("y"), F.lit(kind).alias("kind"), left.alias("l"), right.alias("r"))
+    yes, no = F.lit(True), F.lit(False)
+    mine = own("far")
+    among = F.transform(others("far"), lambda o: spot(F.least(mine, o), F.greatest(mine, o), 1, mine <= o, mine >= o))
+    beside = F.when(F.col("near") > 0, F.transform(others("near"), lambda o: spot(mine, o, 2, yes, no))).otherwise(F.expr("array()").cast(
+        "array<struct<x:int,y:int,kind:int,l:boolean,r:boolean>>"))
+    given = F.transform(others("far"), lambda o: spot(o, own("near"), 2, no, yes))
+    dealt = rows.withColumn("p", F.explode(F.when(F.col("close"), given).otherwise(F.concat(among, beside)))).select("leader", "node", "p.*")
+    dealt = dealt.join(sets, "node").select("leader", "x", "y", "kind", "node", "shingles", "l", "r")
+    found = small.unionByName(dealt).groupBy("leader", "x", "y", "kind").applyInArrow(_block_links, "a bigint, b bigint")
+    return found.unionByName(met.filter("close and leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))).distinct()
 
 
 def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS,
@@ -276,13 +321,7 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     prefix = settled(near.filter(F.col("n") - F.col("shared") + F.col("place") <= F.col("n") - need + 1).select("node", "shingle"), "prefix")
     leaders = prefix.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
     blocks = settled(prefix.join(leaders, "shingle").select("leader", "node").distinct(), "blocks")
-    rows = blocks.join(sets, "node")
-    sizes = blocks.join(sets.select("node", "n"), "node").groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
-    sizes = sizes.select("leader", F.greatest(F.ceil(F.col("m") / block_docs), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.join(sizes, "leader").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("leader", "node", "shingles", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    edges = settled(rows.groupBy("leader", "a", "b").applyInPandas(_block_links, "a bigint, b bigint").distinct(), "links")
+    edges = settled(_block_edges(blocks, sets, block_docs), "links")
 
     # The smallest id of a component; its classes may be many, so it meets them in salted parts.
     placed = settled(equal.drop("t").join(components(edges), "node", "left").filter("component is not null or copies > 1"), "placed")
@@ -308,7 +347,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     occur in another one: first within the long prefixes, by counts that combine before the
     shuffle, then among the sets left, whole. These are ordered by frequency, rarest first;
     each meets the others at the first class that shares a shingle of its prefix, and each
-    such block is joined in a trie. Blocks beyond ``block_docs`` are split into pairs of parts,
-    so no task holds an unbounded group. Only a forest of links leaves a block.
+    such block is joined in a trie. A block beyond ``block_docs`` meets its leader first; what
+    does not link with it is split into parts, and pairs of parts are joined, so no task holds
+    an unbounded group. Only a forest of links leaves a block.
     """
     return classed(docs, id_col, text_col, block_docs, broadcast_rows).drop("t")
