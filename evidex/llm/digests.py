@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +59,34 @@ class DigestIndex:
         Only digests are shuffled, never texts; groups are counted before the shuffle, and the
         rows of a hot group meet its entry in salted parts.
         """
-        spark = self.spark
-        new = settled(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"))
-                      .withColumn("place", F.monotonically_increasing_id()), "digests")
+        return self._dedup(self._digests(docs, id_col, text_col))
+
+    def dedup_all(self, docs: DataFrame, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """``dedup`` of all documents at once, fed to the index batch by batch: of each digest that was
+        not there before the row with the largest id stays, and group_size counts all of ``docs``.
+
+        Batches are ranges of ids, the largest first and null ids last, so that what a later batch
+        finds in the index has a larger id than its own.
+        """
+        new = self._digests(docs, id_col, text_col)
+        share = [1 - k / batches for k in range(1, batches)]
+        cuts = new.agg(F.percentile_approx("doc_id", share, 1000)).first()[0] or [] if share else []
+        above, done = F.lit(False), []
+        for cut in [*sorted(set(cuts), reverse=True), None]:
+            here = F.lit(True) if cut is None else F.coalesce(F.col("doc_id") >= cut, F.lit(False))
+            done.append(settled(self._dedup(new.filter(here & ~above)), "batch"))
+            above = here
+        rows = reduce(DataFrame.unionByName, done).drop("group_size")
+        sizes = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+        return split_join(rows, sizes, "text_sha256").select(
+            "doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"), "kept", "text_sha256")
+
+    @staticmethod
+    def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        return settled(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), digest(F.col(text_col)).alias("text_sha256"))
+                       .withColumn("place", F.monotonically_increasing_id()), "digests")
+
+    def _dedup(self, new: DataFrame) -> DataFrame:
         groups = settled(new.groupBy("text_sha256").agg(
             F.max(F.struct("doc_id", "place")).alias("top"), F.count(F.lit(1)).alias("group_size")), "groups")
         fresh = groups.hint("merge").join(self.rows().hint("merge"), "text_sha256", "left_anti")

@@ -90,9 +90,9 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc
 from d window g as (partition by text_sha256)
 """)
 def exact_dedup_query(spark, read):
-    """All documents against a fresh index, which goes once it has been filled."""
+    """All documents in two batches against one index, which goes once it has been filled."""
     index = digests.DigestIndex(spark)
-    found = index.dedup(read("documents"))
+    found = index.dedup_all(read("documents"))
     index.drop()
     return found
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidex.llm import digests, jaccard, passages
 from evidex.llm.common import components
@@ -181,3 +182,37 @@ def test_digests_of_odd_rows(spark, odd, none):
     assert len(rows) == odd.count()
     assert sum(r.kept for r in rows) == len({r.text_sha256 for r in rows})
     assert digests.DigestIndex(spark).dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("batches", [1, 2, 4])
+def test_batches_give_what_one_table_gives(spark, batches):
+    r = np.random.default_rng(batches)
+    rows = [(None if k % 17 == 0 else int(r.integers(400)), None if k % 31 == 0 else f"Text {int(r.integers(90))}"[: 6 + k % 3]) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).withColumn("place", F.lit("p")).withColumn("kept", F.lit(1))
+    index = digests.DigestIndex(spark)
+    got = index.dedup_all(docs, batches).collect()
+    groups = {}
+    for k, t in rows:
+        groups.setdefault(hashlib.sha256((t or "").translate(FOLD).encode()).hexdigest(), []).append(k)
+    assert len(got) == len(rows)
+    for x in got:
+        mine = groups[x.text_sha256]
+        assert x.group_size == len(mine) and x.keep_id == max((k for k in mine if k is not None), default=None)
+    stay = [(x.text_sha256, x.doc_id) for x in got if x.kept]
+    assert sorted(k for k, _ in stay) == sorted(groups) and all(groups[k].count(i) and i == max((j for j in groups[k] if j is not None), default=None) for k, i in stay)
+    assert index.rows().count() == len(groups)
+    index.drop()
+
+
+def test_a_large_block_with_far_and_near_sets_equals_brute_force(spark):
+    r = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(60)], {}
+    for k in range(220):
+        own = list(base) + ["common words that all of them share"]
+        for _ in range(int(r.integers(0, 9))):
+            own[int(r.integers(60))] = f"x{int(r.integers(40))}"
+        texts[k] = " ".join(own)
+    for limit in (7, 40):
+        got = {row.doc_id: (row.n_shingles, row.component_id) for row in jaccard.classes(rows_of(spark, texts), block_docs=limit).collect()}
+        assert got == brute_classes(texts)
+    assert 1 < len({c for _, c in brute_classes(texts).values()}) < 220

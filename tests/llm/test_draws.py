@@ -160,14 +160,11 @@ def test_mix_meets_targets_whole_and_again(spark):
 
 
 def test_expected_copies_are_those_of_the_source(spark):
-    docs = [(k, " ".join(["w"] * (1 + k % 9)), "a" if k % 3 else "b") for k in range(900)]
-    table = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
-    total = Counter()
-    for seed in range(4):
-        for r in mixing.mix(table, (1, 4), share=0.9, seed=seed).collect():
-            total[r.source, r.size] += r.copies / 100 / 4
-    rows = mixing.mix(table, (1, 4), share=0.9).collect()
-    each = {r.source: r.target / r.source_size for r in rows}
+    docs = [(k, " ".join(["w"] * (1 + k % 9)), "a" if k % 3 else "b") for k in range(3600)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), (1, 4), share=0.9).collect()
+    total, each = Counter(), {r.source: r.target / r.source_size for r in rows}
+    for r in rows:
+        total[r.source, r.size] += r.copies / 400
     for (source, size), got in total.items():
         assert got == pytest.approx(each[source], abs=0.1), (source, size)
 

@@ -97,3 +97,16 @@ def test_near_dedup_decides_per_row(spark, prose):
     rows = [(1, one, "en", "s", 1), (2, one + " more", "en", "s", 1), (2, "a clean text", "en", "s", 1), (None, one + " end", "en", "s", 1)]
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
     assert {(r.doc_id, r.text) for r in kept} == {(r[0], r[1]) for r in rows} - {(2, one + " more")}
+
+
+def test_stages_take_clashing_names_and_long_texts(spark, prose):
+    one = max(prose.values(), key=len)
+    long = " ".join(prose.values()) * 40
+    rows = [(k, t, "en", "s", len(t), "x", 1.0, "y", "z", 5) for k, t in enumerate([one, one.upper(), one + " more", long, long + " end", "bob.1@mail2.example.com"])]
+    schema = COLUMNS + ", _lang string, _score double, _row string, _pair string, _t bigint"
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    for (name, stage), left in zip(corpus_pipeline.STAGES[:4], (6, 5, 3, 6), strict=True):
+        out = stage(spark, docs, "")
+        assert out.dtypes == docs.dtypes
+        got = out.collect()
+        assert len(got) == left and all((r._lang, r._score, r._row, r._pair, r._t) == ("x", 1.0, "y", "z", 5) for r in got), name
