@@ -12,12 +12,29 @@ from pyspark.sql import functions as F
 
 from evidex.llm import digests, jaccard, langid, packing, pii
 from evidex.llm.ship import ship
+from evidex.operators.scale import settled
 from evidex.session import scratch
 
+#: Rows that a join with texts broadcasts at most; beyond that both sides are shuffled.
+BROADCAST_ROWS = 200_000
 #: No SQL can express the learned stages; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows``, written, and broadcast where their number is counted to be small: then no text is shuffled."""
+    rows = settled(rows, "few")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without any letter, which have no language, and those of 32 letters
     or more whose cosine is below ``langid.floor``, set by the labelled rows of the held-out fold.
@@ -29,24 +46,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not learned:
         return docs.filter(langid.letters() > 0)
     least = langid.floor(docs.filter(langid.held_out()), learned)
-    found = langid.annotate(docs, learned, names=("_lang", "_score")).filter("_lang <> 'und'")
-    return found.filter((F.col("_score") >= least) | (langid.letters() < langid.LETTERS)).select(*docs.columns)
+    lang, score = _fresh(docs, "_lang"), _fresh(docs, "_score")
+    found = langid.annotate(docs, learned, names=(lang, score)).filter(F.col(lang) != "und")
+    return found.filter((F.col(score) >= least) | (langid.letters() < langid.LETTERS)).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lowered) the one with the largest id stays, one row of it.
 
-    Decided per row: different texts under one id, or without an id, all stay. Rows of one id
-    and one text are combined before the shuffle; the one that sorts first stays.
+    Decided per row: different texts under one id, or without an id, all stay. Of several rows of
+    one id and one text the one that sorts first stays. Only pairs of id and digest that lose a
+    row meet the texts again, and only rows of a pair that occurs more than once are grouped.
     """
     ship(spark)
     index = digests.DigestIndex(spark)
-    found = index.dedup(docs)
+    found = index.dedup_all(docs)
     index.drop()
     # concat_ws leaves out a null id, so the pair of such a row is its digest alone.
-    pair = lambda sha: F.concat_ws(":", F.col("doc_id").cast("bigint").cast("string"), sha).alias("_pair")
-    rows = docs.groupBy(pair(digests.digest(F.col("text")))).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return rows.join(found.filter("kept").select(pair(F.col("text_sha256"))), "_pair", "left_semi").select("_row.*")
+    name, row = _fresh(docs, "_pair"), _fresh(docs, "_row")
+    pair = lambda sha: F.concat_ws(":", F.col("doc_id").cast("bigint").cast("string"), sha).alias(name)
+    pairs = found.groupBy(pair(F.col("text_sha256"))).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("not kept or n > 1")
+    pairs = settled(pairs, "pairs")
+    rows = docs.withColumn(name, pair(digests.digest(F.col("text"))))
+    once = rows.join(_counted(pairs.select(name)), name, "left_anti").select(*docs.columns)
+    many = rows.join(_counted(pairs.filter("kept").select(name)), name, "left_semi").groupBy(name).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return once.unionByName(many.select(f"{row}.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +79,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Decided per row: texts under one id are classed apart, and rows without an id always stay.
     """
     ship(spark)
-    dropped = jaccard.classed(docs).filter("component_id <> doc_id").select("doc_id", F.col("t").alias("_t"))
-    return docs.withColumn("_t", F.xxhash64("text")).join(dropped, ["doc_id", "_t"], "left_anti").select(*docs.columns)
+    t = _fresh(docs, "_t")
+    dropped = jaccard.classed(docs).filter("component_id <> doc_id").select("doc_id", F.col("t").alias(t)).distinct()
+    return docs.withColumn(t, F.xxhash64("text")).join(_counted(dropped), ["doc_id", t], "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
