@@ -55,6 +55,21 @@ def idle_sessions(events: DataFrame, beat: int = R.HEARTBEAT_SECONDS, watermark:
         "run", "start", "last", "n")
 
 
+#: When an end mark is set, later than any event.
+END, END_MARK = "9000-01-01", "run bigint, ts timestamp"
+
+
+def end_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of end marks: rows without a run, to be put beside the events."""
+    spark.createDataFrame([], END_MARK).write.mode("append").parquet(folder)
+    return spark.readStream.schema(END_MARK).parquet(folder)
+
+
+def mark_end(spark: SparkSession, folder: str) -> None:
+    """Say that no more events come: the next drain closes every session still open."""
+    spark.createDataFrame([(None,)], "run bigint").select("run", F.lit(END).cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
+
+
 def spend_totals(calls: DataFrame) -> DataFrame:
     """Spend per run so far (update mode); partial sums combine before the shuffle."""
     return calls.groupBy("run").agg(F.sum(F.col("usd").cast("decimal(18,6)")).alias("spent"),

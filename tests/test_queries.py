@@ -61,3 +61,9 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_rank_limit_is_applied_before_the_shuffle(spark):
     plan = entry.queries()["tfidf_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_sessions_hold_every_event(spark):
+    """Also those of the last hour, which the stream's time alone leaves open."""
+    n = entry.queries()["idle_sessions"](spark, SF).selectExpr("sum(n)").first()[0]
+    assert n == spark.read.parquet(f"{SF}/events.parquet").count()
