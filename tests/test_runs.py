@@ -163,6 +163,20 @@ def test_a_change_two_levels_down_forces_a_rebuild(spark):
     assert decide("3") == {"T": "reuse", "U": "reuse"} and decide("9") == {"T": "rebuild", "U": "reuse"}
 
 
+def test_fingerprints_shuffle_wide_rows_once(spark):
+    """Own classes win over the same dependency, also for a target with many; one exchange carries the items."""
+    plan = df(spark, "target string, kind string", ("T", "Convert"), ("U", "Convert"))
+    own = spark.range(2000).selectExpr("if(id < 1500, 'T', 'U') target", "concat('C', id % 1000) class_name")
+    hashes = spark.range(1000).selectExpr("concat('C', id) class_name", "md5(string(id)) hash")
+    fp = lambda deps: V.target_fingerprint(plan, own, deps, hashes, F.lit("r"), ["kind"])
+    none, same = own.limit(0), own.filter("target = 'T'")
+    assert sorted(map(tuple, fp(none).collect())) == sorted(map(tuple, fp(same.unionByName(same)).collect()))
+    more = df(spark, "target string, class_name string", ("T", "C1200"), ("U", "C3"))
+    assert {r["target"] for r in fp(more).exceptAll(fp(none)).collect()} == {"T", "U"}
+    text = fp(more)._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(target" in line and "class_name" in line for line in text.splitlines())
+
+
 def test_the_query_reuses_by_all_levels(spark):
     from types import SimpleNamespace
 
