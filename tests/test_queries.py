@@ -81,3 +81,8 @@ def test_rules_that_share_a_short_id(spark, con, tmp_path):
     mine.execute(f"create or replace temp view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     ok, message, _, _ = check.compare(spark, mine, "alignment_rows", str(tmp_path))
     assert ok, message
+
+
+def test_fingerprints_are_made_once_for_both_sides(spark):
+    files = entry.queries()["reuse_or_rebuild"](spark, SF).inputFiles()
+    assert files and all("/fingerprints-" in f for f in files)
