@@ -10,6 +10,7 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from evidex.operators import history as H
@@ -331,6 +332,70 @@ def test_live_spend_meter_latches_in_any_order_of_arrival(spark, tmp_path):
     assert late.count() == 0
 
 
+class FakeState:
+    """A value and a map of a processor, with the number of times they are asked."""
+
+    def __init__(self):
+        self.value, self.entries, self.asked = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def _ask(self, got=None):
+        self.asked += 1
+        return got
+
+    def get(self):
+        return self._ask(self.value)
+
+    def exists(self):
+        return self._ask(self.value is not None)
+
+    def update(self, value):
+        self.value = self._ask(value)
+
+    def clear(self):
+        self.value, self.entries = self._ask(), {}
+
+    def getValue(self, key):
+        return self._ask(self.entries.get(key))
+
+    def containsKey(self, key):
+        return self._ask(key in self.entries)
+
+    def updateValue(self, key, value):
+        self.entries[key] = self._ask(value)
+
+    def removeKey(self, key):
+        self.entries.pop(self._ask(key))
+
+
+def test_waiting_rows_are_stored_by_block_not_one_by_one(monkeypatch):
+    state, meter, rnd = FakeState(), stateful.SpendMeter(10**9), random.Random(11)
+    meter.init(state)
+    rows = [Row(seq=k, ends=k == 2499, micros=None if k % 7 == 0 else k) for k in range(2500)]
+    deal = rows[1:]
+    rnd.shuffle(deal)
+    got = list(meter.handleInputRows(("r",), iter(deal[:1200]), None))
+    got += list(meter.handleInputRows(("r",), iter(deal[1200:] + deal[:5]), None))
+    assert not got and len(state.entries) == 3 and state.asked < 20, "three blocks wait, whatever the number of rows"
+    got = list(meter.handleInputRows(("r",), iter(rows[:1]), None))
+    assert [r.seq for r in got] == list(range(2500)) and state.value is None and not state.entries and state.asked < 35
+    # Small frames and blocks, many batches: the same answer.
+    monkeypatch.setattr(stateful, "FRAME", 7)
+    monkeypatch.setattr(stateful, "BLOCK", 5)
+    state.asked, deal, got = 0, rows[:300], []
+    rnd.shuffle(deal)
+    for k in range(0, 300, 20):
+        got += meter.handleInputRows(("r",), iter(deal[k:k + 20] + deal[:3]), None)
+    spent = [0]
+    for r in rows[:300]:
+        spent.append(spent[-1] + (r.micros or 0))
+    assert [(r.seq, r.spent_before) for r in got] == list(enumerate(spent[:-1])) and not state.entries
+
+
 def test_readers_with_different_starts_end_by_themselves(spark, tmp_path):
     folder, parts = f"{tmp_path}/in", []
     rows, schema = numbered_calls(spark, f"{tmp_path}/all", 1, random.Random(3))
