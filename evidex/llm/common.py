@@ -26,6 +26,7 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 def release() -> None:
     """Give freed memory back to the system. Workers stay for later tasks, and beside them the
     executor needs it for the stages that have none."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)

@@ -317,6 +317,8 @@ def all_spans(base: list[Span], extra: list[Span]) -> list[Span]:
 
 #: Characters that a part of a long line takes from the parts beside it.
 MARGIN = 4096
+#: Characters that the field works on at a time; its matrices take some 150 bytes a character.
+FIELD = CHUNK // 2
 _BLANK = re.compile(r"\s")
 
 
@@ -349,7 +351,7 @@ def parts_of(text: str, limit: int = CHUNK) -> Iterator[tuple[int, int, int, int
 
 
 def _field(texts: Sequence[str | None], model: tuple[np.ndarray, np.ndarray]) -> list[list[Span]]:
-    """The field's spans of each whole text, its parts about CHUNK characters at a time."""
+    """The field's spans of each whole text, its parts, whole, about FIELD characters at a time."""
     out: list[list[Span]] = [[] for _ in texts]
     held: list[tuple[int, int, int, int, str]] = []
 
@@ -363,7 +365,7 @@ def _field(texts: Sequence[str | None], model: tuple[np.ndarray, np.ndarray]) ->
         for start, end, first, last in parts_of(text or ""):
             held.append((row, start, first, last, (text or "")[start:end]))
             size += end - start + 64
-            if size >= CHUNK:
+            if size >= FIELD:
                 flush()
                 size = 0
     flush()

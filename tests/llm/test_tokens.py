@@ -139,3 +139,14 @@ def test_queries(spark):
     assert QUERIES["op9_byte_pairs"](spark, "/root/testdata/sf0.001").count() == docs.count()
     sizes = QUERIES["op1_packing"](spark, "/root/testdata/sf0.001").groupBy("sequence_id").sum("length").collect()
     assert all(n == 2048 or n & (n - 1) == 0 for _, n in sizes)
+
+
+def test_the_field_works_on_part_of_a_chunk_and_tables_go_with_the_task(monkeypatch):
+    from evidex.llm import common, pii
+    sizes = []
+    monkeypatch.setattr(pii, "field_spans", lambda texts, model: sizes.append(sum(map(len, texts))) or [[] for _ in texts])
+    pii._field(["x" * 1000] * 1000, None)
+    assert sum(sizes) == 1_000_000 and max(sizes) <= common.CHUNK // 2 + 1000
+    common._powers(common.BASE, 10)
+    common.release()
+    assert not common._POWERS
