@@ -116,8 +116,15 @@ def labelled_rows(n: int = LABELLED, seed: int = 7) -> list[tuple[str, list[Span
 
 
 def labelled_table(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """(text, spans array<struct<kind, start, end>>): the small table the field is trained from."""
-    return spark.createDataFrame(labelled_rows(n), "text string, spans array<struct<kind string, start bigint, end bigint>>")
+    """(text, spans array<struct<kind, start, end>>): the small table the field is trained from.
+
+    It comes as an Arrow table, which the driver holds itself; rows of Python objects go through a
+    second set of Python workers on each executor, which stay beside those of the later stages.
+    """
+    rows = labelled_rows(n)
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    spans = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in found] for _, found in rows]
+    return spark.createDataFrame(pa.table([pa.array([t for t, _ in rows], pa.string()), pa.array(spans, pa.list_(span))], names=["text", "spans"]))
 
 
 # The field.

@@ -97,6 +97,12 @@ def test_viterbi_is_the_best_path():
         assert score(own.tolist()) == pytest.approx(best)
 
 
+def test_labelled_table_runs_no_python_workers(spark):
+    table = pii.labelled_table(spark, 50)
+    assert table._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
+    assert [(r.text, [tuple(s) for s in r.spans]) for r in table.collect()] == pii.labelled_rows(50)
+
+
 def test_personal_data_of_odd_rows(odd, none, model):
     rows = {r.doc_id: r for r in pii.detect(odd, model).collect()}
     assert rows[15].n_email == 1 and rows[15].base_spans == "email:5:28" == rows[15].spans
